@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans.cohort_queries import QUERIES
+from .plans.cohort_sql import SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
