@@ -173,8 +173,8 @@ def blocks(source: str) -> list[Block]:
 def path_scores(found: list[Block], sigma: float = 1.0) -> dict[str, PathScore]:
     """Ratios of each tag path: text length and punctuation over its blocks, fused, smoothed over paths in page order.
 
-    Text ratio is characters per block, punctuation ratio is marks per block; their product, less the share of
-    text in links, is smoothed by a Gaussian over neighbouring paths. What the markup names as outside an article is
+    Text ratio is characters per block, punctuation ratio is marks per block; the product of their logarithms is
+    smoothed by a Gaussian over neighbouring paths and reduced by the path's share of text in links. What the markup names as outside an article is
     fixed at zero.
     """
     paths: dict[str, PathScore] = {}
@@ -188,7 +188,7 @@ def path_scores(found: list[Block], sigma: float = 1.0) -> dict[str, PathScore]:
             s.fixed = 0.0
     order = list(paths.values())
     raw = [
-        0.0 if s.fixed is not None else math.log1p(s.chars / s.blocks) * math.log1p(s.marks / s.blocks) * (1 - s.links / max(s.chars, 1))
+        0.0 if s.fixed is not None else math.log1p(s.chars / s.blocks) * math.log1p(s.marks / s.blocks)
         for s in order
     ]
     reach = max(1, round(2 * sigma))
@@ -198,7 +198,7 @@ def path_scores(found: list[Block], sigma: float = 1.0) -> dict[str, PathScore]:
             s.score = s.fixed
             continue
         near = [(kernel[abs(i - j)], raw[j]) for j in range(max(0, i - reach), min(len(order), i + reach + 1)) if order[j].fixed is None]
-        s.score = sum(k * x for k, x in near) / sum(k for k, _ in near)
+        s.score = sum(k * x for k, x in near) / sum(k for k, _ in near) * (1 - s.links / max(s.chars, 1))
     return paths
 
 

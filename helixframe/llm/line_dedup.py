@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, strip
+from .common import ascii_lower, staged, strip
 
 
 def line_key(line: Column) -> Column:
@@ -35,7 +35,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
         .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     )
-    drops = hashed.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split.
+    drops = hashed.join(staged(common), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     return drops.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("dropped"))
 
 

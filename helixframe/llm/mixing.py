@@ -15,7 +15,7 @@ ROUNDS = 3
 #: Slots are generated in runs of this many.
 RUN = 1 << 15
 #: Documents of one bucket are laid out in one task.
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 2_000
 
 
 def with_permutation(df: DataFrame, n: str, prefix: str, *seed: Column) -> DataFrame:

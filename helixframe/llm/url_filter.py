@@ -115,6 +115,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     weighted = labelled.groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("good")).alias("good"))
     # Four small jobs read these counts; the pages are parsed for them once.
     verdicts = host_reputation(staged(weighted), parsed.select("host").distinct(), **bounds).select("host", F.col("verdict").alias("_by_host"))
+    # Written first, so that the pages' side of the join below is a plain shuffle, which adaptive execution can split.
+    verdicts = staged(verdicts)
     host, path = F.col("host"), F.col("path")
     out = parsed.join(verdicts, "host", "left")
     return out.select(
