@@ -163,9 +163,12 @@ def block_pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def take_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    """Join blocks by index: add ``times``, how often the mix takes the block; blocks it never takes are left out."""
+    """Join blocks by index: add ``times``, how often the mix takes the block; blocks it never takes are left out.
+
+    Slots are exploded from one row per source, so Spark expects few of them; the hint keeps it from broadcasting all.
+    """
     times = slots.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("times"))
-    return pieces.join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
+    return pieces.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
 
 
 def mix_amounts(sizes: DataFrame, tie: list[str], block_words: int = 32, **kw) -> DataFrame:
@@ -185,7 +188,7 @@ def mix_amounts(sizes: DataFrame, tie: list[str], block_words: int = 32, **kw) -
         .groupBy(F.col("source").alias("_s"), F.col("start").alias("_t")).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     )
     out = placed.join(
-        taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")) & (F.col("size") > 0), "left"
+        taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")) & (F.col("size") > 0), "left"
     ).drop("_s", "_t")
     per = targets.select(F.col("source").alias("_s"), "source_size", "target")
     # One row per source on the right; the left is not shuffled for it when that is small.
@@ -212,13 +215,13 @@ def mix_documents(docs: DataFrame, block_words: int = 32, **kw) -> DataFrame:
     per_doc = pieces.groupBy(F.col("source").alias("_s"), F.col("start").alias("_t")).agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("_pieces"), F.max("times").alias("_most")
     )
-    plan = placed.where("size > 0").join(per_doc, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")))
+    plan = placed.where("size > 0").join(per_doc.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")))
     passes = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))).alias("_pass")
     plan = plan.select("_k1", "_k2", F.col("size").alias("_size"), "_pieces", passes)
     plan = plan.select("_k1", "_k2", "_size", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass")).alias("_pieces"))
     # Equal rows share one text, so their passes can all hang on one of them; other columns are that row's. The join
     # keeps the partitioning of dropDuplicates, so texts are shuffled once.
-    both = keyed.dropDuplicates(["_k1", "_k2"]).join(plan, ["_k1", "_k2"])
+    both = keyed.dropDuplicates(["_k1", "_k2"]).join(plan.hint("merge"), ["_k1", "_k2"])
     got = F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, p: s + p["n"])
     both = both.withColumn("_words", words(F.col("text")))
     part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")))), " ")
