@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hsq_weights(ld: Column, w_ld: Column, n: Column, m: Column, h2: Column, intercept: Column) -> Column:
@@ -83,7 +84,7 @@ def genetic_correlation(df: DataFrame, group: list[str], intercepts: tuple = (No
 
 
 def context(sumstats: DataFrame, ref_ld: DataFrame, w_ld: DataFrame, bed: DataFrame) -> DataFrame:
-    """Inner join of summary statistics, reference and weight LD scores and genotyped variants on the SNP name.
+    """Inner join of summary statistics, panel and weight LD scores and genotyped variants on the SNP name.
 
     ``sumstats``: snp, a1, a2, n, z. ``ref_ld``: snp, ld. ``w_ld``: snp, w_ld. ``bed``: variant_idx, snp, a1, a2. Alleles must
     agree as a set, whatever their case; z is turned where they are swapped. Palindromic SNPs stay; repeated names
@@ -95,3 +96,53 @@ def context(sumstats: DataFrame, ref_ld: DataFrame, w_ld: DataFrame, bed: DataFr
     same = (F.col("b1") == F.col("s1")) & (F.col("b2") == F.col("s2"))
     swapped = (F.col("b1") == F.col("s2")) & (F.col("b2") == F.col("s1"))
     return joined.where(same | swapped).select("variant_idx", "snp", F.when(F.col("s1") != F.col("b1"), -F.col("z")).otherwise(F.col("z")).alias("z"), "n", "ld", "w_ld")
+
+
+def _solve_each(sums: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Solve the k x k normal equations in the arrays ``_a`` (row by row) and ``_t`` of each row; null where singular."""
+    import numpy as np
+    import pandas as pd
+
+    schema = sums.select(*group, "nbar").schema.add("_b", T.ArrayType(T.DoubleType()))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for a, t in zip(f["_a"], f["_t"]):
+                try:
+                    out.append(np.linalg.solve(np.asarray(a, float).reshape(k, k), np.asarray(t, float)))
+                except np.linalg.LinAlgError:
+                    out.append(None)
+            yield pd.DataFrame({**{c: f[c] for c in (*group, "nbar")}, "_b": out})
+
+    return sums.select(*group, "nbar", "_a", "_t").mapInPandas(run, schema)
+
+
+def hsq_annotations(df: DataFrame, group: list[str], annotations: list[str], m: list[float], intercept: float | None = None) -> DataFrame:
+    """``group, tot, cat array, intercept``: heritability split over LD score columns with ``m`` SNPs behind each.
+
+    ``df`` has ``chisq, w_ld, n`` and the annotations. Weights use the sum of the LD scores and, as published, only the
+    first coefficient times all SNPs. One row of sums per group and pass is solved, where the group's sums are.
+    """
+    total, k = float(sum(m)), len(annotations) + (intercept is None)
+    null = 1.0 if intercept is None else float(intercept)
+    ld = F.lit(0.0)
+    for c in annotations:
+        ld = ld + F.col(c)
+    rows = df.where(F.col("chisq").isNotNull()).withColumn("_ld", ld)
+    start = rows.groupBy(*group).agg(F.avg(F.col("n").cast("double")).alias("nbar"), (total * (F.avg("chisq") - null) / F.avg(F.col("_ld") * F.col("n"))).alias("_est"))
+    est = start.withColumn("_ic", F.lit(null))
+    for step in range(3):
+        x = [F.col(c) * F.col("n") / F.col("nbar") for c in annotations] + [F.lit(1.0)] * (intercept is None)
+        y = F.col("chisq") - (F.lit(0.0) if intercept is None else F.lit(null))
+        w = hsq_weights(F.col("_ld"), F.col("w_ld"), F.col("n"), F.lit(total), F.col("_est"), F.col("_ic"))
+        sums = rows.join(est, group).groupBy(*group, "nbar").agg(
+            F.array(*[F.sum(w * p * q) for p in x for q in x]).alias("_a"), F.array(*[F.sum(w * p * y) for p in x]).alias("_t")
+        )
+        fit = _solve_each(sums, group, k)
+        ic = F.get("_b", F.lit(len(annotations))) if intercept is None else F.lit(null)
+        est = fit.select(*group, "nbar", (total * F.get("_b", F.lit(0)) / F.col("nbar")).alias("_est"), ic.alias("_ic"), "_b")
+        if step < 2:
+            est = est.drop("_b")
+    cat = F.array(*[F.get("_b", F.lit(j)) * F.lit(float(mj)) / F.col("nbar") for j, mj in enumerate(m)])
+    return est.select(*group, F.aggregate(cat, F.lit(0.0), lambda s, v: s + v).alias("tot"), cat.alias("cat"), F.col("_ic").alias("intercept"))

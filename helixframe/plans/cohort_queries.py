@@ -186,6 +186,15 @@ def ldsc_h2_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ldsc.hsq(rows, ["trait"], 1.0), 4)
 
 
+def ldsc_h2_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Two LD score columns, intercept fixed at 1."""
+    price = cohort.table(spark, sf, "part").select(F.substring("p_brand", 7, 1).alias("trait"), F.col("p_partkey").alias("snp"), (F.col("p_partkey") % 7 / 2).alias("other"))
+    stats, ref, weights, _ = _snps(spark, sf)
+    rows = stats.join(ref, "snp").join(weights, "snp").join(price, "snp").withColumn("chisq", F.col("z") * F.col("z"))
+    out = ldsc.hsq_annotations(rows, ["trait"], ["ld", "other"], [600.0, 400.0], 1.0)
+    return rounded(out.select("trait", "tot", F.get("cat", F.lit(0)).alias("cat0"), F.get("cat", F.lit(1)).alias("cat1"), "intercept"), 4)
+
+
 def ldsc_rg(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ldsc.genetic_correlation(_ldsc_rows(spark, sf), ["trait"]), 4)
 
@@ -289,7 +298,7 @@ QUERIES = {
         variant_stats, variant_naive_trace, variant_standardized, variant_table, kinship_matrix, latents_standardized, latents_correlation,
         latents_correlation_loss, latents_moment_loss, latents_kl, h2_mom, h2_mom_missing, h2_mom_covariates, h2_kinship, h2_even_odd,
         genetic_covariance, genetic_matrices, spectrum, spectrum_held_out, variance_explained, association, trace_hutchinson, ldsc_context,
-        ldsc_h2, ldsc_h2_fixed, ldsc_rg, ldsc_summary, cohort_ids, cohort_complete, cohort_split, cohort_resume, last_event, nearest_event,
+        ldsc_h2, ldsc_h2_fixed, ldsc_h2_annotations, ldsc_rg, ldsc_summary, cohort_ids, cohort_complete, cohort_split, cohort_resume, last_event, nearest_event,
         log_parse, log_epoch_stats, log_peak, value_histogram, rank_sum, incremental_state, edge_continuity,
     )
 }

@@ -183,3 +183,18 @@ zz AS (SELECT s.sample_id, 0 AS dim, coalesce(last.z, embedding[1]::DOUBLE) AS z
 SELECT variant_idx, dim, {r('sum(xs * z)')} AS u FROM xs JOIN zz USING (sample_id) GROUP BY ALL"""
 SQL["edge_continuity"] = f"""WITH p AS (SELECT k // 8 AS r, k % 8 AS c, embedding[k + 1]::DOUBLE AS v FROM embeddings, range(64) AS t(k) WHERE k < len(embedding))
 SELECT {r('sum(CASE WHEN r = 7 THEN abs(v) ELSE 0 END) / count(*) + sum(CASE WHEN c = 7 THEN abs(v) ELSE 0 END) / count(*)')} AS loss FROM p"""
+
+
+def _two_annotations() -> str:
+    """Fixed intercept 1, so each pass solves two equations in closed form."""
+    out = f"""WITH {_SNPS}, rows_ AS (SELECT ld.trait, n, ld.ld AS a, snp % 7 / 2 AS b, w_ld, z * z - 1 AS y FROM ss JOIN ld USING (snp)),
+p0 AS (SELECT trait, avg(n) AS nbar, 1000 * avg(y) / avg((a + b) * n) AS est FROM rows_ GROUP BY trait)"""
+    for k in range(3):
+        out += f""",
+p{k + 1} AS (SELECT trait, nbar, (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) / nbar AS c0, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) / nbar AS c1, 1000 * (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) / nbar AS est
+FROM (SELECT trait, any_value(nbar) AS nbar, sum(w * a * a * n * n / nbar / nbar) AS s11, sum(w * a * b * n * n / nbar / nbar) AS s12, sum(w * b * b * n * n / nbar / nbar) AS s22, sum(w * a * n / nbar * y) AS t1, sum(w * b * n / nbar * y) AS t2
+FROM (SELECT *, 1 / (2 * pow(1 + least(greatest(est, 0), 1) * n * greatest(a + b, 1) / 1000, 2)) / greatest(w_ld, 1) AS w FROM rows_ JOIN p{k} USING (trait)) GROUP BY trait))"""
+    return out + f" SELECT trait, {r('600 * c0 + 400 * c1', 4)} AS tot, {r('600 * c0', 4)} AS cat0, {r('400 * c1', 4)} AS cat1, 1.0::DOUBLE AS intercept FROM p3"
+
+
+SQL["ldsc_h2_annotations"] = _two_annotations()

@@ -75,3 +75,14 @@ def test_small_functions(spark):
     assert scalars.liability_factor(0.5, 0.5) == pytest.approx(np.pi / 2)
     loss = scalars.moment_loss(spark.createDataFrame([(1.0, -1.0), (-1.0, 1.0)], "a double, b double"), ["a", "b"]).first()["loss"]
     assert loss == pytest.approx(1.0)
+
+
+def test_two_annotations_are_recovered(spark):
+    rng = np.random.default_rng(2)
+    ld, n, m = rng.uniform(1, 60, (400, 2)), 1e5, [5e6, 5e6]
+    chisq = 1 + n * (ld @ (np.array([0.2, 0.7]) / m))
+    df = spark.createDataFrame([("t", float(y), n, 1.0, float(a), float(b)) for y, (a, b) in zip(chisq, ld)], "t string, chisq double, n double, w_ld double, a double, b double")
+    for fixed in (None, 1.0):
+        r = ldsc.hsq_annotations(df, ["t"], ["a", "b"], m, fixed).first()
+        np.testing.assert_allclose(r["cat"], [0.2, 0.7], rtol=1e-6)
+        assert r["tot"] == pytest.approx(0.9) and r["intercept"] == pytest.approx(1)
