@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_labels: int = 10_000, n_fea
     grades = np.where(toxic, 1 + np.searchsorted(thirds, share, side="left"), 0).astype(int)
     rows = np.repeat(np.arange(len(sample)), [len(r["at"]) for r in sample])
     cols = np.concatenate([np.array(r["at"], dtype=np.int64) for r in sample]) if len(rows) else np.zeros(0, np.int64)
-    weights, cuts = fit_ordinal(rows, cols, grades, len(index))
+    # Few labels call for a stronger penalty: at least four labels' worth.
+    weights, cuts = fit_ordinal(rows, cols, grades, len(index), l2=max(3e-4, 4 / len(sample)))
     return Model({f: float(weights[k]) for f, k in index.items()}, cuts)
 
 
