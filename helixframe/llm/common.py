@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages: it does so once the driver drops their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     path = getattr(df, "_staged_at", None)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import release, staged, unstage
 from .components import connected_components
 
 #: The frequency sketch has 2 ** SKETCH_BITS counters, whatever the input.
@@ -25,22 +25,25 @@ DIRECT = 32
 ROUNDS = 3
 #: A side of up to this many ids (16 MB) is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
-_MEMO = 500_000
-
+#: Fixed odd multipliers and a seed for byte values; any would do.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0xC2B2AE3D27D4EB4F
+_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Multipliers of the places in a shingle, drawn apart from the base, for shingles of up to 64 words.
+_PLACES = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_INK = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > _MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_WORDS = _Words()
+def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,19 +52,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each ``[^\\x20\\x09-\\x0D]+`` word, A-Z lower-cased, from prefix sums over the bytes."""
+    # bytes.lower knows ASCII only.
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    edges = np.flatnonzero(np.diff(_INK[b], prepend=False, append=False))
+    power, inverse = _up_to(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUES[b] * power[: len(b)], out=sums[1:])
+    starts = edges[::2]
+    return (sums[edges[1::2]] - sums[starts]) * inverse[starts]
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle, one without words none."""
-    # bytes.lower and bytes.split know ASCII only: A-Z, and U+0020 and U+0009 to U+000D.
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
+    ids = word_hashes(text)
+    n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, n)
+        return ids
     k = min(words, n)
+    ids = _mix(ids)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        h = _mix(h * _A + ids[i: n - k + 1 + i])
-    return np.unique(h)
+        h += ids[i: n - k + 1 + i] * _PLACES[i]
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _plan_prefix(tokens: np.ndarray, f: np.ndarray, num: int, den: int) -> tuple[int, int]:
@@ -154,15 +172,15 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
-    """Compare the full sets of each pair ``a, b, big``: adds ``near, far, short, long``.
+    """Compare the full sets of each pair ``a, b, big``: adds ``near, far, n, d, diff``.
 
-    For a pair with ``big`` b is the pivot of a long list, and ``short`` and ``long`` are prefixes of the difference of
-    a and b, for pairs of the list's members: see ``_difference_pairs``.
+    For a pair with ``big`` b is the pivot of a long list; d is the size of the difference of a and b, and ``diff`` as much
+    of it, in token order, as pairs of the list's members may need: see ``_difference_pairs``.
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
         T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.IntegerType()),
-        T.StructField("short", T.ArrayType(T.LongType())), T.StructField("long", T.ArrayType(T.LongType())),
+        T.StructField("d", T.IntegerType()), T.StructField("diff", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,24 +207,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int,
                 d = n + m - 2 * inter
                 # No member near b can reach a: their differences to b are too unlike in size.
                 far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num)
-                short, long = (), ()
+                diff = ()
                 if big and not far and d:
                     alone = np.ones(n + m, bool)
                     alone[1:] &= ~twice
                     alone[:-1] &= ~twice
                     ranked, _ = order.sorted(both[alone])
-                    ranked = ranked.view(np.int64)
-                    short = ranked[: d - -(-d * num // (den + num)) + 1]
-                    if not near:
-                        long = ranked[: n * (den - num) // num + 1]
-                rows.append((a, b, big, near, far, n, short, long))
+                    short = d - -(-d * num // (den + num)) + 1
+                    diff = ranked.view(np.int64)[: short if near else max(short, n * (den - num) // num + 1)]
+                rows.append((a, b, big, near, far, n, d, diff))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)],
                 names=schema.names,
             )
 
-    ta, tb = texts.withColumnsRenamed({"node": "a", "text": "ta"}), texts.withColumnsRenamed({"node": "b", "text": "tb"})
+    ta, tb = texts.where("is_a").select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.where("is_b").select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.select("a", "b", "big").join(ta, "a").join(tb, "b").select("a", "b", "big", "ta", "tb").mapInArrow(run, schema)
 
 
@@ -214,25 +230,48 @@ def _alike(n: str, m: str, num: int, den: int) -> str:
     return f"{den} * least({n}, {m}) >= {num} * greatest({n}, {m})"
 
 
+def _spread(df: DataFrame, first: str) -> DataFrame:
+    """A row for each of the first tokens of a difference, with its place ``at``."""
+    return df.select("b", "a", "n", "d", F.posexplode(F.expr(f"slice(diff, 1, int(greatest({first}, 0)))")).alias("at", "token"))
+
+
+def _short(num: int, den: int) -> str:
+    return f"d - (d * {num} + {den + num - 1}) div {den + num} + 1"
+
+
 def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs among the members of long lists, from their differences to the list's pivot.
+    """Candidate pairs of a member near a long list's pivot and one that is not, from their differences Dx to the pivot.
 
-    Two members are linked only if their differences to the pivot share at least (|Dx| + |Dy| - K) / 2 tokens, K being
-    the largest difference that a link allows. Members near the pivot are linked through it. If one is not near it,
-    the bound is at least num / (den + num) of each difference: the ``short`` prefixes of two such members share
-    a token; and one's ``long`` prefix shares one with the ``short`` prefix of a near member. Far members cannot
-    be linked to near ones and stay for the next round.
+    x and y are linked only if |Dx ^ Dy| = |Dx| + |Dy| - 2 |Dx & Dy| is at most K, which grows with their sizes, so Dx
+    and Dy share at least r = (|Dx| + |Dy| - K) / 2 tokens, and one that is among the first |D| - r + 1 of both. Near
+    members are linked through the pivot. If x is not near it, r is above 0 and at least num / (den + num) of each
+    difference (``_short`` prefixes); with a near partner r may be less for x, so more of its tokens are tried. Far members
+    cannot be linked to near ones and stay for the next round.
     """
     ball = found.where("big AND NOT far")
-
-    def spread(df: DataFrame, tokens: str, side: str) -> DataFrame:
-        return df.select("b", F.explode(tokens).alias("token"), F.col("a").alias(f"{side}a"), F.col("n").alias(f"{side}n"))
-
+    largest = f"(n * {den - num}) div {num}"
     mid, near = ball.where("NOT near"), ball.where("near")
-    ones = spread(mid, "short", "l").join(spread(mid, "short", "r"), ["b", "token"]).where("la < ra")
-    twos = spread(mid, "long", "l").join(spread(near, "short", "r"), ["b", "token"])
-    both = ones.union(twos).where(_alike("ln", "rn", num, den))
-    return both.select(F.least("la", "ra").alias("a"), F.greatest("la", "ra").alias("b")).distinct()
+    # The smallest difference of a member that is not near bounds r for the near ones from below.
+    near = near.join(mid.groupBy("b").agg(F.min("d").alias("least")), "b")
+    some = f"least({_short(num, den)}, d - greatest(1, (least + d - {largest} + 1) div 2) + 1)"
+    sides = []
+    for df, first, side in ((mid, f"{largest} + 1", "l"), (near, some, "r")):
+        part = _spread(df.withColumn("diff", F.expr(f"slice(diff, 1, int(greatest({first}, 0)))")), "size(diff)")
+        sides.append(part.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("a", "n", "d", "at")]))
+    r = f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
+    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= ld - {r} AND rat <= rd - {r}")
+    return met.select(F.least("la", "ra").alias("a"), F.greatest("la", "ra").alias("b")).distinct()
+
+
+def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
+    """New token lists ``key, node, n, l, layer, mids``: members of a pivot's ball that are not near it, by each token of
+    their ``_short`` prefixes. Any two of them that are linked meet in one; copies of another text among them are
+    linked through a pivot of their own in the next round.
+    """
+    mid = _spread(found.where("big AND NOT far AND NOT near"), _short(num, den))
+    rows = mid.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), "n")
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), F.lit(0).alias("mids"), "size")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -255,28 +294,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shared = spark.sparkContext.broadcast(_Order(sketch(docs, words)))
     rows = staged(prefixes(docs, shared, words, num, den))
     usable = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    nodes = staged(usable.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("tokens").alias("tokens")))
-    entries = nodes.select("node", "n", "l", F.posexplode("tokens").alias("pos", "key"))
+    fat = staged(usable.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("tokens").alias("tokens")))
+    entries = fat.select("node", "n", "l", F.posexplode("tokens").alias("pos", "key"))
     # Position pos belongs to the prefixes for this many matches and more.
     entries = entries.select("key", "node", "n", "l", F.greatest(F.expr(f"pos - (n - (n * {num} + {den - 1}) div {den} + 1) + 2"), F.lit(1)).cast("int").alias("layer"))
-    shared_keys = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    lists = staged(entries.join(shared_keys, "key"))
-
+    # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split.
+    shared_keys = staged(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    # Bit k of mids: in round k the member was neither near nor far of the list's pivot.
+    lists = staged(entries.join(shared_keys, "key").withColumn("mids", F.lit(0)))
+    # Tokens are not needed again: only narrow tables stay on disk.
+    nodes, slim = staged(fat.drop("tokens")), staged(rows.drop("tokens"))
+    unstage(fat)
+    unstage(rows)
+    rows, usable = slim, slim.where("doc_id IS NOT NULL AND node IS NOT NULL")
+    release(spark)
     repeated = not usable.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "of.*"), "node")
-        wanted = staged(wanted)
+        sides = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b"))
+        sides = sides.union(pairs.select("b", F.lit(False), F.lit(True))).groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+        wanted = staged(sides.join(nodes.select("node", "of.*"), "node"))
         few = wanted.count() <= BROADCAST_IDS
         # Few ids are broadcast, so that texts are filtered where they are read; more are joined by a shuffle.
-        texts = docs.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("node", "text")
+        texts = docs.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("node", "text", "is_a", "is_b")
         texts = staged(texts.dropDuplicates(["node"]) if repeated else texts)
-        return staged(_verified(pairs, texts, shared, words, num, den))
+        done = staged(_verified(pairs, texts, shared, words, num, den))
+        for used in (pairs, wanted, texts):
+            unstage(used)
+        release(spark)
+        return done
 
     links, more, open_, direct = None, None, lists, lists.where(F.col("size") <= DIRECT)
     for k in range(ROUNDS):
         pivots = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("p"), F.count("*").alias("now"))
+        pivots = staged(pivots)
         star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
         reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num})"
         star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den))))
@@ -290,8 +342,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         known = found.where("big").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "far")
         judged = star.where("big AND node <> pivot").drop("near", "far").join(known, ["node", "pivot"], "left")
         judged = judged.where("NOT coalesce(near, false)").withColumn("far", F.coalesce("far", F.lit(True)))
+        judged = judged.withColumn("mids", F.when(F.col("far"), F.col("mids")).otherwise(F.col("mids") + (1 << k)))
         again = judged.groupBy("key").agg(F.count("*").alias("size"), F.max("far").alias("any_far")).where("any_far AND size > 1")
-        open_ = staged(judged.select("key", "node", "n", "l", "layer").join(again.select("key", "size"), "key"))
+        open_ = staged(judged.select("key", "node", "n", "l", "layer", "mids").join(again.select("key", "size"), "key").unionByName(_difference_lists(found, num, den)))
         if open_.isEmpty():
             break
         direct = direct.union(open_.where(F.col("size") <= DIRECT if k < ROUNDS - 1 else F.lit(True)).select(*direct.columns))
@@ -299,10 +352,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     labels = connected_components(links)
     direct = direct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = direct.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "l", "layer", "label")])
-    right = direct.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "l", "layer", "label")])
+    left = direct.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "l", "layer", "label", "mids")])
+    right = direct.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "l", "layer", "label", "mids")])
     met = left.join(right, "key").where(
         f"l_node < r_node AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
+        # Two members in one pivot's ball have been compared through their differences.
+        " AND (l_mids & r_mids) = 0"
     )
     met = met.groupBy(F.col("l_node").alias("a"), F.col("r_node").alias("b")).agg(F.countDistinct("key").alias("shared"), F.first(F.least("l_l", "r_l")).alias("asked"))
     # Tokens that a and b may also share in long lists, which are not paired here.
