@@ -209,12 +209,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int,
                 far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num)
                 diff = ()
                 if big and not far and d:
-                    alone = np.ones(n + m, bool)
-                    alone[1:] &= ~twice
-                    alone[:-1] &= ~twice
-                    ranked, _ = order.sorted(both[alone])
+                    # Tokens of the pivot come last: what is its own is in the difference of every member.
+                    own = np.concatenate([order.sorted(np.setdiff1d(x, y, True))[0], order.sorted(np.setdiff1d(y, x, True))[0]])
                     short = d - -(-d * num // (den + num)) + 1
-                    diff = ranked.view(np.int64)[: short if near else max(short, n * (den - num) // num + 1)]
+                    diff = own.view(np.int64)[: short if near else max(short, n * (den - num) // num + 1)]
                 rows.append((a, b, big, near, far, n, d, diff))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
