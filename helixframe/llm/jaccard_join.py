@@ -138,9 +138,12 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
-    """Per row: ``doc_id, th, node, n, l, tokens``. Equal shingle sets have one node, a 64-bit hash of the set."""
+    """Per row: ``doc_id, th, node, n, l, tokens``. Equal shingle sets have one node, a 64-bit hash of the set.
+
+    Sizes n, and d later, are bigint: the size tests multiply them by products of num and den.
+    """
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()),
+        T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("l", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())),
     ])
 
@@ -164,7 +167,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
                 ls.append(l)
                 tokens.append(ranked[:length].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ls, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ls, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
                 names=schema.names,
             )
 
@@ -179,8 +182,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int,
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
-        T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.IntegerType()),
-        T.StructField("d", T.IntegerType()), T.StructField("diff", T.ArrayType(T.LongType())),
+        T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.LongType()),
+        T.StructField("d", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int,
                 rows.append((a, b, big, near, far, n, d, diff))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
                 names=schema.names,
             )
 

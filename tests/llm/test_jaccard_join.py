@@ -73,6 +73,24 @@ def test_long_lists_lose_no_link(spark, family, monkeypatch, direct, rounds):
     assert run(df, 3, 90, 100) == brute(family, 3, 90, 100)
 
 
+def test_a_very_long_text_in_a_long_list(spark, monkeypatch):
+    """Sizes times products of the threshold pass 2 ** 31 in the size test of a list's pivot."""
+    monkeypatch.setattr(J, "DIRECT", 2)
+    words = [f"w{k}" for k in range(130_000)]
+    # In every text that holds it, the shared word is the rarest, so it is in all their prefixes.
+    texts = ["shared " + " ".join(words)] + [" ".join(words[:65_000])] * 50 + [" ".join(words[65_000:])] * 50
+    for i in range(40):
+        own = f"a{i} b{i} c{i}"
+        texts += [f"shared {own}"] + [own] * 50
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    # Texts differ by more than a tenth of their words or not at all.
+    assert run(df, 1, 90, 100) == sorted(((i, len(t.split()), first[t]) for i, t in rows), key=repr)
+
+
 def test_shuffled_texts(spark, family, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_IDS", 0)
     rows = family[:60] + [(200, None), (201, ""), (202, "one"), (203, "one"), (204, "One\ttwo")]
