@@ -27,14 +27,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group under five-word Jaccard similarity of 0.8: the one with the least ``doc_id``.
 
-    Of repeated rows of that id one stays.
+    Rows of one id with different texts are judged separately. Of rows with the same id and text one stays, the least by
+    its other columns; of those without words only full repeats go. Rows with a null ``doc_id`` all stay.
     """
     found = jaccard_join.near_duplicates(docs, words=5, num=80, den=100)
-    # Ids only. A document without a link is its own component.
-    kept = staged(found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct())
-    rows = docs.join(kept, "doc_id", "left_semi")
-    repeated = not docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
-    return (rows.dropDuplicates(["doc_id"]) if repeated else rows).select(*docs.columns)
+    # Ids and text hashes only. A text without a link is its own component.
+    first = found.where("component_id = doc_id AND component_th = th")
+    kept = staged(first.groupBy("doc_id", "th").agg(F.count("*").alias("k"), F.first("n_shingles").alias("n_shingles")))
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+
+    def rows(which: str) -> DataFrame:
+        return hashed.join(kept.where(which).select("doc_id", "th"), ["doc_id", "th"], "left_semi").select(*docs.columns)
+
+    out = docs.where("doc_id IS NULL")
+    if kept.where("k > 1").isEmpty():
+        return out.union(rows("true"))
+    copies = rows("k > 1 AND n_shingles > 0").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return out.union(rows("k = 1")).union(copies).union(rows("k > 1 AND n_shingles = 0").distinct())
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,12 +276,13 @@ def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row ``doc_id, n_shingles, class_id, component_id`` under links of Jaccard similarity >= num / den.
+    """Per row ``doc_id, n_shingles, class_id, component_id, th, component_th`` under links of Jaccard similarity >= num / den.
 
     ``docs`` needs ``doc_id, text``; other columns are passed over. ``class_id`` is the least ``doc_id`` with the same
     shingle set, ``component_id`` the least one reachable by links. Texts without words (null, empty) have 0 shingles,
     no links, and their own id as component. Rows with a null ``doc_id`` are linked with nothing and get null ids.
-    Repeated rows have equal sets, so one class; rows of one id with different texts are judged separately.
+    Repeated rows have equal sets, so one class; rows of one id with different texts are judged separately. ``th`` is
+    ``xxhash64`` of the row's text, and the text of ``component_id`` that stands for the component has ``component_th``.
     An empty table gives an empty result.
 
     Equal sets are merged first. Each set's rarest tokens are its prefix, longer where candidates are estimated to
@@ -371,9 +372,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     late = verify(enough.withColumn("big", F.lit(False))).where("near").select("a", "b")
     if not late.isEmpty():
         labels = connected_components(links.union(late))
-    classes = nodes.select("node", F.col("of.doc_id").alias("rep")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "label").select("node", F.col("rep").alias("class_id"), "component_id")
-    out = rows.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
+    classes = nodes.select("node", F.col("of").alias("rep")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = classes.groupBy("label").agg(F.min("rep").alias("least"))
+    classes = classes.join(least, "label").select("node", F.col("rep.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("component_th"))
+    out = rows.select("doc_id", "th", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
     known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        "th", F.when(known, F.coalesce("component_th", "th")).alias("component_th"),
+    )

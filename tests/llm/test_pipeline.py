@@ -28,3 +28,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert abs(sum(len(r["text"].split()) for r in four.collect()) - 1.5 * total) <= 32 * 3
     out = P.run(spark, str(tmp_path)).collect()
     assert len(out) == four.count() and all(r["n_tokens"] > 0 for r in out)
+
+
+def test_near_duplicates_keeps_rows_without_an_id_and_every_text_of_an_id(spark):
+    def text(k, end=""):
+        return " ".join(f"w{k}x{j}" for j in range(60)) + end
+
+    rows = [
+        (1, text(1), "en", "a", 1), (2, text(1, " more"), "en", "b", 2),  # a near copy of row 1
+        (2, text(2), "en", "b", 3), (2, text(3), "en", "c", 4),  # the same id, texts without a copy
+        (4, text(4), "en", "b", 5), (4, text(4), "en", "a", 6), (4, text(4), "en", "a", 6),  # one text of one id
+        (5, None, "en", "a", 7), (5, None, "en", "a", 7), (5, "", "en", "a", 0), (5, None, "en", "b", 8),
+        (None, text(1), "en", "a", 9), (None, text(1), "en", "a", 9), (None, None, "en", "a", 10),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    want = [rows[k] for k in (0, 2, 3, 5, 7, 9, 10, 11, 12, 13)]
+    got = P.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
