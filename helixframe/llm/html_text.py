@@ -29,6 +29,15 @@ MARKS = frozenset(
     "subscription signup share sharing social related recommended recommendations comment comments disqus replies reply widget "
     "pager pagination toolbar login search complementary contentinfo masthead topbar tags paywall".split()
 )
+#: Of those, what readers wrote: it may be longer than the article.
+ANSWERS = frozenset("comment comments disqus replies reply".split())
+#: Words that make a name with a mark one of a wrapper: no-sidebar, content-with-sidebar, has-banner, ad-free.
+BEFORE = frozenset("no not non without with has have is hide disable".split())
+AFTER = frozenset("free off none less disabled closed".split())
+#: Elements that no class word marks.
+NEVER = frozenset("html body article main".split())
+#: A mark does not hold for an element with more than this share of the page's text (of text that readers wrote).
+MOST, MOST_ANSWERS = 0.5, 0.9
 #: A start tag of the first set ends an open element of the second.
 ENDS = {
     **{t: frozenset(("p",)) for t in BLOCKS - {"html", "head", "body"}},
@@ -44,7 +53,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？،؟]")
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -56,15 +65,20 @@ class Block:
     links: int
     outside: bool
     inside: bool
+    marks: tuple[int, ...] = ()
+    above: tuple[int, ...] = ()
 
 
 @dataclass
 class _Open:
+    """``marks`` are numbers of marks by class words, ``above`` those of them that stand above the article element."""
+
     tag: str
     path: str
     outside: bool
     inside: bool
-    block: bool = True
+    marks: tuple[int, ...] = ()
+    above: tuple[int, ...] = ()
 
 
 @dataclass
@@ -77,34 +91,67 @@ class PathScore:
     fixed: float | None = field(default=None)
 
 
-def _marked(attributes: str) -> tuple[str, bool]:
-    """The first class word, and whether class, id, role or style mark an element that is no part of an article."""
-    first, bad = "", False
-    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-        if hidden:
-            bad = True
-            continue
+def _named(value: str) -> set[str]:
+    """Marks among the words of a class, id or role, without those in names of wrappers."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = [x for x in SPLIT.split(name) if x]
+        for k, x in enumerate(parts):
+            if x in MARKS and not BEFORE.intersection(parts[:k]) and not AFTER.intersection(parts[k + 1:]):
+                found.add(x)
+    return found
+
+
+def _marked(attributes: str) -> tuple[str, bool, set[str]]:
+    """The first class word, whether an element is hidden, and the words of class, id or role that mark it."""
+    first, hidden, words = "", False, set()
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
-        if name == "style":
-            bad |= "display:none" in value.replace(" ", "")
+        if name == "hidden":
+            hidden = True
+        elif name == "style":
+            hidden |= "display:none" in value.replace(" ", "")
         elif name == "aria-hidden":
-            bad |= value == "true"
-        else:
-            parts = [x for x in SPLIT.split(value) if x]
-            bad |= any(x in MARKS for x in parts)
-            if name == "class" and parts and not first:
+            hidden |= value == "true"
+        elif name in ("class", "id", "role"):
+            words |= _named(value)
+            if name == "class" and not first and SPLIT.sub("", value):
                 first = value.split()[0]
-    return first, bad
+    return first, hidden, words
+
+
+def _settle(found: list[Block], answers: list[bool]) -> list[Block]:
+    """Decide which marks by class words hold, and set ``outside`` of the blocks under those.
+
+    A mark on an element with most of the page's text names a wrapper and falls. Where no article
+    or main element is left with text, those below a mark are freed of it.
+    """
+    seen = [0] * len(answers)
+    total = 0
+    for b in found:
+        if not b.outside:
+            size = max(0, len(b.text) - b.links) if PUNCTUATION.search(b.text) else 0
+            total += size
+            for k in b.marks:
+                seen[k] += size
+    fallen = {k for k, n in enumerate(seen) if n > (MOST_ANSWERS if answers[k] else MOST) * total}
+    clean = any(b.inside and not b.outside and fallen.issuperset(b.marks) for b in found)
+    for b in found:
+        held = set(b.marks) - fallen
+        b.outside |= bool(held if clean else held.difference(b.above))
+    return found
 
 
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order, each with its tag path from the root.
 
     Missing end tags are implied as browsers do for paragraphs, list items and table cells; stray end tags are
-    passed over; an element that is never closed runs to the end. Inline elements are no part of a path.
+    passed over; an element that is never closed runs to the end. Inline elements are no part of a path. Class words
+    mark an element, but not one that wraps the article: see ``_settle``.
     """
     out: list[Block] = []
     stack = [_Open("", "", False, False)]
+    answers: list[bool] = []
     buffer: list[str] = []
     links, in_link = 0, 0
 
@@ -114,7 +161,7 @@ def blocks(source: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(top.path, text, min(links, len(text)), top.outside, top.inside))
+                out.append(Block(top.path, text, min(links, len(text)), top.outside, top.inside, top.marks, top.above))
             buffer.clear()
         links = 0
 
@@ -162,12 +209,20 @@ def blocks(source: str) -> list[Block]:
                     break
             if tag == "p":
                 in_link = 0
-            first, bad = _marked(m[3]) if m[3] else ("", False)
+            first, hidden, words = _marked(m[3]) if m[3] else ("", False, ())
             top = stack[-1]
-            outside = top.outside or bad or tag in OUTSIDE or (tag == "header" and not top.inside)
-            stack.append(_Open(tag, f"{top.path}/{tag}" + (f".{first}" if first else ""), outside, top.inside or tag in CONTAINERS))
+            outside = top.outside or (hidden and tag not in ("html", "body")) or tag in OUTSIDE or (tag == "header" and not top.inside)
+            marks, above = top.marks, top.above
+            if tag in CONTAINERS and not top.inside:
+                # There is one main element: no mark reaches into it.
+                marks = above = () if tag == "main" else marks
+            if words and tag not in NEVER:
+                marks = (*marks, len(answers))
+                answers.append(ANSWERS.issuperset(words))
+            path = f"{top.path}/{tag}" + (f".{first}" if first else "")
+            stack.append(_Open(tag, path, outside, top.inside or tag in CONTAINERS, marks, above))
     flush()
-    return out
+    return _settle(out, answers)
 
 
 def path_scores(found: list[Block], sigma: float = 1.0) -> dict[str, PathScore]:

@@ -33,3 +33,36 @@ def test_frame(spark):
     got = html_text.extract(df)
     assert got.columns == ["page_id", "text"] and got.count() == 3
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+BODY = "First part, goes on.\nSecond part, here it ends."
+
+
+def paragraphs():
+    return "".join(f"<p>{x}</p>" for x in BODY.split("\n"))
+
+
+def test_wrappers_named_like_marks_keep_the_text():
+    foot = "<footer>Imprint, contact.</footer>"
+    for page in (
+        f'<html class="js-menu login"><body class="no-sidebar">{paragraphs()}{foot}',
+        f'<body class="has-banner sidebar"><div class="ad">Buy, now.</div><article>{paragraphs()}</article>{foot}',
+        f'<div class="content-with-sidebar">{paragraphs()}<div class="sidebar">Links, more.</div></div>{foot}',
+        f'<div class="banner-page">{paragraphs()}<div class="sidebar">Links, more.</div></div>{foot}',
+        f'<article class="post tags-x">{paragraphs()}</article>{foot}',
+        f'<div class="widget"><main>{paragraphs()}</main></div><p>{"Other words, many of them. " * 9}</p>',
+        f'<div class="widget"><article>{paragraphs()}</article></div><div class="cookies">{"Other words, many. " * 2}</div>',
+        f'<div title="hidden or not" data-state="hidden" data-role="menu">{paragraphs()}</div>',
+    ):
+        assert html_text.main_text(page) == BODY, page
+
+
+def test_marks_still_hold():
+    for page in (
+        f'<article>{paragraphs()}<section class="comments"><article><p>{"Great post, thanks! " * 5}</p></article></section></article>',
+        f'<main>{paragraphs()}</main><div class="related"><article><p>Another, short.</p></article></div>',
+        f'<div>{paragraphs()}</div><div class="comments"><p>{"Great, thanks! " * 8}</p></div>',
+        f"<div>{paragraphs()}</div><div hidden>Not, this.</div><div class='ad'>Buy, now.</div>",
+        f"<div>{paragraphs()}</div><div hidden><article><p>Not, this.</p></article></div>",
+    ):
+        assert html_text.main_text(page) == BODY, page
