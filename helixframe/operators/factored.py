@@ -49,7 +49,7 @@ def by_variant(xs: DataFrame, design: DataFrame, columns: list[str]) -> DataFram
 def variant_gram(xs: DataFrame, n_variants: int, most: int = 4096) -> DataFrame:
     """``j, k, g`` for j <= k: X'X, each task's samples multiplied as one dense block.
 
-    The block is ``n_variants`` squared doubles; above ``most`` variants use the stochastic trace.
+    The block is ``n_variants`` squared doubles; above ``most`` variants ``traces`` uses the stochastic trace.
     """
     if n_variants > most:
         raise ValueError(f"{n_variants} variants; the exact Gram matrix is for up to {most}")
@@ -131,3 +131,41 @@ def hutchinson(xs: DataFrame, m: int, probes: int = 10, seed: int = 0) -> DataFr
     xg = signed.groupBy("probe", "variant_idx").agg(F.sum(F.col("xs") * F.col("g")).alias("v"))
     xxg = xs.join(xg, "variant_idx").groupBy("probe", "sample_id").agg(F.sum(F.col("xs") * F.col("v")).alias("r"))
     return xxg.groupBy("probe").agg((F.sum(F.col("r") * F.col("r")) / float(m * m)).alias("estimate"))
+
+
+def projected_hutchinson(xs: DataFrame, p: Projection, m: int, probes: int = 30, seed: int = 0) -> DataFrame:
+    """``probe, estimate`` of tr((VKV)^2) = mean of |V X X' V g|^2 / m^2 over sign vectors g of the design's samples.
+
+    Signs are those of ``hutchinson``. Covariate sums of each probe reach the driver.
+    """
+    w = range(len(p.w))
+    design = p.design.select("sample_id", *[F.col(c).alias(f"w{i}") for i, c in enumerate(p.w)])
+    sign = F.when(F.substring(F.md5(F.concat_ws(":", "sample_id", "probe", F.lit(seed))), 1, 1) < "8", 1.0).otherwise(-1.0)
+    signed = design.withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(probes - 1)))).withColumn("g", sign)
+    u = F.col("g")
+    if p.w:
+        sums = signed.groupBy("probe").agg(*[F.sum(F.col(f"w{i}") * F.col("g")).alias(f"s{i}") for i in w]).collect()
+        rows = [(r["probe"], *map(float, p.inverse @ np.array([r[f"s{i}"] for i in w]))) for r in sums]
+        signed = signed.join(F.broadcast(xs.sparkSession.createDataFrame(rows, "probe int" + "".join(f", k{i} double" for i in w))), "probe")
+        for i in w:
+            u = u - F.col(f"w{i}") * F.col(f"k{i}")
+    xg = xs.join(signed.select("sample_id", "probe", u.alias("u")), "sample_id").groupBy("probe", "variant_idx").agg(F.sum(F.col("xs") * F.col("u")).alias("v"))
+    r = xs.join(xg, "variant_idx").groupBy("probe", "sample_id").agg(F.sum(F.col("xs") * F.col("v")).alias("r")).join(design, "sample_id")
+    found = r.groupBy("probe").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), *[F.sum(F.col(f"w{i}") * F.col("r")).alias(f"s{i}") for i in w])
+    quad = F.lit(0.0)
+    for i in w:
+        quad = quad + F.col(f"s{i}") * dot([f"s{j}" for j in w], p.inverse[i])
+    return found.select("probe", ((F.col("rr") - quad) / float(m * m)).alias("estimate"))
+
+
+def traces(xs: DataFrame, by: DataFrame, p: Projection, m: int, trace2: float | None = None, probes: int = 30, most: int = 4096) -> tuple[float, float]:
+    """tr(VKV) and tr((VKV)^2): exact up to ``most`` variants.
+
+    Beyond, the first is exact still (sum of x'Vx / m) and the second is ``trace2``, or estimated with ``probes``.
+    """
+    if trace2 is None and m <= most:
+        return projected_traces(variant_gram(xs, m, most), by, p, m)
+    t1 = p.residual(by).agg(F.sum("d")).first()[0] / m
+    if trace2 is None:
+        trace2 = projected_hutchinson(xs, p, m, probes).agg(F.avg("estimate")).first()[0]
+    return t1, trace2

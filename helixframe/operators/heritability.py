@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .factored import Projection, by_variant, projected_traces, standardize, variant_gram
+from .factored import Projection, by_variant, standardize, traces, variant_gram
 from .variants import standardized
 
 
@@ -34,16 +34,16 @@ def ratio(v0: float, v1: float) -> float:
     return v0 / (total + (1e-8 if total >= 0 else -1e-8))
 
 
-def mom(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None) -> DataFrame:
+def mom(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
     """``dim, h2`` by the method of moments for each trait column of ``design`` (``sample_id``, traits, covariates).
 
     Without covariates the raw variance component, (y'Ky - y'y) / (tr K^2 - n); with covariates, taken as they
     are and without an intercept, the share of the genetic component in the solution of the 2 x 2 moment system.
+    Above ``most`` variants tr(K^2) is ``trace2`` or an estimate from ``probes`` sign vectors: see ``traces``.
     """
     m, covariates = _n_variants(dosage), list(covariates)
     xs, design, by, p = _prepare(dosage, design, traits, covariates, "add")
-    t1, t2 = projected_traces(variant_gram(xs, m), by, p, m)
-    t2 = trace2 if trace2 is not None else t2
+    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
     u = p.residual(by).agg(*[(F.sum(F.col(f"u_{z}") * F.col(f"u_{z}")) / m).alias(z) for z in traits]).first()
     out = []
     for k, z in enumerate(traits):
@@ -64,13 +64,13 @@ def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> Dat
     return _long(kinship.sparkSession, traits, {"h2": [(row[z] - sums[z]) / (row["t2"] - sums["n"]) for z in traits]})
 
 
-def genetic_covariance(dosage: DataFrame, design: DataFrame, traits: list[str], target: str, covariates: list[str] = ()) -> DataFrame:
-    """``dim, gamma, rho``: genetic covariance and score-overlap correlation of each trait with ``target``; W = [1 | C]."""
+def genetic_covariance(dosage: DataFrame, design: DataFrame, traits: list[str], target: str, covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
+    """``dim, gamma, rho``: genetic covariance and score-overlap correlation of each trait with ``target``; W = [1 | C]. Traces as in ``mom``."""
     m = _n_variants(dosage)
     design = design.withColumn("_one", F.lit(1.0))
     w = ["_one", *covariates]
     xs, design, by, p = _prepare(dosage, design, [*traits, target], w, "add")
-    t1, t2 = projected_traces(variant_gram(xs, m), by, p, m)
+    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
     y = len(traits)
     names = [*traits, target]
     row = p.residual(by).agg(
@@ -83,12 +83,12 @@ def genetic_covariance(dosage: DataFrame, design: DataFrame, traits: list[str],
     return _long(dosage.sparkSession, traits, {"gamma": [x / det for x in num[:y]], "rho": rho})
 
 
-def genetic_matrices(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """G (genetic covariance components) and the projected correlation matrix of the traits; W = [1 | C]."""
+def genetic_matrices(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """G (genetic covariance components) and the projected correlation matrix of the traits; W = [1 | C]. Traces as in ``mom``."""
     m = _n_variants(dosage)
     design = design.withColumn("_one", F.lit(1.0))
     xs, design, by, p = _prepare(dosage, design, traits, ["_one", *covariates], "floor")
-    t1, t2 = projected_traces(variant_gram(xs, m), by, p, m)
+    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
     pairs = [(a, b) for a in range(len(traits)) for b in range(a + 1)]
     row = p.residual(by).agg(*[(F.sum(F.col(f"u_{traits[a]}") * F.col(f"u_{traits[b]}")) / m).alias(f"q{a}_{b}") for a, b in pairs]).first()
     q = np.zeros_like(p.zvz)

@@ -129,3 +129,35 @@ def test_exact_trace_has_a_limit(spark):
     with pytest.raises(ValueError):
         factored.variant_gram(spark.createDataFrame([], "sample_id long, variant_idx int, xs double"), 10**6)
     assert cohort.N_VARIANTS == 25
+
+
+def test_traces_beyond_the_exact_gram(data):
+    dosage, design, xs, z, cov, y = data
+    m, w = xs.shape[1], np.hstack([np.ones((len(z), 1)), cov])
+    _, kt, _, _ = dense_gc(xs, standard(z), w, standard(y))
+    x, _, by, p = heritability._prepare(dosage, design.withColumn("_one", F.lit(1.0)), Z, ["_one", *C], "add")
+    t1, t2 = factored.traces(x, by, p, m, probes=300, most=1)
+    np.testing.assert_allclose(t1, np.trace(kt), atol=1e-9)
+    assert abs(t2 / np.sum(kt * kt) - 1) < 0.2
+    given = {"trace2": float(np.sum(kt * kt)), "most": 1}
+    for got, want in zip(heritability.genetic_matrices(dosage, design, Z, C, **given), heritability.genetic_matrices(dosage, design, Z, C), strict=True):
+        np.testing.assert_allclose(got, want, atol=1e-9)
+    exact, other = (values(heritability.genetic_covariance(dosage, design, Z, "y", C, **more), "gamma", "rho") for more in ({}, given))
+    np.testing.assert_allclose(other, exact, atol=1e-9)
+
+
+def test_mom_takes_more_variants_than_the_gram(spark):
+    n, m = 12, 4200
+    x = np.random.default_rng(3).integers(0, 3, (n, m))
+    dosage = spark.range(n * m).selectExpr("id div 4200 AS sample_id", "int(id % 4200) AS variant_idx", "int(pmod(hash(id), 3)) AS x").cache()
+    design = spark.createDataFrame([(i, float(x[i, 0] + i % 5)) for i in range(n)], "sample_id long, z0 double")
+    dense = np.zeros((n, m))
+    for r in dosage.collect():
+        dense[r["sample_id"], r["variant_idx"]] = r["x"]
+    sd = dense.std(0)
+    xs = (dense - dense.mean(0)) / np.maximum(sd, 1e-8)
+    k, ys = xs @ xs.T / m, standard(np.array([[r["z0"]] for r in sorted(design.collect())]))
+    q = float(ys[:, 0] @ (k - np.eye(n)) @ ys[:, 0])
+    got = values(heritability.mom(dosage, design, ["z0"]), "h2")[0][0]
+    # The estimate of tr(K^2) that this answer implies.
+    assert abs((q / got + n) / np.sum(k * k) - 1) < 0.2
