@@ -44,3 +44,16 @@ def test_empty_and_clashing(docs):
     clash = docs.withColumnRenamed("size", "n_words").withColumnRenamed("source", "kept")
     assert quality.quality_rules(clash).count() == docs.count()
     assert "Python" not in quality.quality_rules(docs, plan=[])._jdf.queryExecution().toString()
+
+
+def test_a_filter_on_the_verdict_does_not_write_the_measures_out_again(spark, docs):
+    judged = quality.quality_rules(docs)
+    plain, filtered = (d._jdf.queryExecution().optimizedPlan().toString() for d in (judged, judged.where("kept")))
+    for call in ("xxhash64(", "split("):
+        assert filtered.count(call) == plain.count(call) <= 4
+
+
+def test_the_plan_comes_from_one_pass_over_the_sample(docs):
+    plan = quality.plan_cascade(docs)
+    assert plan == quality.plan_cascade(docs) and all(x["cost"] >= quality.COMPARISON and 0 <= x["selectivity"] <= 1 for x in plan)
+    assert quality.plan_cascade(docs.limit(0)) and quality.plan_cascade(docs.limit(0))[0]["selectivity"] == 0
