@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, staged, unstage
+from .common import staged, unstage
 from .components import connected_components
 
-#: The frequency sketch has 2 ** SKETCH_BITS counters, whatever the input.
-SKETCH_BITS = 18
+#: The frequency sketch has about as many counters as there are rows, but 2 ** 18 at least and 2 ** 22 (16 MB) at most.
+SKETCH_BITS = (18, 22)
 #: Longest extension of a prefix: at most this many tokens must match.
 MOST_MATCHES = 4
 #: Token lists up to this length are paired directly; longer ones through pivots.
 DIRECT = 32
-#: Rounds of pivots for long lists; what is left after them is paired directly, so that no link is lost.
-ROUNDS = 3
-#: A side of up to this many ids (16 MB) is broadcast, a longer one is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Lists of one token that are still long after this many rounds of pivots are split by a second token.
+ROUNDS = 2
+#: Up to this many ids of texts are broadcast, more are shuffled.
+BROADCAST_IDS = 300_000
+#: Texts that are compared with one pivot in one group.
+BLOCK = 64
 #: Fixed odd multipliers and a seed for byte values; any would do.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -105,23 +106,24 @@ class _Order:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
         self.base = float(np.median(counts))
 
     def sorted(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = self.counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        c = self.counts[(tokens >> self.shift).astype(np.int64)]
         at = np.lexsort((tokens, c))
         return tokens[at], np.maximum(c[at] - self.base, 1.0)
 
 
-def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Counters of all shingles of all documents: 2 ** SKETCH_BITS numbers, the only thing the driver gets."""
+def sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
+    """Counters of all shingles of all documents: ``2 ** bits`` numbers, the only thing the driver gets, as Arrow."""
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = (shingles(text, words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            for text in batch.column(0):
+                at = (shingles(text.as_py(), words) >> np.uint64(64 - bits)).astype(np.int64)
                 if len(at) < 1 << 14:
                     np.add.at(total, at, 1)
                 else:
@@ -131,20 +133,21 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
             part = used[k: k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
+    got = docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.uint32)
+    out[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 32) - 1)
     return out
 
 
 def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
-    """Per row: ``doc_id, th, node, n, l, tokens``. Equal shingle sets have one node, a 64-bit hash of the set.
+    """Per row: ``doc_id, th, s1, s2, n, l, tokens``; equal shingle sets have equal ``s1, s2``, 128 bits of a hash of the set.
 
-    Sizes n, and d later, are bigint: the size tests multiply them by products of num and den.
+    Sizes n, and d later, are bigint: the size tests multiply them by products of num and den. One token more than l asks
+    for is carried, for lists that are split by a second token.
     """
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("l", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())),
+        T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
+        T.StructField("n", T.LongType()), T.StructField("l", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,60 +155,65 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
 
         order = shared.value
         for batch in batches:
-            nodes, sizes, ls, tokens = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text, words)
+            ones, twos, sizes, ls, tokens = [], [], [], [], []
+            for text in batch.column(2):
+                s = shingles(text.as_py(), words)
                 sizes.append(len(s))
                 if not len(s):
-                    nodes.append(None)
+                    ones.append(None)
+                    twos.append(None)
                     ls.append(0)
-                    tokens.append([])
+                    tokens.append(())
                     continue
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                h = xxhash.xxh3_128_intdigest(s.tobytes())
+                ones.append((h >> 64) - (1 << 63))
+                twos.append((h & ((1 << 64) - 1)) - (1 << 63))
                 ranked, f = order.sorted(s)
                 length, l = _plan_prefix(ranked, f, num, den)
                 ls.append(l)
-                tokens.append(ranked[:length].view(np.int64))
+                tokens.append(ranked[: length + (l == 1)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ls, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                [
+                    batch.column(0), batch.column(1), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array(ls, pa.int32()), pa.array(tokens, pa.list_(pa.int64())),
+                ],
                 names=schema.names,
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
-    """Compare the full sets of each pair ``a, b, big``: adds ``near, far, n, d, diff``.
+def _verified(grouped: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
+    """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, diff``.
 
-    For a pair with ``big`` b is the pivot of a long list; d is the size of the difference of a and b, and ``diff`` as much
-    of it, in token order, as pairs of the list's members may need: see ``_difference_pairs``.
+    ``grouped`` holds texts ``b, blk, node, big, text``, sorted, the text of b first in each group of ``b, blk``: one set of b
+    and one text of another member are in memory. For a pair with ``big`` b is the pivot of a long list; d is the size of the
+    difference of a and b, and ``diff`` as much of it, in token order, as pairs of the list's members may need: see
+    ``_difference_pairs``.
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
         T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.LongType()),
         T.StructField("d", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
     ])
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, recent = shared.value, OrderedDict()
-
-        def of(node: int, text: str) -> np.ndarray:
-            got = recent.get(node)
-            if got is None:
-                got = recent[node] = shingles(text, words)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return got
-
+        order, pivot, y = shared.value, None, None
         for batch in batches:
             rows = []
-            for a, b, big, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x, y = of(a, ta), of(b, tb)
+            for b, node, big, text in zip(*(batch.column(c) for c in ("b", "node", "big", "text")), strict=True):
+                b, a, big = b.as_py(), node.as_py(), big.as_py()
+                if a == b:
+                    pivot, y = b, shingles(text.as_py(), words)
+                    continue
+                if pivot != b:
+                    raise ValueError("a group without its pivot")
+                x = shingles(text.as_py(), words)
                 n, m = len(x), len(y)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                twice = both[1:] == both[:-1]
-                inter = int(twice.sum())
+                inter = int((both[1:] == both[:-1]).sum())
                 near = den * inter >= num * (n + m - inter)
                 d = n + m - 2 * inter
                 # No member near b can reach a: their differences to b are too unlike in size.
@@ -218,13 +226,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int,
                     diff = own.view(np.int64)[: short if near else max(short, n * (den - num) // num + 1)]
                 rows.append((a, b, big, near, far, n, d, diff))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
-                names=schema.names,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
 
-    ta, tb = texts.where("is_a").select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.where("is_b").select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b", "big").join(ta, "a").join(tb, "b").select("a", "b", "big", "ta", "tb").mapInArrow(run, schema)
+    return grouped.mapInArrow(run, schema)
 
 
 def _alike(n: str, m: str, num: int, den: int) -> str:
@@ -265,14 +269,32 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
-    """New token lists ``key, node, n, l, layer, mids``: members of a pivot's ball that are not near it, by each token of
-    their ``_short`` prefixes. Any two of them that are linked meet in one; copies of another text among them are
-    linked through a pivot of their own in the next round.
+    """New lists ``key, node, n`` of members of a pivot's ball that are not near it, by each token of their ``_short`` prefixes.
+
+    Any two of them that are linked meet in one; copies of another text among them are linked through a pivot of their
+    own in a later round.
     """
     mid = _spread(found.where("big AND NOT far AND NOT near"), _short(num, den))
-    rows = mid.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), "n")
-    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), F.lit(0).alias("mids"), "size")
+    return mid.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), "n")
+
+
+def _split_lists(long: DataFrame, lists: DataFrame) -> DataFrame:
+    """Lists ``key, node, n`` of two tokens each, of the members of long lists of one token.
+
+    Linked sets share a token of layer 1, which the long list is of, and another one of layers 1 and 2, so any two of its
+    linked members meet again by both.
+    """
+    other = lists.where("layer <= 2").select("node", F.col("key").alias("other"))
+    both = long.select("key", "node", "n").join(other, "node").where("key <> other")
+    return both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n").distinct()
+
+
+def _as_lists(rows: DataFrame) -> DataFrame:
+    """Lists in which one shared key asks for a comparison; those of one member are left out."""
+    rows = staged(rows)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    central = F.count("*").over(Window.partitionBy("node")).cast("double")
+    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(2).alias("level"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,54 +308,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     An empty table gives an empty result.
 
     Equal sets are merged first. Each set's rarest tokens are its prefix, longer where candidates are estimated to
-    be many, and then more tokens must match. Every token list is linked through a pivot: each member is compared with one of the
-    list, so a group of copies costs as many comparisons as it has members. Then what may still link different
+    be many, and then more tokens must match. Every token list is linked through a pivot, the member with the largest
+    share of its prefix in lists (of a family of edited copies, the text they were made from): each member is compared with
+    one of the list, so a group of copies costs as many comparisons as it has members. Then what may still link different
     components is compared: all pairs of short lists that share enough prefix tokens, and of long lists those
-    whose differences to the pivot agree. No list, component or set of links is ever in one task or on the driver.
+    whose differences to the pivot agree. Lists that stay long are split by a second token, and get pivots until they
+    are short. No list, component or set of links is ever in one task or on the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(_Order(sketch(docs, words)))
+    bits = min(max(docs.count().bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    shared = spark.sparkContext.broadcast(_Order(sketch(docs, words, bits)))
     rows = staged(prefixes(docs, shared, words, num, den))
-    usable = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    fat = staged(usable.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("tokens").alias("tokens")))
-    entries = fat.select("node", "n", "l", F.posexplode("tokens").alias("pos", "key"))
+    usable = rows.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
+    fat = usable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("tokens").alias("tokens"))
+    # Numbers of sets; fixed once they are written.
+    fat = staged(fat.withColumn("node", F.monotonically_increasing_id()))
+    entries = fat.select("node", "n", "l", F.size("tokens").alias("long"), F.posexplode("tokens").alias("pos", "key"))
     # Position pos belongs to the prefixes for this many matches and more.
-    entries = entries.select("key", "node", "n", "l", F.greatest(F.expr(f"pos - (n - (n * {num} + {den - 1}) div {den} + 1) + 2"), F.lit(1)).cast("int").alias("layer"))
+    entries = entries.select("key", "node", "n", "l", F.greatest(F.expr(f"pos - (n - (n * {num} + {den - 1}) div {den} + 1) + 2"), F.lit(1)).cast("int").alias("layer"), "long")
     # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split.
     shared_keys = staged(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    central = F.count("*").over(Window.partitionBy("node")) / F.col("long")
     # Bit k of mids: in round k the member was neither near nor far of the list's pivot.
-    lists = staged(entries.join(shared_keys, "key").withColumn("mids", F.lit(0)))
+    lists = staged(entries.join(shared_keys, "key").select("key", "node", "n", "l", "layer", "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(1).alias("level")))
     # Tokens are not needed again: only narrow tables stay on disk.
     nodes, slim = staged(fat.drop("tokens")), staged(rows.drop("tokens"))
-    unstage(fat)
-    unstage(rows)
-    rows, usable = slim, slim.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    release(spark)
+    for used in (fat, rows, shared_keys):
+        unstage(used)
+    rows, usable = slim, slim.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
     repeated = not usable.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    texts = docs.where("doc_id IS NOT NULL").withColumn("th", F.xxhash64("text"))
+    kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs)
-        sides = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b"))
-        sides = sides.union(pairs.select("b", F.lit(False), F.lit(True))).groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
-        wanted = staged(sides.join(nodes.select("node", "of.*"), "node"))
+        pairs = staged(pairs.select("a", "b", "big"))
+        # A pivot's text goes once to each group of about BLOCK members, so a hot pivot is many groups.
+        blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+        dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("blk"), F.col("a").alias("node"), "big")
+        dealt = dealt.union(dealt.select("b", "blk", F.col("b"), F.lit(False)).distinct())
+        wanted = staged(dealt.join(nodes.select("node", "of.*"), "node"))
         few = wanted.count() <= BROADCAST_IDS
         # Few ids are broadcast, so that texts are filtered where they are read; more are joined by a shuffle.
-        texts = docs.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("node", "text", "is_a", "is_b")
-        texts = staged(texts.dropDuplicates(["node"]) if repeated else texts)
-        done = staged(_verified(pairs, texts, shared, words, num, den))
-        for used in (pairs, wanted, texts):
-            unstage(used)
-        release(spark)
+        got = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("b", "blk", "node", "big", "text")
+        if repeated:
+            got = got.dropDuplicates(["b", "blk", "node"])
+        got = got.repartition("b", "blk").sortWithinPartitions("b", "blk", F.col("node") != F.col("b"))
+        done = staged(_verified(got, shared, words, num, den))
+        kept.append(done)
+        unstage(pairs)
+        unstage(wanted)
         return done
 
-    links, more, open_, direct = None, None, lists, lists.where(F.col("size") <= DIRECT)
-    for k in range(ROUNDS):
-        pivots = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("p"), F.count("*").alias("now"))
-        pivots = staged(pivots)
-        star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
+    columns = lists.columns
+    # Linked sets share a token of layer 1; if its list is long, they are found there, else among short lists, by as many
+    # shared tokens as the smaller l asks for.
+    wide = F.col("size") > DIRECT
+    start = lists.where(F.when(wide, F.col("layer") == 1).otherwise(F.col("layer") <= F.col("l")))
+    links, more, open_, direct, k = None, None, start, start.where(~wide), 0
+    while True:
+        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "l", "layer")).alias("p")
+        pivots = staged(open_.groupBy("key").agg(first, F.count("*").alias("now")))
+        kept.append(pivots)
+        star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
         reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num})"
-        star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den))))
+        star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl)")))
         found = verify(star.where("meets AND node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("big").alias("big")))
         near = found.where("near").select("a", "b")
         links = near if links is None else links.union(near)
@@ -342,28 +381,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         pairs = _difference_pairs(found, num, den)
         more = pairs if more is None else more.union(pairs)
         known = found.where("big").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "far")
-        judged = star.where("big AND node <> pivot").drop("near", "far").join(known, ["node", "pivot"], "left")
+        judged = star.where("big AND node <> pivot").join(known, ["node", "pivot"], "left")
         judged = judged.where("NOT coalesce(near, false)").withColumn("far", F.coalesce("far", F.lit(True)))
-        judged = judged.withColumn("mids", F.when(F.col("far"), F.col("mids")).otherwise(F.col("mids") + (1 << k)))
+        judged = judged.withColumn("mids", F.when(F.col("far") | F.lit(k > 30), F.col("mids")).otherwise(F.col("mids").bitwiseOR(F.lit(1 << min(k, 30)))))
         again = judged.groupBy("key").agg(F.count("*").alias("size"), F.max("far").alias("any_far")).where("any_far AND size > 1")
-        open_ = staged(judged.select("key", "node", "n", "l", "layer", "mids").join(again.select("key", "size"), "key").unionByName(_difference_lists(found, num, den)))
+        left = staged(judged.drop("size").join(again.select("key", "size"), "key").select(*columns))
+        kept.append(left)
+        short, stays = left.where(~wide), left.where(wide)
+        new = _difference_lists(found, num, den)
+        if k + 1 >= ROUNDS:
+            new = new.union(_split_lists(stays.where("level = 1"), lists))
+            stays = stays.where("level > 1")
+        new = staged(_as_lists(new))
+        kept.append(new)
+        direct = direct.union(short).union(new.where(~wide))
+        open_ = stays.union(new.where(wide))
+        k += 1
         if open_.isEmpty():
             break
-        direct = direct.union(open_.where(F.col("size") <= DIRECT if k < ROUNDS - 1 else F.lit(True)).select(*direct.columns))
-        open_ = open_.where(F.col("size") > DIRECT)
 
     labels = connected_components(links)
     direct = direct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = direct.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "l", "layer", "label", "mids")])
-    right = direct.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "l", "layer", "label", "mids")])
-    met = left.join(right, "key").where(
+    sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "label", "mids")]) for side in "lr"]
+    met = sides[0].join(sides[1], "key").where(
         f"l_node < r_node AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
         # Two members in one pivot's ball have been compared through their differences.
         " AND (l_mids & r_mids) = 0"
     )
-    met = met.groupBy(F.col("l_node").alias("a"), F.col("r_node").alias("b")).agg(F.countDistinct("key").alias("shared"), F.first(F.least("l_l", "r_l")).alias("asked"))
+    met = met.groupBy(F.col("l_node").alias("a"), F.col("r_node").alias("b")).agg(F.countDistinct("key").alias("shared"), F.min(F.least("l_l", "r_l")).alias("asked"))
     # Tokens that a and b may also share in long lists, which are not paired here.
-    long_lists = lists.where(F.col("size") > DIRECT).groupBy(F.col("node").alias("a")).agg(F.count("*").alias("elsewhere"))
+    long_lists = lists.where(wide & (F.col("layer") <= F.col("l"))).groupBy(F.col("node").alias("a")).agg(F.count("*").alias("elsewhere"))
     enough = met.join(long_lists, "a", "left").where("shared + coalesce(elsewhere, 0) >= asked").select("a", "b")
     if more is not None:
         la, lb = labels.withColumnsRenamed({"node": "a", "label": "x"}), labels.withColumnsRenamed({"node": "b", "label": "y"})
@@ -372,10 +419,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     late = verify(enough.withColumn("big", F.lit(False))).where("near").select("a", "b")
     if not late.isEmpty():
         labels = connected_components(links.union(late))
-    classes = nodes.select("node", F.col("of").alias("rep")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = nodes.select("node", "s1", "s2", F.col("of").alias("rep")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("rep").alias("least"))
-    classes = classes.join(least, "label").select("node", F.col("rep.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("component_th"))
-    out = rows.select("doc_id", "th", "node", F.col("n").cast("long").alias("n_shingles")).join(classes, "node", "left")
+    classes = staged(classes.join(least, "label").select("s1", "s2", F.col("rep.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("component_th")))
+    for used in (lists, nodes, *kept):
+        unstage(used)
+    out = rows.select("doc_id", "th", "s1", "s2", F.col("n").alias("n_shingles")).join(classes, ["s1", "s2"], "left")
     known = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
