@@ -183,13 +183,12 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
-def _verified(grouped: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
+def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, diff``.
 
     ``grouped`` holds texts ``b, blk, node, big, text``, sorted, the text of b first in each group of ``b, blk``: one set of b
     and one text of another member are in memory. For a pair with ``big`` b is the pivot of a long list; d is the size of the
-    difference of a and b, and ``diff`` as much of it, in token order, as pairs of the list's members may need: see
-    ``_difference_pairs``.
+    difference of a and b, and ``diff`` the difference itself, unless they are far.
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
@@ -199,7 +198,7 @@ def _verified(grouped: DataFrame, shared: Broadcast, words: int, num: int, den:
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, pivot, y = shared.value, None, None
+        pivot, y = None, None
         for batch in batches:
             rows = []
             for b, node, big, text in zip(*(batch.column(c) for c in ("b", "node", "big", "text")), strict=True):
@@ -220,10 +219,7 @@ def _verified(grouped: DataFrame, shared: Broadcast, words: int, num: int, den:
                 far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num)
                 diff = ()
                 if big and not far and d:
-                    # Tokens of the pivot come last: what is its own is in the difference of every member.
-                    own = np.concatenate([order.sorted(np.setdiff1d(x, y, True))[0], order.sorted(np.setdiff1d(y, x, True))[0]])
-                    short = d - -(-d * num // (den + num)) + 1
-                    diff = own.view(np.int64)[: short if near else max(short, n * (den - num) // num + 1)]
+                    diff = np.setxor1d(x, y, True).view(np.int64)
                 rows.append((a, b, big, near, far, n, d, diff))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
@@ -235,47 +231,84 @@ def _alike(n: str, m: str, num: int, den: int) -> str:
     return f"{den} * least({n}, {m}) >= {num} * greatest({n}, {m})"
 
 
-def _spread(df: DataFrame, first: str) -> DataFrame:
-    """A row for each of the first tokens of a difference, with its place ``at``."""
-    return df.select("b", "a", "n", "d", F.posexplode(F.expr(f"slice(diff, 1, int(greatest({first}, 0)))")).alias("at", "token"))
+def _reaches(x: str, y: str, before: str, num: int, den: int) -> str:
+    """Whether sets that share a token at their places ``pos``, and at most ``before`` tokens that come earlier, may be linked."""
+    earlier = f"least({before}, {x}pos, {y}pos)" if before else "0"
+    return f"(least({x}n - {x}pos, {y}n - {y}pos) + {earlier}) * {den + num} >= ({x}n + {y}n) * {num}"
 
 
-def _short(num: int, den: int) -> str:
-    return f"d - (d * {num} + {den + num - 1}) div {den + num} + 1"
+def _need(d: str, other: str, n: str, num: int, den: int) -> str:
+    """Tokens that a difference of size d shares with one of size ``other`` or more of a linked member; n is the set's size.
+
+    x and y are linked only if |Dx ^ Dy| = |Dx| + |Dy| - 2 |Dx & Dy| is at most n (den - num) / num.
+    """
+    return f"greatest(0, ({d} + {other} - ({n} * {den - num}) div {num} + 1) div 2)"
+
+
+def _having(tokens: DataFrame, common: DataFrame) -> DataFrame:
+    """Of ``b, node, n, d, need, token`` the tokens that are in ``common`` (``b, token, size``), of members that have ``need`` such
+    tokens; their number is ``c``."""
+    met = tokens.drop("size", "c").join(common, ["b", "token"])
+    return met.join(met.groupBy("b", "node").agg(F.count("*").alias("c")), ["b", "node"]).where("c >= need")
+
+
+def _sizes(tokens: DataFrame, least: int) -> DataFrame:
+    return tokens.groupBy("b", "token").agg(F.count("*").alias("size")).where(F.col("size") >= least)
 
 
 def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of a member near a long list's pivot and one that is not, from their differences Dx to the pivot.
+    """Candidate pairs of a member near a long list's pivot and one that is not, from their differences to the pivot.
 
-    x and y are linked only if |Dx ^ Dy| = |Dx| + |Dy| - 2 |Dx & Dy| is at most K, which grows with their sizes, so Dx
-    and Dy share at least r = (|Dx| + |Dy| - K) / 2 tokens, and one that is among the first |D| - r + 1 of both. Near
-    members are linked through the pivot. If x is not near it, r is above 0 and at least num / (den + num) of each
-    difference (``_short`` prefixes); with a near partner r may be less for x, so more of its tokens are tried. Far members
-    cannot be linked to near ones and stay for the next round.
+    Near members are linked through the pivot, and so are far ones with none of them. A member that is not near shares at
+    least one token of its difference with a linked near one. Each side keeps the members that have enough tokens in common
+    with the other side as a whole, twice, and the rest is paired by prefixes of the rarest tokens.
     """
     ball = found.where("big AND NOT far")
-    largest = f"(n * {den - num}) div {num}"
     mid, near = ball.where("NOT near"), ball.where("near")
-    # The smallest difference of a member that is not near bounds r for the near ones from below.
-    near = near.join(mid.groupBy("b").agg(F.min("d").alias("least")), "b")
-    some = f"least({_short(num, den)}, d - greatest(1, (least + d - {largest} + 1) div 2) + 1)"
+    bounds = near.groupBy("b").agg(F.min("d").alias("least_near")).join(mid.groupBy("b").agg(F.min("d").alias("least_mid")), "b")
+
+    def tokens(side: DataFrame, least: str) -> DataFrame:
+        need = F.expr(f"greatest(1, {_need('d', least, 'n', num, den)})")
+        return side.join(bounds, "b").select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
+
+    mids, nears = tokens(mid, "least_near"), tokens(near, "least_mid")
+    for _ in range(2):
+        nears = staged(_having(nears, _sizes(mids, 1)))
+        mids = staged(_having(mids, _sizes(nears, 1)))
+    common = _sizes(nears, 1).withColumnRenamed("size", "order")
+    at = F.row_number().over(Window.partitionBy("b", "node").orderBy("order", "token")) - 1
     sides = []
-    for df, first, side in ((mid, f"{largest} + 1", "l"), (near, some, "r")):
-        part = _spread(df.withColumn("diff", F.expr(f"slice(diff, 1, int(greatest({first}, 0)))")), "size(diff)")
-        sides.append(part.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("a", "n", "d", "at")]))
+    for df, side in ((mids, "l"), (nears, "r")):
+        first = df.join(common, ["b", "token"]).withColumn("at", at).where("at <= c - need")
+        sides.append(first.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "d", "c", "at")]))
     r = f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
-    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= ld - {r} AND rat <= rd - {r}")
-    return met.select(F.least("la", "ra").alias("a"), F.greatest("la", "ra").alias("b")).distinct()
+    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= lc - {r} AND rat <= rc - {r}")
+    return met.select(F.least("lnode", "rnode").alias("a"), F.greatest("lnode", "rnode").alias("b")).distinct()
 
 
 def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
-    """New lists ``key, node, n`` of members of a pivot's ball that are not near it, by each token of their ``_short`` prefixes.
+    """New lists ``key, node, n`` of members of a pivot's ball that are not near it, in which any two linked ones meet.
 
-    Any two of them that are linked meet in one; copies of another text among them are linked through a pivot of their
-    own in a later round.
+    Linked members share at least ``need`` tokens of their differences. Those that have fewer than that in common with all
+    others of the ball together are linked with none of them (edits that others do not have count for nothing), which
+    leaves few. The rest meet by the rarest tokens of the ball in their differences. Where a list is long it is
+    split by a second token. Copies of another text are linked through a pivot of their own in a later round.
     """
-    mid = _spread(found.where("big AND NOT far AND NOT near"), _short(num, den))
-    return mid.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), "n")
+    mid = found.where("big AND NOT far AND NOT near")
+    mid = mid.join(mid.groupBy("b").agg(F.min("d").alias("least")), "b")
+    need = F.expr(f"greatest(1, (d * {num} + {den + num - 1}) div {den + num}, {_need('d', 'least', 'n', num, den)})")
+    tokens = mid.select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
+    for _ in range(2):
+        tokens = _having(tokens, _sizes(tokens, 2))
+    at = F.row_number().over(Window.partitionBy("b", "node").orderBy("size", "token")) - 1
+    # Of c tokens, two members that share s have one in common among their first c - s + 1, and two among the first c - s + 2.
+    ranked = staged(tokens.withColumn("at", at).where("at < c - need + 2").select("b", "token", "node", "n", "need", (F.col("at") < F.col("c") - F.col("need") + 1).alias("first")))
+    sized = ranked.where("first").join(ranked.where("first").groupBy("b", "token").agg(F.count("*").alias("size")).where("size > 1"), ["b", "token"])
+    # Members that need one token only may share no second one.
+    few = sized.where((F.col("size") <= DIRECT) | (F.col("need") == 1)).select(F.xxhash64("b", "token").alias("key"), "node", "n")
+    second = ranked.select("b", "node", F.col("token").alias("other"))
+    two = sized.where(F.col("size") > DIRECT).join(second, ["b", "node"]).where("token <> other")
+    return few.union(two.select(F.xxhash64("b", F.least("token", "other"), F.greatest("token", "other")).alias("key"), "node", "n").distinct())
 
 
 def _split_lists(long: DataFrame, lists: DataFrame) -> DataFrame:
@@ -294,7 +327,7 @@ def _as_lists(rows: DataFrame) -> DataFrame:
     rows = staged(rows)
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     central = F.count("*").over(Window.partitionBy("node")).cast("double")
-    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(2).alias("level"))
+    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), F.lit(0).alias("pos"), "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(2).alias("level"), F.lit(True).alias("leads"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -326,12 +359,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     fat = staged(fat.withColumn("node", F.monotonically_increasing_id()))
     entries = fat.select("node", "n", "l", F.size("tokens").alias("long"), F.posexplode("tokens").alias("pos", "key"))
     # Position pos belongs to the prefixes for this many matches and more.
-    entries = entries.select("key", "node", "n", "l", F.greatest(F.expr(f"pos - (n - (n * {num} + {den - 1}) div {den} + 1) + 2"), F.lit(1)).cast("int").alias("layer"), "long")
+    entries = entries.select("key", "node", "n", "l", F.greatest(F.expr(f"pos - (n - (n * {num} + {den - 1}) div {den} + 1) + 2"), F.lit(1)).cast("int").alias("layer"), "pos", "long")
     # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split.
     shared_keys = staged(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     central = F.count("*").over(Window.partitionBy("node")) / F.col("long")
     # Bit k of mids: in round k the member was neither near nor far of the list's pivot.
-    lists = staged(entries.join(shared_keys, "key").select("key", "node", "n", "l", "layer", "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(1).alias("level")))
+    lists = staged(entries.join(shared_keys, "key").select("key", "node", "n", "l", "layer", "pos", "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(1).alias("level"), F.lit(True).alias("leads")))
     # Tokens are not needed again: only narrow tables stay on disk.
     nodes, slim = staged(fat.drop("tokens")), staged(rows.drop("tokens"))
     for used in (fat, rows, shared_keys):
@@ -354,7 +387,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         if repeated:
             got = got.dropDuplicates(["b", "blk", "node"])
         got = got.repartition("b", "blk").sortWithinPartitions("b", "blk", F.col("node") != F.col("b"))
-        done = staged(_verified(got, shared, words, num, den))
+        done = staged(_verified(got, words, num, den))
         kept.append(done)
         unstage(pairs)
         unstage(wanted)
@@ -367,12 +400,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     start = lists.where(F.when(wide, F.col("layer") == 1).otherwise(F.col("layer") <= F.col("l")))
     links, more, open_, direct, k = None, None, start, start.where(~wide), 0
     while True:
-        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "l", "layer")).alias("p")
+        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "l", "layer", "pos")).alias("p")
         pivots = staged(open_.groupBy("key").agg(first, F.count("*").alias("now")))
         kept.append(pivots)
-        star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
+        star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), F.col("p.pos").alias("ppos"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
         reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num})"
-        star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl)")))
+        star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl) AND " + _reaches("", "p", "", num, den))))
         found = verify(star.where("meets AND node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("big").alias("big")))
         near = found.where("near").select("a", "b")
         links = near if links is None else links.union(near)
@@ -383,11 +416,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         known = found.where("big").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "far")
         judged = star.where("big AND node <> pivot").join(known, ["node", "pivot"], "left")
         judged = judged.where("NOT coalesce(near, false)").withColumn("far", F.coalesce("far", F.lit(True)))
+        judged = judged.withColumn("leads", F.col("far"))
         judged = judged.withColumn("mids", F.when(F.col("far") | F.lit(k > 30), F.col("mids")).otherwise(F.col("mids").bitwiseOR(F.lit(1 << min(k, 30)))))
-        again = judged.groupBy("key").agg(F.count("*").alias("size"), F.max("far").alias("any_far")).where("any_far AND size > 1")
-        left = staged(judged.drop("size").join(again.select("key", "size"), "key").select(*columns))
+        # Only far members have pairs left, with each other and with the rest: few of them are paired with all.
+        again = judged.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("far").cast("int")).alias("n_far")).where("n_far > 0 AND size > 1")
+        left = staged(judged.drop("size").join(again, "key").select(*columns, "n_far"))
         kept.append(left)
-        short, stays = left.where(~wide), left.where(wide)
+        done = ~wide | (F.col("n_far") <= DIRECT // 2)
+        short, stays = left.where(done).drop("n_far"), left.where(~done).drop("n_far")
         new = _difference_lists(found, num, den)
         if k + 1 >= ROUNDS:
             new = new.union(_split_lists(stays.where("level = 1"), lists))
@@ -401,17 +437,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             break
 
     labels = connected_components(links)
-    direct = direct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "label", "mids")]) for side in "lr"]
-    met = sides[0].join(sides[1], "key").where(
-        f"l_node < r_node AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
+    # Tokens that a member may also share in long lists, which are not paired here.
+    long_lists = lists.where(wide & (F.col("layer") <= F.col("l"))).groupBy("node").agg(F.count("*").alias("more"))
+    direct = direct.join(labels, "node", "left").join(long_lists, "node", "left")
+    direct = direct.withColumns({"label": F.coalesce("label", "node"), "more": F.coalesce("more", F.lit(0))})
+    sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "pos", "label", "mids", "leads", "more")]) for side in "lr"]
+    met = sides[0].where("l_leads").join(sides[1], "key").where(
+        f"(NOT r_leads OR l_node < r_node) AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
         # Two members in one pivot's ball have been compared through their differences.
         " AND (l_mids & r_mids) = 0"
     )
-    met = met.groupBy(F.col("l_node").alias("a"), F.col("r_node").alias("b")).agg(F.countDistinct("key").alias("shared"), F.min(F.least("l_l", "r_l")).alias("asked"))
-    # Tokens that a and b may also share in long lists, which are not paired here.
-    long_lists = lists.where(wide & (F.col("layer") <= F.col("l"))).groupBy(F.col("node").alias("a")).agg(F.count("*").alias("elsewhere"))
-    enough = met.join(long_lists, "a", "left").where("shared + coalesce(elsewhere, 0) >= asked").select("a", "b")
+    pair = [F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")]
+    # The first token that a linked pair shares here has all the others behind it, but for those in long lists.
+    first = F.max(F.expr(_reaches("l_", "r_", "least(l_more, r_more)", num, den))).alias("reaches")
+    met = met.groupBy(*pair).agg(F.countDistinct("key").alias("shared"), F.min(F.least("l_l", "r_l")).alias("asked"), F.min(F.least("l_more", "r_more")).alias("elsewhere"), first)
+    enough = met.where("reaches AND shared + elsewhere >= asked").select("a", "b")
     if more is not None:
         la, lb = labels.withColumnsRenamed({"node": "a", "label": "x"}), labels.withColumnsRenamed({"node": "b", "label": "y"})
         more = more.join(la, "a", "left").join(lb, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
