@@ -5,13 +5,17 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 #: Elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,8 +40,16 @@ BEFORE = frozenset("no not non without with has have is hide disable".split())
 AFTER = frozenset("free off none less disabled closed".split())
 #: Elements that no class word marks.
 NEVER = frozenset("html body article main".split())
+#: Elements that may wrap a whole page as well as a part outside the article.
+WRAPPERS = frozenset(("form", "fieldset"))
 #: A mark does not hold for an element with more than this share of the page's text (of text that readers wrote).
 MOST, MOST_ANSWERS = 0.5, 0.9
+#: What the score of a path counts for in a marked element, and in an article or main element.
+MARKED, CONTAINED = 0.05, 20.0
+#: What a level between two paths takes from their smoothing, up to so many levels.
+LEVEL, LEVELS = 0.75, 8
+#: What the ratios of all text around a path add to its own.
+AROUND = 0.5
 #: A start tag of the first set ends an open element of the second.
 ENDS = {
     **{t: frozenset(("p",)) for t in BLOCKS - {"html", "head", "body"}},
@@ -60,35 +72,52 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 @dataclass
 class Block:
-    path: str
+    """A piece of text: its element, its tag path, and how many of its characters are in links."""
+
+    element: int
+    path: int
     text: str
     links: int
-    outside: bool
-    inside: bool
-    marks: tuple[int, ...] = ()
-    above: tuple[int, ...] = ()
 
 
 @dataclass
-class _Open:
-    """``marks`` are numbers of marks by class words, ``above`` those of them that stand above the article element."""
+class Page:
+    """Elements and tag paths as parent numbers, smaller than their own; number 0 is the page.
+
+    ``marks`` holds for each element the share of the page's text beyond which its mark falls (over 1: never), or 0 if it has
+    none. Paths are equal if their tags and first class words are, from the root on.
+    """
 
-    tag: str
-    path: str
-    outside: bool
-    inside: bool
-    marks: tuple[int, ...] = ()
-    above: tuple[int, ...] = ()
+    parent: list[int] = field(default_factory=lambda: [0])
+    marks: list[float] = field(default_factory=lambda: [0.0])
+    inside: list[bool] = field(default_factory=lambda: [False])
+    main: list[bool] = field(default_factory=lambda: [False])
+    above: list[int] = field(default_factory=lambda: [0])
+    root: list[bool] = field(default_factory=lambda: [True])
+    blocks: list[Block] = field(default_factory=list)
 
 
 @dataclass
-class PathScore:
+class Ratio:
+    """Sums over the blocks of a path, or of all paths below one."""
+
     chars: int = 0
     marks: int = 0
     links: int = 0
     blocks: int = 0
-    score: float = 0.0
-    fixed: float | None = field(default=None)
+
+    def add(self, other: Ratio) -> None:
+        self.chars += other.chars
+        self.marks += other.marks
+        self.links += other.links
+        self.blocks += other.blocks
+
+    def fused(self) -> float:
+        """Text ratio and punctuation ratio, characters and marks per block, as one number; text in links does not count."""
+        if not self.blocks:
+            return 0.0
+        plain = max(0, self.chars - self.links) / self.chars
+        return math.log1p(self.chars / self.blocks) * math.log(1.5 + self.marks / self.blocks) * plain
 
 
 def _named(value: str) -> set[str]:
@@ -120,51 +149,36 @@ def _marked(attributes: str) -> tuple[str, bool, set[str]]:
     return first, hidden, words
 
 
-def _settle(found: list[Block], answers: list[bool]) -> list[Block]:
-    """Decide which marks by class words hold, and set ``outside`` of the blocks under those.
-
-    A mark on an element with most of the page's text names a wrapper and falls. Where no article
-    or main element is left with text, those below a mark are freed of it.
-    """
-    seen = [0] * len(answers)
-    total = 0
-    for b in found:
-        if not b.outside:
-            size = max(0, len(b.text) - b.links) if PUNCTUATION.search(b.text) else 0
-            total += size
-            for k in b.marks:
-                seen[k] += size
-    fallen = {k for k, n in enumerate(seen) if n > (MOST_ANSWERS if answers[k] else MOST) * total}
-    clean = any(b.inside and not b.outside and fallen.issuperset(b.marks) for b in found)
-    for b in found:
-        held = set(b.marks) - fallen
-        b.outside |= bool(held if clean else held.difference(b.above))
-    return found
-
-
-def blocks(source: str) -> list[Block]:
-    """The text blocks of a page in order, each with its tag path from the root.
+def parse(source: str) -> Page:
+    """The text blocks of a page in order, with their elements and tag paths.
 
     Missing end tags are implied as browsers do for paragraphs, list items and table cells; stray end tags are
-    passed over; an element that is never closed runs to the end. Inline elements are no part of a path. Class words
-    mark an element, but not one that wraps the article: see ``_settle``.
+    passed over; an element that is never closed runs to the end. Inline elements are no part of a path; hidden ones have
+    no text. Time and memory grow with the page, however deep it is nested.
     """
-    out: list[Block] = []
-    stack = [_Open("", "", False, False)]
-    answers: list[bool] = []
+    page = Page()
+    known: dict[tuple[int, str], int] = {}
+    # Open elements: number, tag, path, hidden.
+    stack = [(0, "", 0, False)]
+    open_tags: Counter = Counter()
     buffer: list[str] = []
     links, in_link = 0, 0
 
     def flush() -> None:
         nonlocal links
         if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
+            element, _, path, hidden = stack[-1]
+            text = "" if hidden else " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                top = stack[-1]
-                out.append(Block(top.path, text, min(links, len(text)), top.outside, top.inside, top.marks, top.above))
+                page.blocks.append(Block(element, path, text, min(links, len(text))))
             buffer.clear()
         links = 0
 
+    def close(k: int) -> None:
+        for _, tag, _, _ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
+
     at, end = 0, len(source)
     while at < end:
         m = TOKEN.search(source, at)
@@ -183,14 +197,16 @@ def blocks(source: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            elif tag in BLOCKS and any(x.tag == tag for x in stack):
+            elif tag in BLOCKS and open_tags[tag]:
                 flush()
-                while stack.pop().tag != tag:
-                    pass
+                k = len(stack) - 1
+                while stack[k][1] != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = close.end() if close else end
+            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            at = shut.end() if shut else end
             continue
         if tag == "br" or tag == "wbr" or tag == "img":
             buffer.append(" " if tag == "br" else "")
@@ -201,78 +217,128 @@ def blocks(source: str) -> list[Block]:
             if tag in VOID:
                 continue
             closes = ENDS.get(tag, frozenset())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            if any(open_tags[t] for t in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][1] in closes:
+                        close(k)
+                        break
+                    if stack[k][1] in SCOPES:
+                        break
             if tag == "p":
                 in_link = 0
             first, hidden, words = _marked(m[3]) if m[3] else ("", False, ())
-            top = stack[-1]
-            outside = top.outside or (hidden and tag not in ("html", "body")) or tag in OUTSIDE or (tag == "header" and not top.inside)
-            marks, above = top.marks, top.above
-            if tag in CONTAINERS and not top.inside:
-                # There is one main element: no mark reaches into it.
-                marks = above = () if tag == "main" else marks
-            if words and tag not in NEVER:
-                marks = (*marks, len(answers))
-                answers.append(ANSWERS.issuperset(words))
-            path = f"{top.path}/{tag}" + (f".{first}" if first else "")
-            stack.append(_Open(tag, path, outside, top.inside or tag in CONTAINERS, marks, above))
+            up, _, above, gone = stack[-1]
+            label = f"{tag}.{first}" if first else tag
+            path = known.setdefault((above, label), len(page.above))
+            if path == len(page.above):
+                page.above.append(above)
+                page.root.append(page.root[above] and tag in ("html", "body"))
+            mark = 0.0
+            if tag in WRAPPERS:
+                mark = MOST
+            elif tag in OUTSIDE or (tag == "header" and not page.inside[up]):
+                mark = 2.0
+            elif words and tag not in NEVER:
+                mark = MOST_ANSWERS if ANSWERS.issuperset(words) else MOST
+            page.parent.append(up)
+            page.marks.append(mark)
+            # There is one main element: no mark by class words reaches into it.
+            page.main.append(tag == "main" and not page.inside[up])
+            page.inside.append(page.inside[up] or tag in CONTAINERS)
+            stack.append((len(page.parent) - 1, tag, path, gone or (hidden and tag not in ("html", "body"))))
+            open_tags[tag] += 1
     flush()
-    return _settle(out, answers)
-
-
-def path_scores(found: list[Block], sigma: float = 1.0) -> dict[str, PathScore]:
-    """Ratios of each tag path: text length and punctuation over its blocks, fused, smoothed over paths in page order.
-
-    Text ratio is characters per block, punctuation ratio is marks per block; the product of their logarithms is
-    smoothed by a Gaussian over neighbouring paths and reduced by the path's share of text in links. What the markup names as outside an article is
-    fixed at zero.
+    return page
+
+
+def marked_elements(page: Page) -> list[bool]:
+    """Which elements are in one whose mark holds. A mark on an element with most of the page's text names a wrapper and falls."""
+    n = len(page.parent)
+    never = [False] * n
+    for e in range(1, n):
+        never[e] = never[page.parent[e]] or page.marks[e] > 1
+    seen = [0] * n
+    for b in page.blocks:
+        if not never[b.element]:
+            seen[b.element] += len(b.text) - b.links
+    for e in range(n - 1, 0, -1):
+        seen[page.parent[e]] += seen[e]
+    # A mark by class words, and any mark that holds.
+    soft, held = [False] * n, [False] * n
+    for e in range(1, n):
+        holds = 0 < page.marks[e] <= 1 and seen[e] <= page.marks[e] * seen[0]
+        soft[e] = holds or (soft[page.parent[e]] and not page.main[e])
+        held[e] = never[e] or soft[e]
+    return held
+
+
+def path_scores(page: Page, held: list[bool], sigma: float = 1.0) -> dict[int, float]:
+    """The score of each tag path: its ratios, smoothed over the paths in page order, with the ratios around it.
+
+    Ratios are text length and punctuation per block (``Ratio.fused``). The Gaussian over neighbouring paths is narrowed by
+    the levels between two paths, so that a heading is lifted by the paragraphs after it and a menu is not; neighbours in
+    marked elements count for little. What is around a path is all unmarked text below its parent, if that is not the body.
     """
-    paths: dict[str, PathScore] = {}
-    for b in found:
-        s = paths.setdefault(b.path, PathScore())
-        s.chars += len(b.text)
-        s.marks += len(PUNCTUATION.findall(b.text))
-        s.links += b.links
-        s.blocks += 1
-        if b.outside:
-            s.fixed = 0.0
-    order = list(paths.values())
-    raw = [
-        0.0 if s.fixed is not None else math.log1p(s.chars / s.blocks) * math.log1p(s.marks / s.blocks)
-        for s in order
-    ]
+    own: dict[int, Ratio] = {}
+    marked: dict[int, bool] = {}
+    for b in page.blocks:
+        own.setdefault(b.path, Ratio()).add(Ratio(len(b.text), len(PUNCTUATION.findall(b.text)), b.links, 1))
+        marked[b.path] = marked.get(b.path, True) and held[b.element]
+    below = [Ratio() for _ in page.above]
+    for path, ratio in own.items():
+        if not marked[path]:
+            below[path].add(ratio)
+    for path in range(len(page.above) - 1, 0, -1):
+        below[page.above[path]].add(below[path])
+    order = list(own)
+    raw = [own[p].fused() * (MARKED if marked[p] else 1.0) for p in order]
     reach = max(1, round(2 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(reach + 1)]
-    for i, s in enumerate(order):
-        if s.fixed is not None:
-            s.score = s.fixed
-            continue
-        near = [(kernel[abs(i - j)], raw[j]) for j in range(max(0, i - reach), min(len(order), i + reach + 1)) if order[j].fixed is None]
-        s.score = sum(k * x for k, x in near) / sum(k for k, _ in near) * (1 - s.links / max(s.chars, 1))
-    return paths
-
-
-def main_text(source: str | None, share: float = 0.35) -> str:
+    lines = [_line(page, p) for p in order]
+    scores = {}
+    for i, p in enumerate(order):
+        near = [(kernel[abs(i - j)] * _closeness(lines[i], lines[j]), raw[j]) for j in range(max(0, i - reach), min(len(order), i + reach + 1))]
+        smooth = sum(k * x for k, x in near) / sum(k for k, _ in near)
+        up = page.above[p]
+        around = 0.0 if page.root[up] else below[up].fused()
+        scores[p] = (smooth + AROUND * around) * max(0, own[p].chars - own[p].links) / own[p].chars
+    return scores
+
+
+def _line(page: Page, path: int) -> list[int]:
+    """A path and the nearest ones above it."""
+    out = [path]
+    while len(out) <= LEVELS and out[-1]:
+        out.append(page.above[out[-1]])
+    return out
+
+
+def _closeness(x: list[int], y: list[int]) -> float:
+    """``LEVEL`` for each step from two paths up to where they meet."""
+    at = {p: k for k, p in enumerate(x)}
+    for k, p in enumerate(y):
+        if p in at:
+            return LEVEL ** min(k + at[p], 2 * LEVELS)
+    return LEVEL ** (2 * LEVELS)
+
+
+def main_text(source: str | None, share: float = 0.2) -> str:
     """The article of a page; empty if there is none.
 
-    Path scores choose the content region: paths that score at least ``share`` of the best. If an ``article`` or
-    ``main`` element holds a path of that region, the element bounds the article and all its blocks belong to it, however short, but those that the
-    markup names as something else. Without such an element the chosen paths are the article.
+    Its blocks are those whose path scores at least ``share`` of the page's best. What the markup says is a factor of the
+    score: ``MARKED`` below an element that is named like a part outside the article, ``CONTAINED`` below an article or
+    main element. As only the best of the same page counts, a factor that all of a page's text has changes nothing.
     """
-    found = blocks(source or "")
-    if not found:
+    page = parse(source or "")
+    if not page.blocks:
         return ""
-    scores = path_scores(found)
-    best = max(s.score for s in scores.values())
-    chosen = {p for p, s in scores.items() if s.fixed is None and s.score >= share * best}
-    if any(b.inside and b.path in chosen for b in found):
-        return "\n".join(b.text for b in found if b.inside and not b.outside)
-    return "\n".join(b.text for b in found if b.path in chosen and not b.outside)
+    held = marked_elements(page)
+    scores = path_scores(page, held)
+    values = [
+        scores[b.path] * (MARKED if held[b.element] else 1.0) * (CONTAINED if page.inside[b.element] else 1.0) for b in page.blocks
+    ]
+    least = share * max(values)
+    return "\n".join(b.text for b, x in zip(page.blocks, values) if x >= least and x > 0)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -281,12 +347,13 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     Null or empty html gives an empty text. Pages are read one by one: no shuffle, one Arrow batch in memory. Other
     columns stay; one named like ``out`` is replaced. Repeated rows give equal texts; an empty table stays empty.
     """
-    kept = [c for c in pages.columns if c not in (html, out)]
-    schema = pages.select(*kept).schema.add(out, T.StringType())
+    kept = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
+    own = [quoted(c) for c in kept]
+    schema = pages.select(*own).schema.add(out, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x) for x in batch.column(len(kept)).to_pylist()], pa.string())
+            texts = pa.array([main_text(x.as_py()) for x in batch.column(len(kept))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], texts], names=[*kept, out])
 
-    return pages.select(*kept, html).mapInArrow(run, schema)
+    return pages.select(*own, F.col(quoted(html))).mapInArrow(run, schema)
