@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, words
+from .common import packed, quoted, running_sum, staged, unpacked, unstage, words
 
 #: Three primes below 2 ** 31 and three below 2 ** 22. At least one of three does not divide a count.
 PRIMES = (2147483647, 2147483629, 2147483587)
 SHORT_PRIMES = (4194301, 4194287, 4194277)
 ROUNDS = 3
-#: Slots are generated in runs of this many.
-RUN = 1 << 15
+#: Places among all slots are looked up by cells of this many.
+CELL = 256
 #: Documents of one bucket are laid out in one task.
 DOCS_PER_BUCKET = 2_000
 
@@ -85,68 +85,91 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def lay_out(rows: DataFrame, n_rows: int, tie: list[str]) -> DataFrame:
-    """Add ``start, stop``: each row's place in the word stream of its source (``source, size`` are needed).
+    """``row, source, size, start, stop``: each row's place in the word stream of its source.
 
-    A source's stream runs bucket by bucket; a bucket's place comes from the sums of the buckets before it, so no
-    task ever sees a whole source. ``tie`` gives the order in a bucket, so reruns agree.
+    ``rows`` has ``row, source, size`` and the columns of ``tie``. A source's stream runs bucket by bucket; a bucket's
+    place comes from the sums of the buckets before it, so no task ever sees a whole source. ``tie`` gives the order in a
+    bucket, so reruns agree.
     """
     buckets = max(1, -(-n_rows // DOCS_PER_BUCKET))
-    tagged = rows.withColumns({"_h": F.xxhash64(*tie), "_bucket": F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int")})
-    sums = tagged.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
-    # One row for each source and bucket, a source's rows in one task: buckets grow a DOCS_PER_BUCKET-th as fast as rows.
-    offsets = sums.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_offset")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_h", *tie, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = tagged.withColumn("_end", F.sum("size").over(inside)).join(
-        offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))
-    )
-    return placed.withColumns(
-        {"start": F.col("_offset") + F.col("_end") - F.col("size"), "stop": F.col("_offset") + F.col("_end")}
-    ).drop("_h", "_bucket", "_s", "_b", "_offset", "_end")
+    tagged = rows.withColumns({"h": F.xxhash64(*tie), "bucket": F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int")})
+    sums = tagged.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    offsets = running_sum(sums, ["source"], "bucket", "n", "offset").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset")
+    inside = Window.partitionBy("source", "bucket").orderBy("h", *tie, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = tagged.withColumn("end", F.sum("size").over(inside)).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return placed.select("row", "source", "size", (F.col("offset") + F.col("end") - F.col("size")).alias("start"), (F.col("offset") + F.col("end")).alias("stop"))
+
+
+def with_blocks(targets: DataFrame, block_words: int) -> DataFrame:
+    """``source, blocks, wanted, first``: a source's number of blocks, the slots it shall fill (``round(target * blocks /
+    source_size)``), and the slots of the sources before it. One row per source is in one task."""
+    t = targets.where(F.col("source_size") > 0).withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    t = t.withColumn("wanted", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).where("wanted > 0")
+    order = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    return t.select("source", "blocks", "wanted", F.coalesce(F.sum("wanted").over(order), F.lit(0)).cast("long").alias("first"))
 
 
-def draw_slots(targets: DataFrame, block_words: int, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
-    """One row ``source, shard, slot, block`` for each block that the mix takes.
+def drawn_counts(sources: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """``shard, source, first, wanted, drawn``: a multinomial draw of source counts for each output shard.
 
-    A source of n blocks gets ``round(target * n / source_size)`` slots in all. A pseudorandom permutation of all
-    output slots deals them to the shards: the counts of sources in a shard are a multinomial draw on condition of
-    these totals, so that every source comes as near its target as whole blocks can. A source's k-th slot takes block
-    ``permutation(k mod n)``: no block comes again before all have come.
+    Each slot draws a place among all wanted slots by a hash of its number, and with it the source that the place
+    belongs to. Places are looked up by cells of ``CELL``, which hold ``CELL`` sources at most, so the lookup is a plain join
+    whatever the number of sources.
     """
-    t = targets.where(F.col("source_size") > 0).withColumns(
-        {
-            "_blocks": F.ceil(F.col("source_size") / block_words).cast("long"),
-        }
-    )
-    t = t.withColumn("_slots", F.round(F.col("target") * F.col("_blocks") / F.col("source_size")).cast("long"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumns(
-        {
-            "_first": F.coalesce(F.sum("_slots").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "_all": F.greatest(F.sum("_slots").over(every), F.lit(1)),
-        }
-    )
-    t = with_permutation(t, "_blocks", "_p", F.lit(seed), F.col("source"))
-    t = with_permutation(t, "_all", "_g", F.lit(seed + 1))
-    runs = t.where("_slots > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / RUN))))
-    # A hot source is as many runs as its slots need; runs are spread over all tasks.
-    runs = runs.repartition(F.xxhash64("source", "_run"))
-    slots = runs.withColumn(
-        "_k", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col("_slots")) - 1))
-    )
-    slots = slots.withColumns({"_in": F.pmod(F.col("_k"), F.col("_blocks")), "_at": F.col("_first") + F.col("_k")})
-    slots = permute(slots, "_in", "_blocks", "_p", "block")
-    slots = permute(slots, "_at", "_all", "_g", "_out")
-    return slots.select(
-        "source", F.floor(F.col("_out") / shard_slots).alias("shard"), F.pmod(F.col("_out"), F.lit(shard_slots)).alias("slot"), "block"
+    cells = sources.select("source", "first", "wanted", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor((F.col("first") + F.col("wanted") - 1) / CELL))).alias("cell"))
+    slots = sources.sparkSession.range(n_slots).select(
+        F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(n_slots, 1))).alias("place")
     )
+    slots = slots.groupBy("shard", F.floor(F.col("place") / CELL).alias("cell"), "place").agg(F.count("*").alias("times"))
+    met = slots.join(cells, "cell").where("place >= first AND place < first + wanted")
+    return met.groupBy("shard", "source", "first", "wanted").agg(F.sum("times").alias("drawn"))
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn number of blocks of each source in each output shard."""
-    return slots.groupBy("shard", "source").agg(F.count("*").alias("n_blocks"))
+def shard_counts(targets: DataFrame, block_words: int, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
+    """The number of blocks of each source in each output shard: ``shard, source, at, n, blocks``.
+
+    Counts are a multinomial draw for each shard, corrected to the targets: in order of shards a source keeps its draws
+    until it has what it wants, and the draws beyond go to the sources that were drawn too seldom, in order. About the
+    square root of all slots change, all in the last shards. ``n`` of a source's blocks are in the shard, from its
+    ``at``-th draw on; a source short of draws has two rows in some shards.
+    """
+    sources = staged(with_blocks(targets, block_words))
+    n_slots = sources.agg(F.sum("wanted")).first()[0] or 0
+    drawn = staged(drawn_counts(sources, n_slots, shard_slots, seed))
+    ranked = running_sum(drawn, ["source"], "shard", "drawn", "at")
+    ranked = staged(ranked.withColumn("n", F.least(F.greatest(F.col("wanted") - F.col("at"), F.lit(0)), F.col("drawn"))))
+    # The freed slots of all shards in one line, and on it the sources that want more.
+    freed = ranked.groupBy("shard").agg(F.sum(F.col("drawn") - F.col("n")).alias("free")).where("free > 0")
+    freed = running_sum(freed.withColumn("all", F.lit(0)), ["all"], "shard", "free", "from")
+    got = ranked.groupBy(F.col("source").alias("s")).agg(F.sum("drawn").alias("got"))
+    short = sources.join(got, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "wanted", "first", F.least(F.coalesce("got", F.lit(0)), "wanted").alias("got"))
+    line = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("lack", F.col("wanted") - F.col("got")).where("lack > 0").withColumn("start", F.coalesce(F.sum("lack").over(line), F.lit(0)))
+    # Both sides cover the same line once, so each pair of neighbours overlaps: rows add up, they do not multiply.
+    cell = F.explode(F.sequence(F.floor(F.col("a") / CELL), F.floor((F.col("b") - 1) / CELL))).alias("cell")
+    left = freed.select("shard", F.col("from").alias("a"), (F.col("from") + F.col("free")).alias("b")).select("shard", F.col("a").alias("fa"), F.col("b").alias("fb"), cell)
+    right = short.select("source", "got", F.col("start").alias("a"), (F.col("start") + F.col("lack")).alias("b")).select("source", "got", F.col("a").alias("sa"), F.col("b").alias("sb"), cell)
+    low = F.greatest("fa", "sa", F.col("cell") * CELL)
+    refill = left.join(right, "cell").withColumn("low", low).withColumn("n", F.least("fb", "sb", (F.col("cell") + 1) * CELL) - F.col("low")).where("n > 0")
+    both = ranked.where("n > 0").select("shard", "source", "at", "n").union(refill.select("shard", "source", F.col("got") + F.col("low") - F.col("sa"), "n"))
+    per = sources.select(F.col("source").alias("s"), "blocks")
+    out = staged(both.join(per, F.col("source").eqNullSafe(F.col("s"))).select("shard", "source", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "blocks"))
+    for used in (sources, drawn, ranked):
+        unstage(used)
+    return out
+
+
+def draw_slots(counts: DataFrame, seed: int = 17) -> DataFrame:
+    """One row ``source, shard, block`` for each block that the mix takes, from the counts of ``shard_counts``.
+
+    A source's k-th draw takes block ``permutation(k mod blocks)``: no block comes again before all have come. Each row of
+    counts is at most a shard long, and they are dealt to a fixed number of tasks for each of them.
+    """
+    tasks = max(1, counts.sparkSession.sparkContext.defaultParallelism)
+    runs = with_permutation(counts, "blocks", "p", F.lit(seed), F.col("source")).repartition(tasks, F.xxhash64("shard", "source", "at"))
+    slots = runs.withColumn("k", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))
+    slots = slots.withColumn("in", F.pmod("k", "blocks"))
+    return permute(slots, "in", "blocks", "p", "block").select("source", "shard", "block")
 
 
 def block_pieces(placed: DataFrame, block_words: int) -> DataFrame:
@@ -165,38 +188,63 @@ def block_pieces(placed: DataFrame, block_words: int) -> DataFrame:
 def take_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """Join blocks by index: add ``times``, how often the mix takes the block; blocks it never takes are left out.
 
-    Slots are exploded from one row per source, so Spark expects few of them; the hint keeps it from broadcasting all.
+    Slots are exploded from one row per shard and source, so Spark expects few of them; the hint keeps it from broadcasting all.
     """
-    times = slots.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("times"))
-    return pieces.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
+    times = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
+    return pieces.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
 
 
-def mix_amounts(sizes: DataFrame, tie: list[str], block_words: int = 32, **kw) -> DataFrame:
+def mix_amounts(sizes: DataFrame, tie: list[str], block_words: int = 32, shard_slots: int = 4096, **kw) -> DataFrame:
     """Per row of ``sizes`` (``source, size`` and the columns of ``tie``): add ``source_size, target, taken``.
 
     ``taken`` counts the words that the mix takes of the row, repeats included; it never passes twice the size.
     Null sources are one source; rows of size 0 take nothing; equal rows are each laid out once; an empty table
-    gives an empty result.
+    gives an empty result. Other columns stay, those named like the added ones are replaced.
     """
     # Read four times below; 24 bytes or so a row, so the texts are read once.
-    sizes = staged(sizes)
+    ties = {f"t{k}": F.col(quoted(c)) for k, c in enumerate(tie)}
+    sizes = staged(packed(sizes, source=F.col("source"), size=F.col("size"), **ties))
     n_rows = sizes.count()
     targets = staged(source_targets(sizes, **kw))
-    placed = staged(lay_out(sizes, n_rows, tie))
+    placed = staged(lay_out(sizes, n_rows, list(ties)))
+    counts = shard_counts(targets, block_words, shard_slots)
     taken = (
-        take_pieces(block_pieces(placed, block_words), draw_slots(targets, block_words))
-        .groupBy(F.col("source").alias("_s"), F.col("start").alias("_t")).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+        take_pieces(block_pieces(placed, block_words), draw_slots(counts))
+        .groupBy(F.col("source").alias("s"), F.col("start").alias("t")).agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     )
     out = placed.join(
-        taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")) & (F.col("size") > 0), "left"
-    ).drop("_s", "_t")
-    per = targets.select(F.col("source").alias("_s"), "source_size", "target")
+        taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("t")) & (F.col("size") > 0), "left"
+    ).drop("s", "t")
+    per = targets.select(F.col("source").alias("s"), "source_size", "target")
     # One row per source on the right; the left is not shuffled for it when that is small.
-    out = out.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    out = out.join(per, F.col("source").eqNullSafe(F.col("s")))
+    return unpacked(out, source_size=F.col("source_size"), target=F.col("target"), taken=F.coalesce("taken", F.lit(0)).cast("long"))
+
 
+def mixed_blocks(docs: DataFrame, block_words: int = 1024, shard_slots: int = 4096, **kw) -> DataFrame:
+    """The mix itself: one row ``shard, slot, source, block, text`` for each slot of each output shard.
 
-def mix_documents(docs: DataFrame, block_words: int = 32, **kw) -> DataFrame:
+    ``text`` is the block's words joined by spaces (the last block of a source may be shorter); slots of a shard are in
+    pseudorandom order. ``docs`` needs ``doc_id, text, source``; a null text has no words, rows without words are in no
+    block, an empty table gives no shards. Equal rows each have their place.
+    """
+    # A block holds its words, so this is the one form of the mix that shuffles texts.
+    rows = docs.select(F.struct("doc_id", "text").alias("row"), "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("t0"))
+    targets = staged(source_targets(rows, **kw))
+    placed = lay_out(rows, docs.count(), ["t0"]).where("size > 0").withColumn("words", words(F.col("row.text")))
+    at = placed.select("source", "start", "stop", "words", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words))).alias("block"))
+    low = F.greatest(F.col("start"), F.col("block") * block_words)
+    part = F.slice("words", (low - F.col("start") + 1).cast("int"), (F.least(F.col("stop"), (F.col("block") + 1) * block_words) - low).cast("int"))
+    pieces = at.select(F.col("source").alias("s"), F.col("block").alias("b"), F.struct("start", part.alias("part")).alias("piece"))
+    blocks = pieces.groupBy("s", "b").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    blocks = blocks.select("s", "b", F.array_join(F.flatten(F.transform("pieces", lambda p: p["part"])), " ").alias("text"))
+    slots = draw_slots(shard_counts(targets, block_words, shard_slots))
+    met = slots.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "source", "block"), "source", "block")
+    return met.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "block", "text")
+
+
+def mix_documents(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, **kw) -> DataFrame:
     """The documents of the mix: for each document and pass over its source, one row with the words taken then.
 
     ``docs`` needs ``doc_id, text, source``; other columns stay. A document whose blocks are taken twice gives two
@@ -205,29 +253,28 @@ def mix_documents(docs: DataFrame, block_words: int = 32, **kw) -> DataFrame:
     """
     kept = docs.columns
     whole = [x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.col(c))]
-    keyed = docs.withColumns({"_k1": F.xxhash64(*whole), "_k2": F.xxhash64(F.lit(5), *whole, F.lit(6))})
-    keys = staged(keyed.select("_k1", "_k2", "source", size_of(F.col("text")).alias("size")))
+    keyed = packed(docs, k1=F.xxhash64(*whole), k2=F.xxhash64(F.lit(5), *whole, F.lit(6)), source=F.col("source"), size=size_of(F.col("text")))
+    keys = staged(keyed.select(F.struct("k1", "k2").alias("row"), "k1", "k2", "source", "size"))
     n_rows = keys.count()
     targets = staged(source_targets(keys, **kw))
     # Equal rows (one id, one text, one source) are laid out one after the other.
-    placed = staged(lay_out(keys, n_rows, ["_k1", "_k2"]))
-    pieces = take_pieces(block_pieces(placed, block_words), draw_slots(targets, block_words))
-    per_doc = pieces.groupBy(F.col("source").alias("_s"), F.col("start").alias("_t")).agg(
-        F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("_pieces"), F.max("times").alias("_most")
+    placed = staged(lay_out(keys, n_rows, ["k1", "k2"]))
+    pieces = take_pieces(block_pieces(placed, block_words), draw_slots(shard_counts(targets, block_words, shard_slots)))
+    per_doc = pieces.groupBy(F.col("source").alias("s"), F.col("start").alias("t")).agg(
+        F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("pieces"), F.max("times").alias("most")
     )
-    plan = placed.where("size > 0").join(per_doc.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_t")))
-    passes = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))).alias("_pass")
-    plan = plan.select("_k1", "_k2", F.col("size").alias("_size"), "_pieces", passes)
-    plan = plan.select("_k1", "_k2", "_size", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass")).alias("_pieces"))
+    plan = placed.where("size > 0").join(per_doc.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("t")))
+    passes = F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))).alias("pass")
+    plan = plan.select("row.k1", "row.k2", "pieces", passes)
+    plan = plan.select("k1", "k2", F.filter("pieces", lambda p: p["times"] >= F.col("pass")).alias("pieces"))
     # Equal rows share one text, so their passes can all hang on one of them; other columns are that row's. The join
     # keeps the partitioning of dropDuplicates, so texts are shuffled once.
-    both = keyed.dropDuplicates(["_k1", "_k2"]).join(plan.hint("merge"), ["_k1", "_k2"])
-    got = F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, p: s + p["n"])
-    both = both.withColumn("_words", words(F.col("text")))
-    part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    text = F.when((got == F.col("_size")) | (F.size("_words") == 0), F.col("text")).otherwise(part)
-    out = both.withColumn("text", text)
+    both = keyed.select("row", "k1", "k2", "size").dropDuplicates(["k1", "k2"]).join(plan.hint("merge"), ["k1", "k2"])
+    got = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    both = both.withColumn("words", words(F.col("row.text")))
+    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice("words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    both = both.withColumn("text", F.when((got == F.col("size")) | (F.size("words") == 0), F.col("row.text")).otherwise(part))
+    fresh = {"text": F.col("text")}
     if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*kept)
-
+        fresh["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(both, **fresh).select(*map(quoted, kept))
