@@ -46,7 +46,9 @@ def unpacked(df: DataFrame, without: tuple[str, ...] = (), **added: Column) -> D
     """The columns of ``row`` as they were, but for those left out or replaced, and the added ones after them."""
     gone = {x.lower() for x in (*without, *added)}
     names = [n for n in df.schema["row"].dataType.names if n.lower() not in gone]
-    return df.select(*[F.col("row").getField(n).alias(n) for n in names], *[e.alias(k) for k, e in added.items()])
+    # Two steps: beside an alias of the same name, a column in a lambda would be taken for that alias.
+    both = df.select("row", F.struct(*[e.alias(k) for k, e in added.items()]).alias("added")) if added else df.select("row")
+    return both.select(*[F.col("row").getField(n).alias(n) for n in names], *[F.col("added").getField(k).alias(k) for k in added])
 
 
 def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str, fan: int = 1024) -> DataFrame:

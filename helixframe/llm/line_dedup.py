@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, strip
+from .common import ascii_lower, quoted, staged, strip, unpacked
 
 
 def line_key(line: Column) -> Column:
@@ -50,22 +50,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     Null or empty text: one empty line, kept (text comes out empty). A null ``doc_id`` counts for no key and loses
     nothing. Repeated rows of one ``doc_id`` count as one document. Empty table: empty result.
     """
-    drops = repeated_lines(docs, min_chars, min_docs).select(
-        F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"), F.col("dropped").alias("_dropped")
+    drops = repeated_lines(docs, min_chars, min_docs)
+    # The text travels once, as its lines.
+    rest = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")])
+    split = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in rest.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"),
+        F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"),
     )
-    split = docs.drop("n_lines", "n_dropped", "_lines", "_row").withColumns(
-        {"_lines": F.split(F.coalesce("text", F.lit("")), "\n"), "_row": F.xxhash64("text")}
-    ).drop("text")
-    both = split.join(drops, (F.col("doc_id") == F.col("_d")) & (F.col("_row") == F.col("_h")), "left")
-    # array_except hashes, so a long document costs time in proportion to its lines; _lines comes from below the
+    both = split.join(drops, (F.col("doc") == F.col("doc_id")) & (F.col("hash") == F.col("row_hash")), "left")
+    # array_except hashes, so a long document costs time in proportion to its lines; lines comes from below the
     # join and is not split again for each element.
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped")), lambda i: F.get("_lines", i))
-    out = both.withColumns(
-        {
-            "text": F.array_join(F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(kept), "\n"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
-        }
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))
+    out = unpacked(
+        both,
+        text=F.array_join(F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(kept), "\n"),
+        n_lines=F.size("lines").cast("long"),
+        n_dropped=F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
     )
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_lines", "_row")]
-    return out.select(*names, "n_lines", "n_dropped")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return out.select(*map(quoted, names), "n_lines", "n_dropped")

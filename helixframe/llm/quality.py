@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import strip, words
+from .common import packed, quoted, strip, unpacked, words
 
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -20,16 +20,15 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     Everything is an array expression over one row: no shuffle. Repeated windows are found by hashing each run of
     eight words (by doubling: pairs, fours, eights) and sorting the hashes, only where a document has a repeat at all.
     """
-    names = [c for c in docs.columns if c not in MEASURES and not c.startswith("_q_")]
-    a = docs.select(*names, words(F.col(text)).alias("_q_w"), F.coalesce(F.col(text), F.lit("")).alias("_q_t"))
+    a = packed(docs, w=words(F.col(text)), t=F.coalesce(F.col(text), F.lit("")))
     a = a.select(
-        *names,
-        F.size("_q_w").alias("_q_n"),
-        F.array_join("_q_w", "").alias("_q_joined"),
-        F.transform("_q_w", lambda w: F.xxhash64(w)).alias("_q_h1"),
-        F.filter(F.split("_q_t", "\n"), lambda x: strip(x) != "").alias("_q_lines"),
+        "row",
+        F.size("w").alias("n"),
+        F.array_join("w", "").alias("joined"),
+        F.transform("w", lambda w: F.xxhash64(w)).alias("h1"),
+        F.filter(F.split("t", "\n"), lambda x: strip(x) != "").alias("lines"),
     )
-    n = F.col("_q_n")
+    n = F.col("n")
     m = n - (WINDOW - 1)
 
     def doubled(col: str, have: int) -> Column:
@@ -40,38 +39,39 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             F.zip_with(F.slice(col, F.lit(1), left), F.slice(col, F.lit(have + 1), left), lambda x, y: F.xxhash64(x, y)),
         )
 
-    b = a.withColumn("_q_h2", doubled("_q_h1", 1))
-    b = b.withColumn("_q_h4", doubled("_q_h2", 2)).withColumn("_q_h8", doubled("_q_h4", 4)).drop("_q_h1", "_q_h2", "_q_h4")
-    b = b.withColumn("_q_repeats", F.size(F.array_distinct("_q_h8")) < F.size("_q_h8"))
+    b = a.withColumn("h2", doubled("h1", 1))
+    b = b.withColumn("h4", doubled("h2", 2)).withColumn("h8", doubled("h4", 4)).drop("h1", "h2", "h4")
+    b = b.withColumn("repeats", F.size(F.array_distinct("h8")) < F.size("h8"))
     b = b.withColumn(
-        "_q_sorted",
-        F.when(F.col("_q_repeats"), F.array_sort(F.transform("_q_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
-    ).drop("_q_h8")
+        "sorted",
+        F.when(F.col("repeats"), F.array_sort(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+    ).drop("h8")
     b = b.withColumn(
-        "_q_pairs",
+        "pairs",
         F.when(
-            F.col("_q_repeats"),
+            F.col("repeats"),
             F.zip_with(
-                F.slice("_q_sorted", F.lit(1), m - 1), F.slice("_q_sorted", F.lit(2), m - 1),
+                F.slice("sorted", F.lit(1), m - 1), F.slice("sorted", F.lit(2), m - 1),
                 lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])),
             ),
         ),
-    ).drop("_q_sorted")
-    b = b.withColumn("_q_at", F.array_sort(F.array_distinct(F.flatten(F.array_compact("_q_pairs"))))).drop("_q_pairs")
-    k = F.size("_q_at")
+    ).drop("sorted")
+    b = b.withColumn("at", F.array_sort(F.array_distinct(F.flatten(F.array_compact("pairs"))))).drop("pairs")
+    k = F.size("at")
     gaps = F.zip_with(
-        F.slice("_q_at", F.lit(1), k - 1), F.slice("_q_at", F.lit(2), k - 1), lambda x, y: F.least(F.lit(WINDOW), y - x)
+        F.slice("at", F.lit(1), k - 1), F.slice("at", F.lit(2), k - 1), lambda x, y: F.least(F.lit(WINDOW), y - x)
     )
     measures = F.struct(
         n.cast("long").alias("n_words"),
-        F.char_length("_q_joined").cast("long").alias("word_chars"),
-        (F.char_length("_q_joined") - F.char_length(F.regexp_replace("_q_joined", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_q_repeats"), F.aggregate(gaps, F.lit(WINDOW), lambda s, x: s + x)).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.char_length("joined").cast("long").alias("word_chars"),
+        (F.char_length("joined") - F.char_length(F.regexp_replace("joined", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("repeats"), F.aggregate(gaps, F.lit(WINDOW), lambda s, x: s + x)).otherwise(0).cast("long").alias("n_repeat_words"),
     )
     # A generator of one row: a filter on what is computed from the measures would else be pushed below them and
     # every measure written out again for each use, some hundred times over.
-    return b.select(*names, F.explode(F.array(measures)).alias("_q_m")).select(*names, "_q_m.*")
+    once = b.select("row", F.explode(F.array(measures)).alias("measured"))
+    return unpacked(once, **{m: F.col("measured").getField(m) for m in MEASURES})
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -146,7 +146,7 @@ def quality_rules(docs: DataFrame, rules=RULES, plan: list[dict] | None = None)
     passed. Null or empty text has no words and fails the base rule. Rows are judged one by one, so repeated rows
     get equal verdicts and an empty table gives an empty result.
     """
-    clean = docs.drop(*[c for c in (*MEASURES, "base_failed", "kept", "rejected_by") if c in docs.columns])
+    clean = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in (*MEASURES, "base_failed", "kept", "rejected_by")])
     measured = with_measures(clean)
     if plan is None:
         plan = plan_cascade(clean, rules) if rules else []

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import packed, quoted, running_sum, unpacked
+
 #: The ring has 2 ** RING_BITS places.
 RING_BITS = 16
+#: Rows of one arc are ranked in 2 ** RUN_BITS runs.
+RUN_BITS = 4
 
 
 def ring(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -67,37 +71,37 @@ def shard_rows(rows: DataFrame, key: str, n_shards: int, tie: list[str], vnodes:
     different slots; an empty table gives an empty result. Columns named like the added ones are replaced.
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot", "home_shard")
     nodes = ring(n_shards, vnodes)
     bounds = [p for p, _ in nodes]
     # Arc a holds the places after virtual node a - 1, up to and with virtual node a; the last arc closes the ring.
     spans = [(a, bounds[a - 1] + 1 if a else 0, bounds[a]) for a in range(len(nodes))]
     spans += [(0, bounds[-1] + 1, (1 << RING_BITS) - 1)] * (bounds[-1] + 1 < 1 << RING_BITS)
     places = (
-        spark.createDataFrame(spans, "_arc int, lo int, hi int")
-        .select("_arc", F.explode(F.sequence("lo", "hi")).alias("_place"))
+        spark.createDataFrame(spans, "arc int, lo int, hi int")
+        .select("arc", F.explode(F.sequence("lo", "hi")).alias("place"))
     )
-    h = F.when(F.col(key).isNull(), F.xxhash64(*tie)).otherwise(F.xxhash64(key))
-    keyed = rows.withColumn("_h", h).withColumn("_place", F.shiftrightunsigned("_h", 64 - RING_BITS).cast("int"))
+    ties = [f"t{k}" for k in range(len(tie))]
+    packed_rows = packed(rows, key=F.col(quoted(key)), **{t: F.col(quoted(c)) for t, c in zip(ties, tie)})
+    keyed = packed_rows.withColumn("h", F.when(F.col("key").isNull(), F.xxhash64(*ties)).otherwise(F.xxhash64("key")))
+    keyed = keyed.withColumn("place", F.shiftrightunsigned("h", 64 - RING_BITS).cast("int"))
     # 65,536 rows of two ints, whatever the input.
-    on_arc = keyed.join(F.broadcast(places), "_place").drop("_place")
-    loads = {r["_arc"]: r["n"] for r in on_arc.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    on_arc = keyed.join(F.broadcast(places), "place").drop("place")
+    loads = {r["arc"]: r["n"] for r in on_arc.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     total = sum(loads.values())
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     segments = spark.createDataFrame(
         [(*x, nodes[x[0]][1]) for x in spill_clockwise(loads, nodes, capacity)],
         T.StructType([
-            T.StructField("_sarc", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
-            T.StructField("shard", T.IntegerType()), T.StructField("_slot0", T.LongType()), T.StructField("home_shard", T.IntegerType()),
+            T.StructField("on", T.IntegerType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()),
+            T.StructField("shard", T.IntegerType()), T.StructField("slot0", T.LongType()), T.StructField("home_shard", T.IntegerType()),
         ]),
     )
-    order = Window.partitionBy("_arc").orderBy("_h", key, *tie)
-    ranked = on_arc.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    # Rows of an arc are ranked in runs, by bits of a hash of key and tie, so an arc or a key with many rows is many tasks.
+    on_arc = on_arc.withColumn("run", F.shiftrightunsigned(F.xxhash64("h", *ties), 64 - RUN_BITS).cast("int"))
+    runs = running_sum(on_arc.groupBy("arc", "run").agg(F.count("*").alias("n")), ["arc"], "run", "n", "before")
+    order = Window.partitionBy("arc", "run").orderBy("h", "key", *ties)
+    ranked = on_arc.withColumn("inner", F.row_number().over(order).cast("long") - 1)
+    ranked = ranked.join(runs.select("arc", "run", "before"), ["arc", "run"]).withColumn("rank", F.col("before") + F.col("inner"))
     # At most one segment for each arc and one more for each time that a shard fills up: bounded by arcs + shards.
-    dealt = ranked.join(
-        F.broadcast(segments),
-        (F.col("_arc") == F.col("_sarc")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")),
-    )
-    return dealt.withColumn("slot", F.col("_slot0") + F.col("_rank") - F.col("_from")).drop(
-        "_arc", "_sarc", "_h", "_rank", "_from", "_to", "_slot0"
-    )
+    dealt = ranked.join(F.broadcast(segments), (F.col("arc") == F.col("on")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    return unpacked(dealt, shard=F.col("shard"), slot=F.col("slot0") + F.col("rank") - F.col("lo"), home_shard=F.col("home_shard"))

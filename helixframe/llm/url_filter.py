@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, packed, staged, unpacked
 
 #: Public suffixes of more than one label that the registered domain must not be cut inside of.
 LONG_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx")
@@ -102,8 +102,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     has no ``://`` has an empty host, judged like any host. Hosts are joined by value: a hot host is split by
     adaptive execution, and its outcomes are summed before they are shuffled.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parsed = pages.select(*keep, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    parsed = packed(pages, host=url_host(F.col("url")), path=url_path(F.col("url")))
     number = F.regexp_extract("path", "([0-9]{1,18})[^0-9]*$", 1)
     refs = parsed.select("host", F.when(number != "", number.cast("long")).alias("ref")).groupBy("host", "ref").agg(F.count("*").alias("pages"))
     outcome = (
@@ -114,13 +113,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     labelled = refs.where(F.col("ref").isNotNull()).join(outcome, "ref")
     weighted = labelled.groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("good")).alias("good"))
     # Four small jobs read these counts; the pages are parsed for them once.
-    verdicts = host_reputation(staged(weighted), parsed.select("host").distinct(), **bounds).select("host", F.col("verdict").alias("_by_host"))
+    verdicts = host_reputation(staged(weighted), parsed.select("host").distinct(), **bounds).select("host", F.col("verdict").alias("by_host"))
     # Written first, so that the pages' side of the join below is a plain shuffle, which adaptive execution can split.
     verdicts = staged(verdicts)
     host, path = F.col("host"), F.col("path")
     out = parsed.join(verdicts, "host", "left")
-    return out.select(
-        *keep, "host", "path",
-        matched_rule(host, path, rules, "rule").alias("rule"),
-        F.coalesce(matched_rule(host, path, rules, "verdict"), F.col("_by_host")).alias("verdict"),
-    )
+    verdict = F.coalesce(matched_rule(host, path, rules, "verdict"), F.col("by_host"))
+    return unpacked(out, host=host, path=path, rule=matched_rule(host, path, rules, "rule"), verdict=verdict)
