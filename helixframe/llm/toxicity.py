@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted, staged, unstage
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6, 7)
@@ -53,9 +55,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -40, 40)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(
+    rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, l2: float = 3e-4, steps: int = 400, n_grades: int = N_GRADES
+) -> tuple[np.ndarray, np.ndarray]:
     """Proportional-odds fit by Adam: one weight vector, ordered cuts (a first cut and positive gaps)."""
-    n, k = len(grades), N_GRADES - 1
+    n, k = len(grades), n_grades - 1
     w = np.zeros(n_cols)
     share = np.array([(np.sum(grades > j) + 0.5) / (n + 1) for j in range(k)])
     cuts0 = np.maximum.accumulate(np.log((1 - share) / share) + np.arange(k) * 1e-3)
@@ -81,66 +85,82 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols:
     return p[:n_cols], np.concatenate([p[n_cols:n_cols + 1], p[n_cols] + np.cumsum(gaps)])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_labels: int = 10_000, n_features: int = 1500, min_docs: int = 4) -> Model:
+def held_out_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_cols: int, l2: float) -> np.ndarray:
+    """Grade 0 for clean documents; 1 to 3 for toxic ones, by thirds of the score of a model that has not seen them.
+
+    Documents are dealt to two folds in turn; each fold is scored by a two-grade fit on the other. Where a fold lacks toxic or
+    clean documents, or there are few, all toxic documents are graded 2.
+    """
+    n = len(toxic)
+    grades = np.where(toxic, 2, 0)
+    fold = np.zeros(n, np.int64)
+    fold[toxic] = np.arange(toxic.sum()) % 2
+    fold[~toxic] = np.arange((~toxic).sum()) % 2
+    if toxic.sum() < 6 or (~toxic).sum() < 2:
+        return grades
+    score = np.zeros(n)
+    for f in (0, 1):
+        there = fold != f
+        number = np.cumsum(there) - 1
+        use = there[rows]
+        w, _ = fit_ordinal(number[rows[use]], cols[use], toxic[there].astype(int), n_cols, l2, n_grades=2)
+        score[~there] = np.bincount(rows, w[cols], n)[~there]
+    thirds = np.quantile(score[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + np.searchsorted(thirds, score, side="left"), 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_labels: int = 10_000, min_docs: int = 4, least_z: float = 3.0) -> Model:
     """Fit on at most ``sample_labels`` labelled documents, those of least id hash; their whole texts are read.
 
-    Features are the ``n_features`` most tied to the toxic label among those in at least ``min_docs`` sampled
-    documents. Labels are 0 or 1; grade 0 is not toxic, and toxic documents are graded 1 to 3 by thirds of their share
-    of chosen toxic features per word. The driver holds the sample's chosen features only: two bounded numbers.
+    Features are all those in at least ``min_docs`` sampled documents whose share of toxic documents differs from that of clean
+    ones by ``least_z`` standard errors; no count bounds them but the sample. Labels are 0 or 1 (the largest counts where
+    an id has several, nulls say nothing), so toxic documents are graded by a model that has not seen them: see
+    ``held_out_grades``. Repeated rows of an id are one document, the least text counts. Without labels of both kinds
+    every text gets one grade. The driver holds the chosen features of the sample.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_labels)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("features", T.ArrayType(T.StringType()))])
+    # At most sample_labels rows of two numbers.
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.BooleanType()), T.StructField("features", T.ArrayType(T.StringType()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                got, n = features(text)
-                yield pa.RecordBatch.from_pylist([{"doc_id": i, "toxic": int(toxic), "n": n, "features": got}], schema=ARROW)
-
-    ARROW = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("n", pa.int32()), ("features", pa.list_(pa.string()))])
-    read_rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read, schema)
-    sizes = {r["toxic"]: r["k"] for r in picked.groupBy("toxic").agg(F.count("*").alias("k")).collect()}
-    bad, good = sum(v for t, v in sizes.items() if t), sizes.get(0, 0)
+            found = pa.array([features(t.as_py())[0] for t in batch.column("text")], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], names=schema.names)
+
+    ids = (F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
+    # Read three times below, so that whole texts are read once.
+    sample = staged(texts.select(*ids, "text").mapInArrow(read, schema))
+    known = sample.select("doc_id", "toxic").toArrow()
+    order = np.argsort(known["doc_id"].to_numpy(), kind="stable")
+    names, toxic = known["doc_id"].to_numpy()[order], known["toxic"].to_numpy()[order].astype(bool)
+    bad, good = int(toxic.sum()), int((~toxic).sum())
     if not bad or not good:
         return Model({}, np.full(N_GRADES - 1, 40.0 if good or not bad else -40.0))
     a, b = F.col("a"), F.col("b")
-    ratio = F.log((a + 0.5) / (bad + 1.0)) - F.log((b + 0.5) / (good + 1.0))
-    chosen = (
-        read_rows.select("toxic", F.explode("features").alias("f")).groupBy("f")
-        .agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") == 0).cast("int")).alias("b"))
-        .where(a + b >= min_docs).select("f", "a", "b", ratio.alias("ratio"))
-        .orderBy((F.abs("ratio") * F.sqrt(a + b)).desc(), "f").limit(n_features).collect()
+    pooled = (a + b) / float(bad + good)
+    z = F.abs(a / float(bad) - b / float(good)) / F.sqrt(pooled * (1 - pooled) * (1.0 / bad + 1.0 / good) + 1e-12)
+    each = sample.select("doc_id", "toxic", F.explode("features").alias("f"))
+    chosen = staged(
+        each.groupBy("f").agg(F.sum(F.col("toxic").cast("int")).alias("a"), F.sum((~F.col("toxic")).cast("int")).alias("b"))
+        .where((a + b >= min_docs) & (z >= least_z)).select("f")
     )
-    index = {r["f"]: k for k, r in enumerate(chosen)}
-    toxic_feature = np.array([r["ratio"] > 1 for r in chosen])
-    names = docs.sparkSession.sparkContext.broadcast(index)
-    small = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = names.value
-        for batch in batches:
-            got = [features(t) for t in batch.column("text").to_pylist()]
-            at = [[known[f] for f in fs if f in known] for fs, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([n for _, n in got], pa.int32()), pa.array(at, pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "n", "at"],
-            )
-
-    sample = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(indexed, small).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["n"], r["at"]))
-    toxic = np.array([r["toxic"] > 0 for r in sample])
-    share = np.array([np.sum(toxic_feature[r["at"]]) / (r["n"] + 1) if r["at"] else 0.0 for r in sample])
-    thirds = np.quantile(share[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
-    grades = np.where(toxic, 1 + np.searchsorted(thirds, share, side="left"), 0).astype(int)
-    rows = np.repeat(np.arange(len(sample)), [len(r["at"]) for r in sample])
-    cols = np.concatenate([np.array(r["at"], dtype=np.int64) for r in sample]) if len(rows) else np.zeros(0, np.int64)
+    index = sorted(chosen.toArrow()["f"].to_pylist())
+    met = each.join(chosen, "f").select("doc_id", "f").toArrow()
+    at = {f: k for k, f in enumerate(index)}
+    rows = np.searchsorted(names, met["doc_id"].to_numpy())
+    cols = np.array([at[f] for f in met["f"].to_pylist()], dtype=np.int64)
+    line = np.lexsort((cols, rows))
+    rows, cols = rows[line], cols[line]
+    for used in (sample, chosen):
+        unstage(used)
     # Few labels call for a stronger penalty: at least four labels' worth.
-    weights, cuts = fit_ordinal(rows, cols, grades, len(index), l2=max(3e-4, 4 / len(sample)))
-    return Model({f: float(weights[k]) for f, k in index.items()}, cuts)
+    l2 = max(3e-4, 4 / len(names))
+    weights, cuts = fit_ordinal(rows, cols, held_out_grades(rows, cols, toxic, len(index), l2), len(index), l2)
+    return Model({f: float(weights[k]) for f, k in at.items()}, cuts)
 
 
 class Scorer:
@@ -178,15 +198,16 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shuffle, one Arrow batch in memory. Other columns stay, clashing ones are replaced.
     """
     added = ("expected_severity", "grade", "toxic")
-    kept = [c for c in docs.columns if c not in added]
-    schema = docs.select(*kept).schema.add("expected_severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
-    # A fixed number of weights.
+    kept = [c for c in docs.columns if c.lower() not in added]
+    own = docs.select(*map(quoted, kept))
+    schema = T.StructType([*own.schema.fields]).add("expected_severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
+    # Weights of the sample's features.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            above = [scorer.model.above(scorer.score(t)) for t in batch.column(kept.index(text)).to_pylist()]
+            above = [scorer.model.above(scorer.score(t.as_py())) for t in batch.column(kept.index(text))]
             severity = [round(float(a.sum()), 9) for a in above]
             likely = [int(np.argmax(-np.diff(np.concatenate([[1.0], a, [0.0]])))) for a in above]
             yield pa.RecordBatch.from_arrays(
@@ -194,4 +215,4 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*kept, *added],
             )
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
