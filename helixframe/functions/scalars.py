@@ -13,7 +13,7 @@ def parse_chroms(spec: str | None) -> list[int]:
     if spec is None:
         return list(range(1, 23))
     out: list[int] = []
-    for part in str(spec).split(","):
+    for part in filter(str.strip, str(spec).split(",")):
         low, _, high = part.strip().partition("-")
         out += range(int(low), int(high or low) + 1)
     return out
@@ -45,12 +45,38 @@ def kl_penalty(sd: Column, k: float) -> Column:
 
 
 def liability_factor(prevalence: float, share: float) -> float:
-    """Factor from observed to liability scale for a trait of a population prevalence, sampled with a share of cases."""
+    """Factor from observed to liability scale for a trait of a population prevalence, sampled with a share of cases.
+
+    Both must be above 0 and below 1.
+    """
+    for name, x in (("prevalence", prevalence), ("share", share)):
+        if not 0 < x < 1:
+            raise ValueError(f"the {name} must be above 0 and below 1, not {x}")
     normal = NormalDist()
     density = normal.pdf(normal.inv_cdf(1 - prevalence))
     return (prevalence * (1 - prevalence)) ** 2 / (share * (1 - share) * density * density)
 
 
+def liability_h2(h2: Column, prevalence: float | None, share: float | None) -> Column:
+    """Heritability on the liability scale; as it is for a trait without cases (both null)."""
+    if prevalence is None and share is None:
+        return h2
+    if prevalence is None or share is None:
+        raise ValueError("prevalence and share go together")
+    return h2 * liability_factor(prevalence, share)
+
+
+def liability_gencov(gencov: Column, first: tuple[float | None, float | None], second: tuple[float | None, float | None]) -> Column:
+    """Genetic covariance on the liability scale: the root of each case-control trait's factor; ``(prevalence, share)`` of both."""
+    out = gencov
+    for prevalence, share in (first, second):
+        if (prevalence is None) != (share is None):
+            raise ValueError("prevalence and share go together")
+        if prevalence is not None:
+            out = out * liability_factor(prevalence, share) ** 0.5
+    return out
+
+
 def edge_continuity(pixels: DataFrame) -> DataFrame:
     """``loss`` of an image table ``img, channel, row, col, value``: last rows and last columns, over all pixels.
 

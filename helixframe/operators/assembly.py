@@ -41,14 +41,20 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 def split(ids: DataFrame, fraction: float, seed: int, key: str = "sample_id") -> DataFrame:
     """Add ``part``: train for the first ``int(n * fraction)`` ids by md5 of id and seed, val for the rest.
 
-    The cut is the hash at that rank, found by one sort of hashes; membership is then a comparison.
+    The cut is the hash at that rank: ids are counted by the first four digits of their hash (65,536 counts at most), and only
+    the ids of the digits that hold the rank are sorted. Membership is then a comparison.
     """
     hashed = ids.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
-    n = hashed.count()
-    take = int(n * fraction)
+    counts = hashed.groupBy(F.substring("_h", 1, 4).alias("_p")).agg(F.count("*").alias("k")).orderBy("_p").collect()
+    take = int(sum(r["k"] for r in counts) * fraction)
     if take == 0:
         return hashed.drop("_h").withColumn("part", F.lit("val"))
-    cut = hashed.select("_h").orderBy("_h").limit(take).agg(F.max("_h").alias("c")).first()["c"]
+    before = 0
+    for r in counts:
+        if before + r["k"] >= take:
+            break
+        before += r["k"]
+    cut = hashed.where(F.col("_h").startswith(r["_p"])).select("_h").orderBy("_h").limit(take - before).agg(F.max("_h").alias("c")).first()["c"]
     return hashed.withColumn("part", F.when(F.col("_h") <= cut, "train").otherwise("val")).drop("_h")
 
 

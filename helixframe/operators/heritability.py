@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .factored import Projection, by_variant, standardize, traces, variant_gram
+from ..sources.staging import staged
+from .factored import Projection, by_variant, projected_hutchinson, standardize, traces, variant_gram
 from .variants import standardized
 
 
@@ -17,9 +18,10 @@ def _n_variants(dosage: DataFrame) -> int:
 
 
 def _prepare(dosage: DataFrame, design: DataFrame, traits: list[str], w: list[str], eps: str):
-    xs = standardized(dosage)
-    design = standardize(design, traits, eps)
-    by = by_variant(xs, design, [*w, *traits])
+    # Read for each sum below; written once, like the sums by variant.
+    xs = staged(standardized(dosage))
+    design = staged(standardize(design, traits, eps))
+    by = staged(by_variant(xs, design, [*w, *traits]))
     return xs, design, by, Projection(design, w, traits)
 
 
@@ -52,6 +54,28 @@ def mom(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: lis
     return _long(dosage.sparkSession, traits, {"h2": out})
 
 
+def mom_long(dosage: DataFrame, traits: DataFrame, by: tuple[str, ...] = ("run", "epoch", "dim"), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
+    """``by, h2`` without covariates for traits in long form, ``sample_id, z`` and the columns of ``by``: any number at once.
+
+    Each group is standardised over its own rows and should hold every sample of the cohort. Traces as in ``mom``.
+    """
+    m = _n_variants(dosage)
+    xs, traits = staged(standardized(dosage)), staged(traits.select("sample_id", *by, "z"))
+    moments = traits.groupBy(*by).agg(F.avg("z").alias("mu"), F.stddev_samp("z").alias("sd"))
+    z = traits.join(moments, list(by)).select("sample_id", *by, ((F.col("z") - F.col("mu")) / (F.coalesce("sd", F.lit(0.0)) + 1e-8)).alias("z"))
+    ids = traits.select("sample_id").distinct()
+    design = staged(ids.withColumn("_none", F.lit(0.0)))
+    p = Projection(design, [], ["_none"])
+    if trace2 is None and m > most:
+        trace2 = projected_hutchinson(xs, p, m, probes).agg(F.avg("estimate")).first()[0]
+    elif trace2 is None:
+        _, trace2 = traces(xs, by_variant(xs, design, ["_none"]), p, m, None, probes, most)
+    u = xs.join(z, "sample_id").groupBy("variant_idx", *by).agg(F.sum(F.col("xs") * F.col("z")).alias("u"))
+    q_k = u.groupBy(*by).agg((F.sum(F.col("u") * F.col("u")) / m).alias("qk"))
+    q = z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("q"))
+    return q_k.join(q, list(by)).select(*by, ((F.col("qk") - F.col("q")) / F.lit(float(trace2 - p.n))).alias("h2"))
+
+
 def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> DataFrame:
     """``dim, h2`` without covariates from a relationship matrix ``i, j, k`` (i <= j); both sides join the cohort."""
     design = standardize(design, traits)

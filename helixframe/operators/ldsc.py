@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.staging import staged
+
 
 def hsq_weights(ld: Column, w_ld: Column, n: Column, m: Column, h2: Column, intercept: Column) -> Column:
     h2 = F.greatest(F.least(h2, F.lit(1.0)), F.lit(0.0))
@@ -48,11 +50,13 @@ def _regress(df: DataFrame, group: list[str], null: float, fixed: float | None,
     start = df.groupBy(*group).agg(
         F.avg(F.col("n").cast("double")).alias("nbar"), (F.first("m") * (F.avg("y") - (null if fixed is None else fixed)) / F.avg(F.col("ld") * F.col("n"))).alias("tot"),
     ).withColumn("intercept", F.lit(float(null if fixed is None else fixed)))
-    rows = df.join(start.select(*group, "nbar"), group).withColumn("x", F.col("ld") * F.col("n") / F.col("nbar"))
-    est = start.drop("nbar")
+    # Estimates are one row per group: written, their size is known, and a pass reads the rows without a shuffle.
+    est = staged(start)
     for _ in range(3):
-        est = _fit(rows.join(est, group), group, weights(F.col("tot"), F.col("intercept")), fixed)
-    return est
+        rows = df.join(est.select(*group, "nbar", "tot", "intercept"), group).withColumn("x", F.col("ld") * F.col("n") / F.col("nbar"))
+        fit = _fit(rows, group, weights(F.col("tot"), F.col("intercept")), fixed)
+        est = staged(fit.join(est.select(*group, "nbar"), group))
+    return est.drop("nbar")
 
 
 def hsq(df: DataFrame, group: list[str], intercept: float | None = None) -> DataFrame:
@@ -60,7 +64,7 @@ def hsq(df: DataFrame, group: list[str], intercept: float | None = None) -> Data
 
     A null chisq drops its SNP. A group of one SNP has no slope and gets a null.
     """
-    rows = df.where(F.col("chisq").isNotNull()).withColumn("y", F.col("chisq"))
+    rows = staged(df.where(F.col("chisq").isNotNull()).select(*group, "ld", "w_ld", "n", "m", F.col("chisq").alias("y")))
     return _regress(rows, group, 1.0, intercept, lambda h, i: hsq_weights(F.col("ld"), F.col("w_ld"), F.col("n"), F.col("m"), h, i))
 
 
@@ -69,20 +73,46 @@ def gencov(df: DataFrame, group: list[str], h1: DataFrame, h2: DataFrame, interc
     rows = df.withColumns({"y": F.col("z1") * F.col("z2"), "n": F.sqrt(F.col("n1") * F.col("n2"))})
     rows = rows.join(h1.select(*group, F.col("tot").alias("h1"), F.col("intercept").alias("i1")), group)
     rows = rows.join(h2.select(*group, F.col("tot").alias("h2"), F.col("intercept").alias("i2")), group)
+    rows = staged(rows.select(*group, "ld", "w_ld", "n", "n1", "n2", "m", "y", "h1", "i1", "h2", "i2"))
     c = F.col
     return _regress(rows, group, 0.0, intercept, lambda r, i: gencov_weights(c("ld"), c("w_ld"), c("n1"), c("n2"), c("m"), c("h1"), c("h2"), r, c("i1"), c("i2"), i))
 
 
 def genetic_correlation(df: DataFrame, group: list[str], intercepts: tuple = (None, None, None)) -> DataFrame:
-    """``group, h1, h2, gencov, rg``: rg is null, and the group counted as skipped, where a heritability is not positive."""
-    one = hsq(df.withColumns({"chisq": F.col("z1") * F.col("z1"), "n": F.col("n1")}), group, intercepts[0])
-    two = hsq(df.withColumns({"chisq": F.col("z2") * F.col("z2"), "n": F.col("n2")}), group, intercepts[1])
+    """``group, h1, h2, gencov, rg``: rg is null, and the group counted as skipped, where a heritability is not positive.
+
+    The rows are written once; where both heritabilities have the same kind of intercept they are fitted in one run.
+    """
+    df = staged(df.select(*group, "z1", "z2", "n1", "n2", "ld", "w_ld", "m"))
+    sides = [df.select(*group, "ld", "w_ld", "m", (F.col(f"z{k}") * F.col(f"z{k}")).alias("chisq"), F.col(f"n{k}").alias("n"), F.lit(k).alias("_side")) for k in (1, 2)]
+    if intercepts[0] == intercepts[1]:
+        both = hsq(sides[0].union(sides[1]), [*group, "_side"], intercepts[0])
+        one, two = both.where("_side = 1").drop("_side"), both.where("_side = 2").drop("_side")
+    else:
+        one, two = hsq(sides[0], group, intercepts[0]), hsq(sides[1], group, intercepts[1])
     cov = gencov(df, group, one, two, intercepts[2])
     out = one.select(*group, F.col("tot").alias("h1")).join(two.select(*group, F.col("tot").alias("h2")), group).join(cov.select(*group, F.col("tot").alias("gencov")), group)
     fine = (F.col("h1") > 0) & (F.col("h2") > 0)
     return out.withColumn("rg", F.when(fine, F.col("gencov") / F.sqrt(F.when(fine, F.col("h1") * F.col("h2")))))
 
 
+def latent_correlation(stats: DataFrame, external: DataFrame, n_samples: float, m: float, weights: DataFrame | None = None, intercepts: tuple = (None, None, None)) -> DataFrame:
+    """``dim, h1, h2, gencov, rg, skipped`` of each latent trait against an external one.
+
+    ``stats`` is ``variant_idx, dim, z`` of ``association`` over ``n_samples``; ``external`` is ``variant_idx, z, n, ld, w_ld`` of
+    ``context``; they meet on the variant. With ``weights`` (``dim, weight``) only dimensions of a weight other than 0 are
+    fitted. A dimension is skipped where a fit is singular (its covariance and correlation are then 0) or a
+    heritability is not positive (its covariance stays, its correlation is 0).
+    """
+    if weights is not None:
+        stats = stats.join(weights.where("weight <> 0").select("dim"), "dim", "left_semi")
+    rows = stats.select("variant_idx", "dim", F.col("z").alias("z1")).join(external.select("variant_idx", F.col("z").alias("z2"), F.col("n").alias("n2"), "ld", "w_ld"), "variant_idx")
+    rows = rows.withColumns({"n1": F.lit(float(n_samples)), "m": F.lit(float(m))})
+    out = genetic_correlation(rows, ["dim"], intercepts)
+    zero = F.lit(0.0)
+    return out.select("dim", "h1", "h2", F.coalesce("gencov", zero).alias("gencov"), F.coalesce("rg", zero).alias("rg"), F.col("rg").isNull().alias("skipped"))
+
+
 def context(sumstats: DataFrame, ref_ld: DataFrame, w_ld: DataFrame, bed: DataFrame) -> DataFrame:
     """Inner join of summary statistics, panel and weight LD scores and genotyped variants on the SNP name.
 
@@ -118,31 +148,62 @@ def _solve_each(sums: DataFrame, group: list[str], k: int) -> DataFrame:
     return sums.select(*group, "nbar", "_a", "_t").mapInPandas(run, schema)
 
 
-def hsq_annotations(df: DataFrame, group: list[str], annotations: list[str], m: list[float], intercept: float | None = None) -> DataFrame:
-    """``group, tot, cat array, intercept``: heritability split over LD score columns with ``m`` SNPs behind each.
+def _annotated(rows: DataFrame, group: list[str], annotations: list[str], m: list[float], null: float, fixed: bool, weights) -> DataFrame:
+    """``group, tot, cat array, intercept``: ``y`` on LD score columns with ``m`` SNPs behind each; rows have ``n`` and ``y`` too.
 
-    ``df`` has ``chisq, w_ld, n`` and the annotations. Weights use the sum of the LD scores and, as published, only the
-    first coefficient times all SNPs. One row of sums per group and pass is solved, where the group's sums are.
+    ``weights`` takes the summed LD score, the total estimate and the intercept; as published, the estimate between
+    passes uses only the first coefficient times all SNPs. One row of sums per group and pass is solved, where the
+    group's sums are; a singular group gets nulls.
     """
-    total, k = float(sum(m)), len(annotations) + (intercept is None)
-    null = 1.0 if intercept is None else float(intercept)
+    big, k = float(sum(m)), len(annotations) + (not fixed)
     ld = F.lit(0.0)
     for c in annotations:
         ld = ld + F.col(c)
-    rows = df.where(F.col("chisq").isNotNull()).withColumn("_ld", ld)
-    start = rows.groupBy(*group).agg(F.avg(F.col("n").cast("double")).alias("nbar"), (total * (F.avg("chisq") - null) / F.avg(F.col("_ld") * F.col("n"))).alias("_est"))
-    est = start.withColumn("_ic", F.lit(null))
-    for step in range(3):
-        x = [F.col(c) * F.col("n") / F.col("nbar") for c in annotations] + [F.lit(1.0)] * (intercept is None)
-        y = F.col("chisq") - (F.lit(0.0) if intercept is None else F.lit(null))
-        w = hsq_weights(F.col("_ld"), F.col("w_ld"), F.col("n"), F.lit(total), F.col("_est"), F.col("_ic"))
-        sums = rows.join(est, group).groupBy(*group, "nbar").agg(
+    rows = staged(rows.withColumn("_ld", ld))
+    start = rows.groupBy(*group).agg(F.avg(F.col("n").cast("double")).alias("nbar"), (big * (F.avg("y") - null) / F.avg(F.col("_ld") * F.col("n"))).alias("_est"))
+    est = staged(start.withColumn("_ic", F.lit(float(null))))
+    for _ in range(3):
+        x = [F.col(c) * F.col("n") / F.col("nbar") for c in annotations] + [F.lit(1.0)] * (not fixed)
+        y = F.col("y") - (F.lit(float(null)) if fixed else F.lit(0.0))
+        w = weights(F.col("_ld"), F.col("_est"), F.col("_ic"))
+        sums = rows.join(est.select(*group, "nbar", "_est", "_ic"), group).groupBy(*group, "nbar").agg(
             F.array(*[F.sum(w * p * q) for p in x for q in x]).alias("_a"), F.array(*[F.sum(w * p * y) for p in x]).alias("_t")
         )
-        fit = _solve_each(sums, group, k)
-        ic = F.get("_b", F.lit(len(annotations))) if intercept is None else F.lit(null)
-        est = fit.select(*group, "nbar", (total * F.get("_b", F.lit(0)) / F.col("nbar")).alias("_est"), ic.alias("_ic"), "_b")
-        if step < 2:
-            est = est.drop("_b")
+        ic = F.lit(float(null)) if fixed else F.get("_b", F.lit(len(annotations)))
+        est = staged(_solve_each(sums, group, k).select(*group, "nbar", (big * F.get("_b", F.lit(0)) / F.col("nbar")).alias("_est"), ic.alias("_ic"), "_b"))
     cat = F.array(*[F.get("_b", F.lit(j)) * F.lit(float(mj)) / F.col("nbar") for j, mj in enumerate(m)])
     return est.select(*group, F.aggregate(cat, F.lit(0.0), lambda s, v: s + v).alias("tot"), cat.alias("cat"), F.col("_ic").alias("intercept"))
+
+
+def hsq_annotations(df: DataFrame, group: list[str], annotations: list[str], m: list[float], intercept: float | None = None) -> DataFrame:
+    """``group, tot, cat array, intercept``: heritability split over annotations; ``df`` has ``chisq, w_ld, n`` and these."""
+    rows = df.where(F.col("chisq").isNotNull()).select(*group, *annotations, "w_ld", "n", F.col("chisq").alias("y"))
+    null = 1.0 if intercept is None else float(intercept)
+    return _annotated(rows, group, annotations, m, null, intercept is not None, lambda ld, h, i: hsq_weights(ld, F.col("w_ld"), F.col("n"), F.lit(float(sum(m))), h, i))
+
+
+def gencov_annotations(df: DataFrame, group: list[str], annotations: list[str], m: list[float], h1: DataFrame, h2: DataFrame, intercept: float | None = None) -> DataFrame:
+    """``group, tot, cat array, intercept``: genetic covariance split over annotations; ``df`` has ``z1, z2, n1, n2, w_ld`` and these.
+
+    ``h1`` and ``h2`` have ``group, tot, intercept`` of both heritabilities.
+    """
+    rows = df.withColumns({"y": F.col("z1") * F.col("z2"), "n": F.sqrt(F.col("n1") * F.col("n2"))})
+    for k, h in ((1, h1), (2, h2)):
+        rows = rows.join(h.select(*group, F.col("tot").alias(f"h{k}"), F.col("intercept").alias(f"i{k}")), group)
+    c, big = F.col, F.lit(float(sum(m)))
+    rows = rows.select(*group, *annotations, "w_ld", "n", "n1", "n2", "y", "h1", "i1", "h2", "i2")
+    return _annotated(
+        rows, group, annotations, m, 0.0 if intercept is None else float(intercept), intercept is not None,
+        lambda ld, g, i: gencov_weights(ld, c("w_ld"), c("n1"), c("n2"), big, c("h1"), c("h2"), g, c("i1"), c("i2"), i),
+    )
+
+
+def correlation_annotations(df: DataFrame, group: list[str], annotations: list[str], m: list[float], intercepts: tuple = (None, None, None)) -> DataFrame:
+    """``group, h1, h2, gencov, rg`` with several annotations; rg is null where a heritability is not positive."""
+    df = staged(df.select(*group, *annotations, "z1", "z2", "n1", "n2", "w_ld"))
+    one = hsq_annotations(df.withColumns({"chisq": F.col("z1") * F.col("z1"), "n": F.col("n1")}), group, annotations, m, intercepts[0])
+    two = hsq_annotations(df.withColumns({"chisq": F.col("z2") * F.col("z2"), "n": F.col("n2")}), group, annotations, m, intercepts[1])
+    cov = gencov_annotations(df, group, annotations, m, one, two, intercepts[2])
+    out = one.select(*group, F.col("tot").alias("h1")).join(two.select(*group, F.col("tot").alias("h2")), group).join(cov.select(*group, F.col("tot").alias("gencov")), group)
+    fine = (F.col("h1") > 0) & (F.col("h2") > 0)
+    return out.withColumn("rg", F.when(fine, F.col("gencov") / F.sqrt(F.when(fine, F.col("h1") * F.col("h2")))))

@@ -73,14 +73,22 @@ def histogram(values: DataFrame, column: str, bins: int = 59) -> DataFrame:
     return all_bins.join(counts, "bin", "left").select("bin", (F.lit(a) + F.col("bin") * width).alias("lo"), (F.lit(a) + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rank_sum(df: DataFrame, value: str, treated: str) -> DataFrame:
+def rank_sum(df: DataFrame, value: str, treated: str, parts: int = 256) -> DataFrame:
     """``z, n1, n2`` of the rank-sum test that treated values are larger; average ranks, no correction for ties.
 
-    Ranks come from counts per distinct value: a running sum over values, not a sort of all rows in one task.
+    Rows are counted per distinct value; values are dealt to ``parts`` ranges, which are summed one after the other, and each
+    range is then summed by itself: no task sees all values. Nulls in the value or the side say nothing.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"), F.sum(F.col(treated).cast("int")).alias("t"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("r", below + (F.col("k") + 1) / 2.0)
+    per = df.where(F.col(value).isNotNull() & F.col(treated).isNotNull()).groupBy(F.col(value).alias("v"))
+    per = per.agg(F.count("*").alias("k"), F.sum(F.col(treated).cast("int")).alias("t"))
+    edges = sorted(set(per.approxQuantile("v", [(i + 1) / parts for i in range(parts - 1)], 0.5 / parts))) if per.schema["v"].dataType.simpleString() in ("double", "float", "int", "bigint") else []
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col("v") > e)) if edges else F.lit(0)
+    per = per.withColumn("_part", at)
+    sums = per.groupBy("_part").agg(F.sum("k").alias("_n"))
+    sums = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("k").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = per.withColumn("_inside", inside).join(sums, "_part").withColumn("r", F.col("_before") + F.col("_inside") + (F.col("k") + 1) / 2.0)
     s = ranked.agg(F.sum(F.col("t") * F.col("r")).alias("w"), F.sum("t").alias("n1"), (F.sum("k") - F.sum("t")).alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
-    return s.select(((F.col("w") - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)).alias("z"), "n1", "n2")
+    spread = F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
+    return s.select(((F.col("w") - n1 * (n1 + n2 + 1) / 2.0) / F.when(spread > 0, spread)).alias("z"), "n1", "n2")

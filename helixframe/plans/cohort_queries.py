@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import assembly, factored, heritability, ldsc, logs, variants
+from ..operators import assembly, comparison, factored, heritability, ldsc, logs, objectives, variants
 from ..sources import cohort
+from ..sources.staging import staged
 from ..streaming import incremental
 
 TRAITS = [f"z{k}" for k in range(cohort.N_DIMS)]
@@ -42,7 +43,7 @@ def variant_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kinship_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.N_VARIANTS))
+    return rounded(variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf)))
 
 
 def latents_standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,28 +85,21 @@ def h2_mom_covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h2_kinship(spark: SparkSession, sf: str) -> DataFrame:
-    kin = variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.N_VARIANTS)
+    kin = variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf))
     return rounded(heritability.mom_kinship(kin, cohort.latents(spark, sf), TRAITS))
 
 
 def h2_even_odd(spark: SparkSession, sf: str) -> DataFrame:
     """Heritability from variants of even and of odd chromosomes (brand numbers)."""
-    x, chrom = cohort.dosage(spark, sf), cohort.variants(spark, sf).select("variant_idx", "chrom")
-    out = None
+    x, out = staged(cohort.dosage(spark, sf)), None
     for name, rest in (("even", 0), ("odd", 1)):
-        part = x.join(F.broadcast(chrom.where(F.col("chrom") % 2 == rest).select("variant_idx", (F.dense_rank().over(_by_index()) - 1).alias("at"))), "variant_idx")
-        part = part.select("sample_id", F.col("at").cast("int").alias("variant_idx"), "x")
+        # Chromosomes of one parity, numbered from 0.
+        part = x.where((F.col("variant_idx") + 1) % 2 == rest).select("sample_id", F.floor((F.col("variant_idx") - (1 - rest)) / 2).cast("int").alias("variant_idx"), "x")
         one = heritability.mom(part, cohort.latents(spark, sf), TRAITS).withColumn("chroms", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 
 
-def _by_index():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("variant_idx")
-
-
 def genetic_covariance(spark: SparkSession, sf: str) -> DataFrame:
     design = _design(spark, sf).join(assembly.complete(cohort.target(spark, sf), ["y"]), "sample_id")
     x = cohort.dosage(spark, sf).join(design.select("sample_id"), "sample_id", "left_semi")
@@ -145,7 +139,7 @@ def association(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trace_hutchinson(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(factored.hutchinson(variants.standardized(cohort.dosage(spark, sf)), cohort.N_VARIANTS))
+    return rounded(factored.hutchinson(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf)))
 
 
 def _snps(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -285,6 +279,157 @@ def incremental_state(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(state)
 
 
+def h2_mom_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Heritability with the stochastic trace, as beyond the bound of the exact one."""
+    return rounded(heritability.mom(cohort.dosage(spark, sf), cohort.latents(spark, sf), TRAITS, most=0))
+
+
+def h2_mom_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """All 64 components at once, as eight dimensions of two runs and four epochs each."""
+    wide = table_vectors(spark, sf).select("sample_id", F.posexplode("embedding").alias("at", "v"))
+    long = wide.select(
+        "sample_id", F.floor(F.col("at") / 32).cast("int").alias("run"), (F.floor(F.col("at") / 8) % 4).cast("int").alias("epoch"), (F.col("at") % 8).cast("int").alias("dim"), F.col("v").cast("double").alias("z")
+    )
+    return rounded(heritability.mom_long(cohort.dosage(spark, sf), long))
+
+
+def table_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = cohort.table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), "embedding")
+    return vectors.join(cohort.samples(spark, sf), "sample_id", "left_semi")
+
+
+#: Weights of the dimensions in the objectives; a dimension of weight 0 is not active.
+WEIGHTS = (1.0, 0.5, 0.0, 0.25, 1.0, 0.0, 0.0, 2.0)
+
+
+def _weights(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(WEIGHTS)), "dim int, weight double")
+
+
+def h2_weighted_loss(spark: SparkSession, sf: str) -> DataFrame:
+    h2 = heritability.mom(cohort.dosage(spark, sf), cohort.latents(spark, sf), TRAITS)
+    return rounded(objectives.weighted_loss(h2, _weights(spark), "h2"), 4)
+
+
+def spectrum_marginal_loss(spark: SparkSession, sf: str) -> DataFrame:
+    g, p = heritability.genetic_matrices(staged(cohort.dosage(spark, sf)), _design(spark, sf), TRAITS, COVARIATES)
+    return rounded(objectives.marginal_loss(heritability.matrix_rows(spark, g=g, p=p), _weights(spark)), 4)
+
+
+def spectrum_objective(spark: SparkSession, sf: str) -> DataFrame:
+    """``loss, total``: rank weights 3, 2, 1 on the largest eigenvalues, and the sum of all."""
+    g, p = heritability.genetic_matrices(staged(cohort.dosage(spark, sf)), _design(spark, sf), TRAITS, COVARIATES)
+    values, _ = heritability.spectrum(g, p)
+    rows = spark.createDataFrame([(float(v),) for v in values], "value double")
+    return rounded(objectives.spectrum_loss(rows, [3.0, 2.0, 1.0]).crossJoin(objectives.total(rows)).select("loss", "total"), 4)
+
+
+def vector_mse(spark: SparkSession, sf: str) -> DataFrame:
+    """The second half of each vector against its first half."""
+    v = cohort.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return rounded(objectives.sample_mse(v, F.slice("e", 1, 32), F.slice("e", 33, 32)))
+
+
+def composite_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms of the training objective on the first eight components, heritability weighted 0.1."""
+    mse = objectives.sample_mse(table_vectors(spark, sf).select("sample_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")), F.slice("e", 1, 32), F.slice("e", 33, 32))
+    z = cohort.latents(spark, sf)
+    mean, sd = F.array(*TRAITS[:4]), F.array(*[F.log1p(F.exp(c)) for c in TRAITS[4:]])
+    terms = z.select("sample_id", scalars.kl_divergence(mean, sd, 4.0).alias("kld"), scalars.kl_penalty(sd, 4.0).alias("pen")).join(mse, "sample_id")
+    batch = objectives.weighted_loss(heritability.mom(cohort.dosage(spark, sf), z, TRAITS), _weights(spark), "h2").withColumnRenamed("loss", "her")
+    batch = batch.crossJoin(latents_correlation_loss(spark, sf).withColumnRenamed("loss", "corr")).crossJoin(scalars.moment_loss(z, TRAITS).withColumnRenamed("loss", "moment"))
+    # One row of three numbers.
+    return rounded(objectives.composite_loss(terms.crossJoin(F.broadcast(batch)), 1.0, 0.1), 4)
+
+
+def intercept_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _ldsc_rows(spark, sf).withColumns({"chisq": F.col("z1") * F.col("z1"), "n": F.col("n1")})
+    return rounded(objectives.summary(ldsc.hsq(rows, ["trait"]), "intercept"), 4)
+
+
+def _brand_context(spark, sf) -> DataFrame:
+    """An external trait over the variants: quantities of a brand's lines, with LD scores by its number."""
+    parts = cohort.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int") - 1).alias("variant_idx"))
+    lines = cohort.table(spark, sf, "lineitem").select("l_partkey", "l_quantity").join(parts, "l_partkey")
+    per = lines.groupBy("variant_idx").agg(F.count("*").cast("double").alias("n"), F.avg("l_quantity").alias("q"))
+    at = F.col("variant_idx")
+    return per.select("variant_idx", ((F.col("q") - 25.5) / (14.43 / F.sqrt("n"))).alias("z"), "n", (1 + at * 7 % 25 / 5).alias("ld"), (1 + at * 3 % 10 / 5).alias("w_ld"))
+
+
+def ldsc_rg_latents(spark: SparkSession, sf: str) -> DataFrame:
+    """Each active latent's association results against the external trait; intercepts are fixed."""
+    design = staged(_design(spark, sf))
+    stats = heritability.association(staged(cohort.dosage(spark, sf)), design, TRAITS, COVARIATES)
+    return rounded(ldsc.latent_correlation(stats, _brand_context(spark, sf), design.count(), M_LDSC, _weights(spark), (1.0, 1.0, 0.0)), 4)
+
+
+def ldsc_gencov_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Two LD score columns, intercepts fixed at 1 and 0."""
+    other = cohort.table(spark, sf, "part").select(F.substring("p_brand", 7, 1).alias("trait"), F.col("p_partkey").alias("snp"), (F.col("p_partkey") % 7 / 2).alias("other"))
+    stats, ref, weights, _ = _snps(spark, sf)
+    rows = stats.join(ref, "snp").join(weights, "snp").join(other, "snp").select("trait", F.col("z").alias("z1"), "z2", F.col("n").alias("n1"), F.col("n").alias("n2"), "ld", "other", "w_ld")
+    return rounded(ldsc.correlation_annotations(rows, ["trait"], ["ld", "other"], [600.0, 400.0], (1.0, 1.0, 0.0)).drop("rg"), 4)
+
+
+def _changed(spark, sf):
+    """X'Z and the traits after the batches of ``incremental_state``, and what does not change."""
+    xs = staged(variants.standardized(cohort.dosage(spark, sf)))
+    traits = staged(incremental.long_traits(cohort.latents(spark, sf), TRAITS[:2]))
+    ids = cohort.samples(spark, sf)
+    ones = ids.select("sample_id", F.lit(0).alias("k"), F.lit(1.0).alias("c"))
+    state, w = incremental.rebuild(xs, traits), incremental.rebuild_covariates(ones, traits)
+    events = cohort.table(spark, sf, "events").join(ids, F.col("user_id") == F.col("sample_id"), "left_semi")
+    for parity in (0, 1):
+        batch = events.where(F.col("event_id") % 2 == parity).groupBy(F.col("user_id").cast("long").alias("sample_id")).agg((F.max_by("value", "event_id") / 100).alias("z"))
+        batch = staged(batch.select("sample_id", F.lit(0).alias("dim"), "z"))
+        w = incremental.update_covariates(ones, w, traits, batch)
+        state, traits = incremental.update(xs, state, traits, batch)
+    design = ids.withColumn("_one", F.lit(1.0))
+    by = staged(factored.by_variant(xs, design, ["_one"]))
+    p = factored.Projection(design, ["_one"], [])
+    t1, t2 = factored.traces(xs, by, p, cohort.n_variants(spark, sf))
+    fixed = incremental.Fixed(by.withColumnRenamed("t__one", "t_0"), p.inverse, p.n, cohort.n_variants(spark, sf), t1, t2)
+    return staged(state), staged(w), staged(traits), fixed
+
+
+def h2_of_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Heritability from the maintained sums after two batches of changes, with an intercept."""
+    return rounded(incremental.h2_of_state(*_changed(spark, sf)))
+
+
+def sumstats_of_state(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(incremental.sumstats_of_state(*_changed(spark, sf)))
+
+
+def matrices_of_state(spark: SparkSession, sf: str) -> DataFrame:
+    g, p = incremental.matrices_of_state(*_changed(spark, sf))
+    return rounded(heritability.matrix_rows(spark, g=g, p=p))
+
+
+def log_split_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with even and odd chromosomes, written and parsed again."""
+    wide = _epochs(spark, sf).select(
+        "epoch", "mse_train", "mse_val", F.slice("h_train", 1, 2).alias("train_even"), F.slice("h_train", 3, 2).alias("train_odd"), F.slice("h_val", 1, 2).alias("val_even"), F.slice("h_val", 3, 2).alias("val_odd")
+    )
+    return rounded(logs.parse(objectives.split_lines(wide), "epoch"))
+
+
+def log_gencov_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return objectives.gencov_line(_epochs(spark, sf).select("epoch", F.col("h_train").alias("gencov_train"), F.col("h_val").alias("gencov_val")))
+
+
+def two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The training stream as control, the validation stream as experiment, dimensions where the control reaches 0."""
+    log = staged(_log(spark, sf))
+    runs = [log.where(F.col("stream") == s).select("epoch", "dim", "value") for s in ("train", "val")]
+    return rounded(comparison.two_runs(*runs, mask=runs[0], least=0.0))
+
+
+def rank_sum_p(spark: SparkSession, sf: str) -> DataFrame:
+    lines = cohort.table(spark, sf, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").alias("treated"))
+    return rounded(comparison.rank_sum_p(lines, "l_quantity", "treated"))
+
+
 def edge_continuity(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings of 64 components as 8 x 8 images."""
     v = cohort.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "value"))
@@ -300,5 +445,7 @@ QUERIES = {
         genetic_covariance, genetic_matrices, spectrum, spectrum_held_out, variance_explained, association, trace_hutchinson, ldsc_context,
         ldsc_h2, ldsc_h2_fixed, ldsc_h2_annotations, ldsc_rg, ldsc_summary, cohort_ids, cohort_complete, cohort_split, cohort_resume, last_event, nearest_event,
         log_parse, log_epoch_stats, log_peak, value_histogram, rank_sum, incremental_state, edge_continuity,
+        h2_mom_probes, h2_mom_epochs, h2_weighted_loss, spectrum_marginal_loss, spectrum_objective, vector_mse, composite_loss, intercept_summary, ldsc_rg_latents,
+        ldsc_gencov_annotations, h2_of_state, sumstats_of_state, matrices_of_state, log_split_parse, log_gencov_lines, two_runs, rank_sum_p,
     )
 }

@@ -198,3 +198,78 @@ FROM (SELECT *, 1 / (2 * pow(1 + least(greatest(est, 0), 1) * n * greatest(a + b
 
 
 SQL["ldsc_h2_annotations"] = _two_annotations()
+
+
+# Objectives, stochastic traces, state, comparisons.
+_W = "wt AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.5), (2, 0.0), (3, 0.25), (4, 1.0), (5, 0.0), (6, 0.0), (7, 2.0)) AS t(dim, weight))"
+
+
+_H2 = mom_no_c().replace("round((qk.q - qp.q) / (t2 - n), 6) + 0.0", "(qk.q - qp.q) / (t2 - n)")
+_GP = SQL["genetic_matrices"].replace(r("(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)"), "(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)").replace(
+    r("qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))"), "qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))")
+_PROBES = f"""s AS (SELECT sample_id, p::INT AS probe, CASE WHEN md5(concat_ws(':', sample_id, p, 0))[1] < '8' THEN 1.0 ELSE -1.0 END AS g FROM samples, range(30) AS r(p)),
+xg AS (SELECT probe, variant_idx, sum(xs * g) AS v FROM xs JOIN s USING (sample_id) GROUP BY ALL),
+xx AS (SELECT probe, sample_id, sum(xs * v) AS r FROM xs JOIN xg USING (variant_idx) GROUP BY ALL),
+pt AS (SELECT avg(e) AS t2p FROM (SELECT sum(r * r) / {M * M} AS e FROM xx GROUP BY probe))"""
+SQL["h2_mom_probes"] = f"""WITH {dosage()}, {LATENTS}, {standard()}, {basis("none")}, {PROJECTED}, {_PROBES}
+SELECT qk.i AS dim, {r("(qk.q - qp.q) / (t2p - n)")} AS h2 FROM qk JOIN qp USING (i, j), pt, nn WHERE qk.i = qk.j"""
+SQL["h2_mom_epochs"] = f"""SELECT (dim // 32)::INT AS run, (dim // 8 % 4)::INT AS epoch, (dim % 8)::INT AS dim, h2 FROM ({mom_no_c().replace(LATENTS, LATENTS.replace("range(8)", "range(64)"))})"""
+SQL["h2_weighted_loss"] = f"WITH {_W}, h AS ({_H2}) SELECT {r('-sum(weight * h2)', 4)} AS loss FROM h JOIN wt USING (dim)"
+SQL["spectrum_marginal_loss"] = f"WITH {_W}, m AS ({_GP}) SELECT {r('-sum(weight * greatest(g / p, 0))', 4)} AS loss FROM m JOIN wt ON dim = i WHERE i = j"
+_MSE = "SELECT vec_id AS sample_id, list_sum(list_transform(range(1, 33), lambda k: pow(embedding[k]::DOUBLE - embedding[k + 32]::DOUBLE, 2))) / 32 AS mse FROM embeddings"
+SQL["vector_mse"] = f"SELECT sample_id, {r('mse')} AS mse FROM ({_MSE})"
+_KL = SQL["latents_kl"].replace(r("-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 4"), "-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 4").replace(r("-0.5 * sum(s) / 4"), "-0.5 * sum(s) / 4")
+_MOMENT = SQL["latents_moment_loss"].replace(r("abs(sum(z * z * z)) / any_value(n) + abs(sum(z * z * z * z) / any_value(n) - 3)"), "abs(sum(z * z * z)) / any_value(n) + abs(sum(z * z * z * z) / any_value(n) - 3)")
+SQL["composite_loss"] = f"""WITH {_W}, h AS ({_H2}), her AS (SELECT -sum(weight * h2) AS her FROM h JOIN wt USING (dim)), kl AS ({_KL}), ms AS ({_MSE}), co AS ({SQL["latents_correlation_loss"]}), mo AS ({_MOMENT})
+SELECT {r("avg(mse + kld) + 0.1 * any_value(her) + any_value(co.loss) + any_value(mo.loss) + avg(pen)", 4)} AS loss FROM kl JOIN ms USING (sample_id), her, co, mo"""
+_FREE = f"WITH {_ROWS}, {_irwls('h', 'r1', _HW, 1.0, False)}"
+SQL["intercept_summary"] = f"{_FREE} SELECT count(ic) AS n, {r('avg(ic)', 4)} AS mean, {r('stddev_samp(ic)', 4)} AS sd, {r('stddev_pop(ic)', 4)} AS sd_pop FROM h3"
+_ASSOC = SQL["association"].rpartition("SELECT variant_idx, dim, ")[0].rstrip()
+SQL["ldsc_rg_latents"] = f"""{_ASSOC}, {_W},
+ext AS (SELECT split_part(p_brand, '#', 2)::INT - 1 AS variant_idx, count(*)::DOUBLE AS n2, avg(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+base AS (SELECT t.dim AS trait, beta / se AS z, (q - 25.5) / (14.43 / sqrt(n2)) AS z2, (SELECT count(DISTINCT sample_id) FROM cov)::DOUBLE AS n1, n2, 1 + t.variant_idx * 7 % 25 / 5 AS ld, 1 + t.variant_idx * 3 % 10 / 5 AS w_ld
+         FROM t JOIN ext USING (variant_idx) JOIN wt USING (dim) WHERE weight <> 0),
+r1 AS (SELECT *, n1 AS n, z * z AS y FROM base), r2 AS (SELECT *, n2 AS n, z2 * z2 AS y FROM base),
+{_irwls('h', 'r1', _HW, 1.0, True)}, {_irwls('k', 'r2', _HW, 1.0, True)},
+r3 AS (SELECT base.*, sqrt(n1 * n2) AS n, z * z2 AS y, h3.tot AS h1, h3.ic AS i1, k3.tot AS h2, k3.ic AS i2 FROM base JOIN h3 USING (trait) JOIN k3 USING (trait)),
+{_irwls('g', 'r3', _GW.replace("(n * least(greatest(h1", "(n1 * least(greatest(h1").replace("(n * least(greatest(h2", "(n2 * least(greatest(h2"), 0.0, True)}
+SELECT trait AS dim, {r('h3.tot', 4)} AS h1, {r('k3.tot', 4)} AS h2, {r('g3.tot', 4)} AS gencov, CASE WHEN h3.tot > 0 AND k3.tot > 0 THEN {r('g3.tot / sqrt(h3.tot * k3.tot)', 4)} ELSE 0.0 END AS rg, NOT (h3.tot > 0 AND k3.tot > 0) AS skipped
+FROM h3 JOIN k3 USING (trait) JOIN g3 USING (trait)"""
+
+
+def _two_columns(name: str, rows: str, weight: str, null: float) -> str:
+    """Three weighted fits on two LD score columns with a fixed intercept; 600 and 400 SNPs behind them."""
+    out = f"{name}0 AS (SELECT trait, avg(n) AS nbar, 1000 * (avg(y) - {null}) / avg((a + b) * n) AS est, NULL::DOUBLE AS tot FROM {rows} GROUP BY trait)"
+    for k in range(3):
+        c0, c1 = "(s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) / nbar", "(s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) / nbar"
+        out += f""",
+{name}{k + 1} AS (SELECT trait, nbar, 1000 * {c0} AS est, 600 * {c0} + 400 * {c1} AS tot
+FROM (SELECT trait, any_value(nbar) AS nbar, sum(w * a * a * n * n / nbar / nbar) AS s11, sum(w * a * b * n * n / nbar / nbar) AS s12, sum(w * b * b * n * n / nbar / nbar) AS s22, sum(w * a * n / nbar * (y - {null})) AS t1, sum(w * b * n / nbar * (y - {null})) AS t2
+FROM (SELECT *, {weight} AS w FROM {rows} JOIN {name}{k} USING (trait)) GROUP BY trait))"""
+    return out
+
+
+_HW2 = "1 / (2 * pow(1 + least(greatest(est, 0), 1) * n * greatest(a + b, 1) / 1000, 2)) / greatest(w_ld, 1)"
+_GW2 = "1 / ((n * least(greatest(h1, 0), 1) * greatest(a + b, 1) / 1000 + 1) * (n * least(greatest(h2, 0), 1) * greatest(a + b, 1) / 1000 + 1) + pow(n * greatest(least(est, 1), -1) * greatest(a + b, 1) / 1000, 2)) / greatest(w_ld, 1)"
+SQL["ldsc_gencov_annotations"] = f"""WITH {_SNPS}, base AS (SELECT ld.trait, n, ld.ld AS a, snp % 7 / 2 AS b, w_ld, z, z2 FROM ss JOIN ld USING (snp)), r1 AS (SELECT *, z * z AS y FROM base), r2 AS (SELECT *, z2 * z2 AS y FROM base),
+{_two_columns('h', 'r1', _HW2, 1.0)}, {_two_columns('k', 'r2', _HW2, 1.0)},
+r3 AS (SELECT base.*, z * z2 AS y, h3.tot AS h1, k3.tot AS h2 FROM base JOIN h3 USING (trait) JOIN k3 USING (trait)), {_two_columns('g', 'r3', _GW2, 0.0)}
+SELECT trait, {r('h3.tot', 4)} AS h1, {r('k3.tot', 4)} AS h2, {r('g3.tot', 4)} AS gencov FROM h3 JOIN k3 USING (trait) JOIN g3 USING (trait)"""
+_ZZ = SQL["incremental_state"].rpartition("SELECT variant_idx, dim, ")[0].removeprefix("WITH ").rstrip()
+_STATE = f"""WITH {_ZZ}, zs AS (SELECT sample_id, dim, z FROM zz), basis AS (SELECT sample_id, 0 AS k, 1.0 AS e FROM samples), {PROJECTED}"""
+SQL["h2_of_state"] = f"""{_STATE}, v AS (SELECT qk.i AS dim, qk.q * nc - qp.q * t1 AS v0, t2 * qp.q - t1 * qk.q AS v1 FROM qk JOIN qp USING (i, j), tr, nn WHERE qk.i = qk.j)
+SELECT dim, {r("v0 / (v0 + v1 + CASE WHEN v0 + v1 >= 0 THEN 1e-8 ELSE -1e-8 END)")} AS h2 FROM v"""
+SQL["sumstats_of_state"] = f"""{_STATE}, t AS (SELECT u.variant_idx, u.dim, u / greatest(g, 1e-12) AS beta, sqrt(greatest(qp.q / greatest(nc - 1, 1), 1e-12) / greatest(g, 1e-12)) AS se
+      FROM u JOIN gram ON j = u.variant_idx AND k = u.variant_idx JOIN qp ON qp.i = u.dim AND qp.j = u.dim, nn)
+SELECT variant_idx, dim, {r("beta")} AS beta, {r("se")} AS se, {r("beta / se")} AS z, {r("(beta / se) * (beta / se)")} AS chisq FROM t"""
+SQL["matrices_of_state"] = f"""{_STATE}
+SELECT qk.i, qk.j, {r("(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)")} AS g, {r("qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))")} AS p
+FROM qk JOIN qp USING (i, j) JOIN qp a ON a.i = qk.i AND a.j = qk.i JOIN qp b ON b.i = qk.j AND b.j = qk.j, tr, nn"""
+SQL["log_split_parse"] = f"WITH {_LOG} SELECT epoch, stream || CASE WHEN dim < 2 THEN '_even' ELSE '_odd' END AS stream, (dim % 2)::INT AS dim, value FROM lg"
+SQL["log_gencov_lines"] = """WITH ep AS (SELECT (vec_id % 50)::INT AS epoch, k, printf('%+.4e', avg(embedding[k + 1]::DOUBLE)) AS a FROM embeddings, range(8) AS r(k) GROUP BY ALL)
+SELECT epoch, 'epoch ' || epoch || ' - gencov_train: ' || string_agg(a, ', ' ORDER BY k) FILTER (k < 4) || ' - gencov_val: ' || string_agg(a, ', ' ORDER BY k) FILTER (k >= 4) AS line FROM ep GROUP BY epoch"""
+SQL["two_runs"] = f"""WITH {_LOG}, pk AS (SELECT epoch FROM lg WHERE stream = 'val' GROUP BY epoch ORDER BY avg(value) DESC, epoch LIMIT 1),
+ne AS (SELECT DISTINCT lg.epoch, abs(lg.epoch - pk.epoch) AS d FROM lg, pk WHERE stream = 'train' ORDER BY d, lg.epoch LIMIT 1),
+both_ AS (SELECT 'control' AS run, lg.* FROM lg JOIN ne USING (epoch) WHERE stream = 'train' UNION ALL SELECT 'experiment', lg.* FROM lg JOIN pk USING (epoch) WHERE stream = 'val'),
+msk AS (SELECT b.run, b.epoch, b.dim, arg_min(m.value, abs(m.epoch - b.epoch) * 1000 + m.epoch) AS m FROM both_ b JOIN lg m ON m.stream = 'train' AND m.dim = b.dim GROUP BY ALL)
+SELECT run, epoch, dim, value FROM both_ JOIN msk USING (run, epoch, dim) WHERE m >= 0"""

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Brands are Brand#1 to Brand#25; a brand's number is its chromosome, its index one less.
-N_VARIANTS = 25
+#: Components of the embeddings that are latent traits in queries with one column per trait; ``h2_mom_epochs`` takes all.
 N_DIMS = 8
 
 
@@ -32,6 +31,11 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select((F.col("chrom") - 1).alias("variant_idx"), F.col("p_brand").alias("brand"), "chrom")
 
 
+def n_variants(spark: SparkSession, sf_dir: str) -> int:
+    """A brand's number is its chromosome, its index one less: the panel is as long as the largest number."""
+    return variants(spark, sf_dir).agg(F.max("chrom")).first()[0] or 0
+
+
 def dosage(spark: SparkSession, sf_dir: str, missing: bool = False) -> DataFrame:
     """``sample_id, variant_idx, x``: dosages 0, 1, 2 of every sample at every variant.
 
@@ -46,8 +50,8 @@ def dosage(spark: SparkSession, sf_dir: str, missing: bool = False) -> DataFrame
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("sample_id", "chrom").agg(F.count("*").alias("k"))
     )
-    # A dense panel: every sample has a value at each of a fixed number of variants.
-    panel = who.withColumn("variant_idx", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS - 1))))
+    # A dense panel: every sample has a value at each variant.
+    panel = who.withColumn("variant_idx", F.explode(F.sequence(F.lit(0), F.lit(max(n_variants(spark, sf_dir) - 1, 0)))))
     x = F.least(F.coalesce("k", F.lit(0)), F.lit(2)).cast("int")
     if missing:
         x = F.when((31 * F.col("sample_id") + 17 * F.col("chrom")) % 20 != 0, x)

@@ -92,12 +92,14 @@ def test_updates_equal_a_rebuild(spark, genotypes):
 def test_stream_keeps_the_state(spark, genotypes, tmp_path):
     z = traits(spark, 0)
     incremental.rebuild(genotypes, z).write.parquet(f"{tmp_path}/state/v0/u")
-    z.write.parquet(f"{tmp_path}/state/v0/z")
+    z.write.parquet(f"{tmp_path}/state/z/batch=-1")
     for k in (1, 2):
         traits(spark, k, range(k, k + 6)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(z.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = incremental.maintain(stream, genotypes, f"{tmp_path}/state", f"{tmp_path}/cp")
     query.awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/state/v2/z")
+    last = incremental.latest(spark, f"{tmp_path}/state")
     near(spark.read.parquet(f"{tmp_path}/state/v2/u"), incremental.rebuild(genotypes, last))
     assert last.count() == 40 and last.agg(F.countDistinct("sample_id", "dim")).first()[0] == 40
+    incremental.compact(spark, f"{tmp_path}/state", f"{tmp_path}/folded", 2)
+    near(spark.read.parquet(f"{tmp_path}/folded/v0/u"), incremental.rebuild(genotypes, incremental.latest(spark, f"{tmp_path}/folded")))
