@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -249,7 +250,8 @@ def _having(tokens: DataFrame, common: DataFrame) -> DataFrame:
     """Of ``b, node, n, d, need, token`` the tokens that are in ``common`` (``b, token, size``), of members that have ``need`` such
     tokens; their number is ``c``."""
     met = tokens.drop("size", "c").join(common, ["b", "token"])
-    return met.join(met.groupBy("b", "node").agg(F.count("*").alias("c")), ["b", "node"]).where("c >= need")
+    # One member's difference at a time.
+    return met.withColumn("c", F.count("*").over(Window.partitionBy("b", "node"))).where("c >= need")
 
 
 def _sizes(tokens: DataFrame, least: int) -> DataFrame:
@@ -271,10 +273,11 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
         need = F.expr(f"greatest(1, {_need('d', least, 'n', num, den)})")
         return side.join(bounds, "b").select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
 
-    mids, nears = tokens(mid, "least_near"), tokens(near, "least_mid")
+    mids, nears, old = tokens(mid, "least_near"), tokens(near, "least_mid"), []
     for _ in range(2):
         nears = staged(_having(nears, _sizes(mids, 1)))
         mids = staged(_having(mids, _sizes(nears, 1)))
+        old += [nears, mids]
     common = _sizes(nears, 1).withColumnRenamed("size", "order")
     at = F.row_number().over(Window.partitionBy("b", "node").orderBy("order", "token")) - 1
     sides = []
@@ -283,7 +286,10 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
         sides.append(first.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "d", "c", "at")]))
     r = f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
     met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= lc - {r} AND rat <= rc - {r}")
-    return met.select(F.least("lnode", "rnode").alias("a"), F.greatest("lnode", "rnode").alias("b")).distinct()
+    pairs = staged(met.select(F.least("lnode", "rnode").alias("a"), F.greatest("lnode", "rnode").alias("b")).distinct())
+    for used in old:
+        unstage(used)
+    return pairs
 
 
 def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
@@ -298,11 +304,15 @@ def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
     mid = mid.join(mid.groupBy("b").agg(F.min("d").alias("least")), "b")
     need = F.expr(f"greatest(1, (d * {num} + {den + num - 1}) div {den + num}, {_need('d', 'least', 'n', num, den)})")
     tokens = mid.select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
+    old = []
     for _ in range(2):
-        tokens = _having(tokens, _sizes(tokens, 2))
+        old.append(staged(tokens))
+        tokens = _having(old[-1], _sizes(old[-1], 2))
     at = F.row_number().over(Window.partitionBy("b", "node").orderBy("size", "token")) - 1
     # Of c tokens, two members that share s have one in common among their first c - s + 1, and two among the first c - s + 2.
     ranked = staged(tokens.withColumn("at", at).where("at < c - need + 2").select("b", "token", "node", "n", "need", (F.col("at") < F.col("c") - F.col("need") + 1).alias("first")))
+    for used in old:
+        unstage(used)
     sized = ranked.where("first").join(ranked.where("first").groupBy("b", "token").agg(F.count("*").alias("size")).where("size > 1"), ["b", "token"])
     # Members that need one token only may share no second one.
     few = sized.where((F.col("size") <= DIRECT) | (F.col("need") == 1)).select(F.xxhash64("b", "token").alias("key"), "node", "n")
@@ -411,8 +421,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         links = near if links is None else links.union(near)
         if star.where("big").isEmpty():
             break
-        pairs = _difference_pairs(found, num, den)
-        more = pairs if more is None else more.union(pairs)
         known = found.where("big").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "far")
         judged = star.where("big AND node <> pivot").join(known, ["node", "pivot"], "left")
         judged = judged.where("NOT coalesce(near, false)").withColumn("far", F.coalesce("far", F.lit(True)))
@@ -424,14 +432,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         kept.append(left)
         done = ~wide | (F.col("n_far") <= DIRECT // 2)
         short, stays = left.where(done).drop("n_far"), left.where(~done).drop("n_far")
-        new = _difference_lists(found, num, den)
+        parts = []
+        if not found.where("big AND NOT far AND NOT near").isEmpty():
+            pairs = _difference_pairs(found, num, den)
+            kept.append(pairs)
+            more = pairs if more is None else more.union(pairs)
+            parts.append(_difference_lists(found, num, den))
         if k + 1 >= ROUNDS:
-            new = new.union(_split_lists(stays.where("level = 1"), lists))
+            hard = stays.where("level = 1")
             stays = stays.where("level > 1")
-        new = staged(_as_lists(new))
-        kept.append(new)
-        direct = direct.union(short).union(new.where(~wide))
-        open_ = stays.union(new.where(wide))
+            if not hard.isEmpty():
+                parts.append(_split_lists(hard, lists))
+        direct, open_ = direct.union(short), stays
+        if parts:
+            new = staged(_as_lists(reduce(DataFrame.union, parts)))
+            kept.append(new)
+            direct, open_ = direct.union(new.where(~wide)), open_.union(new.where(wide))
         k += 1
         if open_.isEmpty():
             break
@@ -440,7 +456,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # Tokens that a member may also share in long lists, which are not paired here.
     long_lists = lists.where(wide & (F.col("layer") <= F.col("l"))).groupBy("node").agg(F.count("*").alias("more"))
     direct = direct.join(labels, "node", "left").join(long_lists, "node", "left")
-    direct = direct.withColumns({"label": F.coalesce("label", "node"), "more": F.coalesce("more", F.lit(0))})
+    direct = staged(direct.withColumns({"label": F.coalesce("label", "node"), "more": F.coalesce("more", F.lit(0))}))
+    kept.append(direct)
     sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "pos", "label", "mids", "leads", "more")]) for side in "lr"]
     met = sides[0].where("l_leads").join(sides[1], "key").where(
         f"(NOT r_leads OR l_node < r_node) AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
