@@ -103,3 +103,27 @@ def test_stream_keeps_the_state(spark, genotypes, tmp_path):
     assert last.count() == 40 and last.agg(F.countDistinct("sample_id", "dim")).first()[0] == 40
     incremental.compact(spark, f"{tmp_path}/state", f"{tmp_path}/folded", 2)
     near(spark.read.parquet(f"{tmp_path}/folded/v0/u"), incremental.rebuild(genotypes, incremental.latest(spark, f"{tmp_path}/folded")))
+
+
+def test_small_text_sources(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("PC1\n\n Age \n")
+    (tmp_path / "w.txt").write_text("1.0\n0\n-2.5\n")
+    assert files.read_lines(spark, f"{tmp_path}/names.txt") == ["PC1", "Age"]
+    assert [(r["dim"], r["weight"]) for r in files.read_weights(spark, f"{tmp_path}/w.txt").collect()] == [(0, 1.0), (1, 0.0), (2, -2.5)]
+    head = "rank\traw_h2\ttheoretical_h2\tempirical_h2\tempirical_h2_se\n"
+    (tmp_path / "comparison.001.txt").write_text(head + "0\t0.1\t0.2\t0.3\t0.4\n")
+    (tmp_path / "comparison.002.txt").write_text(head + "0\t0.5\t0.6\t0.7\t0.8\n1\t0\t0\t0\t0\n")
+    got = files.read_comparison(spark, f"{tmp_path}/comparison.*.txt").orderBy("rank").collect()
+    assert len(got) == 2 and tuple(got[0]) == (0, 0.5, 0.6, 0.7, 0.8)
+    for e in (3, 12):
+        (tmp_path / f"weights.{e:05d}.pt").write_bytes(b"x")
+    assert files.latest_checkpoint(spark, str(tmp_path))[0] == 12
+    parts = spark.createDataFrame([(1, "train"), (2, "val")], "sample_id long, part string")
+    files.write_split_ids(parts, f"{tmp_path}/split")
+    assert sorted(map(tuple, files.read_split_ids(spark, f"{tmp_path}/split").collect())) == [(1, "train"), (2, "val")]
+
+
+def test_latents_without_a_pair_raise(spark, tmp_path):
+    (tmp_path / "Zm_train.7.txt").write_text("1 2\n")
+    with pytest.raises(ValueError):
+        files.read_latents(spark, f"{tmp_path}/Zm_*.txt")
