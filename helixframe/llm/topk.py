@@ -15,8 +15,13 @@ CHUNK, BLOCK = 4096, 1024
 
 
 def integer_vector(embedding: Column, scale: int = 1024) -> Column:
-    """``floor(scale * x)`` of each component; null where the vector or a component is null or not finite."""
-    fit = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """``floor(scale * x)`` of each component; null where the vector or a component is null or not finite.
+
+    Null too where a component is so large that an inner product of such vectors might pass 2 ** 62: ``|scale * x|`` times the
+    root of the number of dimensions must be below 2 ** 31.
+    """
+    bound = F.lit(float((1 << 31) / scale)) / F.sqrt(F.greatest(F.size(embedding), F.lit(1)))
+    fit = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < bound))
     return F.when(F.coalesce(fit, F.lit(False)), F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
 
 
@@ -45,8 +50,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, slices: int = 2) -> DataFrame:
     """The k highest integer inner products of each query: ``query_id, rank, vec_id, score``.
 
-    Both tables have ``vec_id`` and ``v array<long>``; other columns are passed over. A row with a null in either
-    takes no part. Rows of one vec_id are one row (the least vector counts); a query is not its own candidate; vectors of
+    Both tables have ``vec_id`` and ``v array<long>``; other columns are passed over. A row with a null in either, or in ``v``,
+    or with components too large for ``integer_vector``, takes no part. Rows of one vec_id are one row (the least vector counts); a query is not its own candidate; vectors of
     unequal length have no score. Ties go to the smaller vec_id; a query with fewer candidates gets them all. Empty
     tables give an empty result.
 
@@ -58,7 +63,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, slices: int =
     size, dealt over all tasks by hash.
     """
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+        small = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float(1 << 31)) / F.sqrt(F.size("v"))))
+        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & small).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     twins = Window.partitionBy("v").orderBy("vec_id")
     cand = staged(clean(candidates).withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= k + 1).drop("_n"))
@@ -113,7 +119,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, slices: int =
                     floor = [int(x) for x in floor]
                     # Scores are integers, so the share may be rounded down.
                     share = (int(tau) - sum(floor)) // slices
-                    reported, lower, upper = np.zeros(len(ids), bool), np.zeros(len(ids)), np.zeros(len(ids))
+                    # Of the kind of the parts: doubles where these are exact, whole numbers beyond.
+                    reported, lower, upper = np.zeros(len(ids), bool), np.zeros(len(ids), parts[0].dtype), np.zeros(len(ids), parts[0].dtype)
                     for part, least in zip(parts, floor):
                         passes = part[row] >= least + share
                         reported |= passes

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from helixframe.llm import topk
 
 
@@ -36,3 +38,17 @@ def test_nulls_few_candidates_and_repeats(spark):
     assert got == [(0, 1, 5, 1024 - 2 * 2048)]
     assert topk.exact_top_k(v.limit(0), v, 10).count() == 0
     assert topk.exact_top_k(v, v.limit(0), 10).count() == 0
+
+
+def test_large_components(spark):
+    big = float(1 << 17)
+    rows = [(k, [big * (k % 7 - 3), float(k), 0.5]) for k in range(60)] + [(100, [1e8, 0.0, 0.0]), (101, [3e38, 0.0, 0.0]), (102, [float("inf"), 0.0, 0.0]), (103, [None, 1.0, 1.0]), (104, [])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", topk.integer_vector(F.col("e")).alias("v"))
+    vectors = {r["vec_id"]: r["v"] for r in df.collect() if r["v"]}
+    assert set(vectors) == set(range(60))
+    got = topk.exact_top_k(df.where("vec_id % 10 = 0"), df, 5).collect()
+    for q in range(0, 60, 10):
+        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    huge = spark.createDataFrame([(1, [1 << 62, 1]), (2, [3, 4]), (3, [None, 4])], "vec_id long, v array<long>")
+    assert topk.exact_top_k(huge, huge, 2).count() == 0
