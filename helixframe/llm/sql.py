@@ -123,4 +123,29 @@ SELECT page_id, host, path, rule,
 FROM f
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op8_url_filter": OP8}
+#: All sets against all others that share a shingle, and every component by its links: for small tables.
+OP4 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) END AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS a, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT a, n, unnest(s) AS t FROM classes),
+keys AS (SELECT t, row_number() OVER () AS k FROM (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1)),
+small AS (SELECT a, n, k FROM tokens JOIN keys USING (t)),
+links AS (SELECT x.a, y.a AS b FROM small x JOIN small y ON x.k = y.k AND x.a < y.a AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY x.a, y.a HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.c, doc_id) AS component_id, coalesce(classes.a, doc_id) AS class_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN comp ON comp.a = classes.a
+"""
+
+#: Every query against every row.
+OP5 = """
+WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op4_jaccard_join": OP4, "op5_exact_top_k": OP5, "op8_url_filter": OP8}

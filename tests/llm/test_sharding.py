@@ -39,3 +39,39 @@ def test_spill_fills_shards_clockwise():
 def test_small_tables(spark, n):
     got = sharding.shard_rows(spark.range(n).selectExpr("id AS doc_id", "id AS t"), "doc_id", 10, ["t"])
     assert got.count() == n
+
+
+def test_against_a_plain_version(spark):
+    """Row by row: each shard's own rows first, then what is left over walks clockwise to the next shard with room."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    rows = [(k % 150 if k % 5 else 7, f"t{k}") for k in range(600)] + [(None, f"n{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    n, nodes = 7, sharding.ring(7, 8)
+    hashed = df.select("doc_id", "t", F.when(F.col("doc_id").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("doc_id")).alias("h"))
+    hashed = hashed.withColumn("run", F.shiftrightunsigned(F.xxhash64("h", "t"), 64 - sharding.RUN_BITS)).collect()
+    places = [p for p, _ in nodes]
+    arcs = {}
+    for r in hashed:
+        place = (r["h"] & ((1 << 64) - 1)) >> (64 - sharding.RING_BITS)
+        arcs.setdefault(bisect.bisect_left(places, place) % len(nodes), []).append(r)
+    room = [len(rows) // n + (s < len(rows) % n) for s in range(n)]
+    want, left = {}, []
+    for arc in range(len(nodes)):
+        own = nodes[arc][1]
+        for r in sorted(arcs.get(arc, []), key=lambda r: (r["run"], r["h"], r["doc_id"] or -1, r["t"])):
+            if room[own]:
+                room[own] -= 1
+                want[r["t"]] = (own, own)
+            else:
+                left.append((arc, r))
+    for arc, r in left:
+        at = (arc + 1) % len(nodes)
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        want[r["t"]] = (nodes[at][1], nodes[arc][1])
+    got = {r["t"]: (r["shard"], r["home_shard"]) for r in sharding.shard_rows(df, "doc_id", n, ["t"], vnodes=8).collect()}
+    assert got == want
