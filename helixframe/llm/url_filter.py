@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, packed, staged, unpacked
 
-#: Public suffixes of more than one label that the registered domain must not be cut inside of.
+#: Public suffixes of more than one label that the registered domain must not be cut inside of: a short list of common
+#: ones, to be replaced by a current full list through ``suffixes``.
 LONG_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx")
 
 
@@ -29,15 +30,15 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]],
     return out if out is not None else F.lit(None).cast("string")
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
     """Suffix and the label before it."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _strength(units: DataFrame, n: str, good: str) -> Column:
@@ -62,17 +63,17 @@ def _kappa(sums) -> float:
     return 1 / min(max(rho, 0.001), 0.5) - 1
 
 
-def host_reputation(counts: DataFrame, hosts: DataFrame, z: float = 1.645, min_good: float = 0.5) -> DataFrame:
+def host_reputation(counts: DataFrame, hosts: DataFrame, z: float = 1.645, min_good: float = 0.5, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """Posterior share of good pages for every row of ``hosts`` (distinct ``host``).
 
     ``counts`` has one row ``host, n, good`` for each host with labelled pages. A suffix's rate shrinks to the overall
     rate, a registered domain's to its suffix's, a host's to its domain's, each through a beta prior whose strength
     is estimated from the spread at its own level (three rows of sums reach the driver). ``lower`` is the posterior
     mean less ``z`` posterior deviations; ``verdict`` is allow where ``lower >= min_good``. Without any label the
-    overall rate is one half.
+    overall rate is one half. ``suffixes`` lists the public suffixes of two labels.
     """
     host = F.col("host")
-    by_host = counts.where("n > 0").select("host", "n", "good", domain_of(host).alias("domain"), suffix_of(host).alias("suffix"))
+    by_host = counts.where("n > 0").select("host", "n", "good", domain_of(host, suffixes).alias("domain"), suffix_of(host, suffixes).alias("suffix"))
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("nd"), F.sum("good").alias("gd"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("nd").alias("ns"), F.sum("gd").alias("gs"))
     sums = [u.agg(_strength(u, n, g).alias("x")).first()["x"] for u, n, g in ((by_suffix, "ns", "gs"), (by_domain, "nd", "gd"), (by_host, "n", "good"))]
@@ -82,7 +83,7 @@ def host_reputation(counts: DataFrame, hosts: DataFrame, z: float = 1.645, min_g
     def shrunk(good: str, n: str, kappa: float, prior: Column) -> Column:
         return (F.coalesce(F.col(good), F.lit(0)) + kappa * prior) / (F.coalesce(F.col(n), F.lit(0)) + kappa)
 
-    levels = hosts.select("host", domain_of(host).alias("domain"), suffix_of(host).alias("suffix"))
+    levels = hosts.select("host", domain_of(host, suffixes).alias("domain"), suffix_of(host, suffixes).alias("suffix"))
     levels = levels.join(by_suffix, "suffix", "left").join(by_domain.drop("suffix"), "domain", "left")
     levels = levels.join(by_host.select("host", "n", "good"), "host", "left")
     levels = levels.withColumn("mean", shrunk("good", "n", kh, shrunk("gd", "nd", kd, shrunk("gs", "ns", ks, F.lit(overall)))))
