@@ -19,15 +19,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = staged(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-        hooks = _doubled(staged(hooks)).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        doubled = _doubled(staged(hooks))
+        hooks = doubled.select(F.col("node").alias("label"), F.col("label").alias("to"))
         new = staged(labels.join(hooks, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         step = hooks.withColumnsRenamed({"label": "a", "to": "x"})
         # Contract: links between groups that are still apart.
         rest = edges.join(step, "a").join(step.withColumnsRenamed({"a": "b", "x": "y"}), "b").where("x <> y")
         left = staged(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        unstage(edges)
-        unstage(labels)
+        for used in (edges, labels, doubled):
+            unstage(used)
         edges, labels = left, new
+    unstage(edges)
     return labels
 
 
@@ -35,5 +37,7 @@ def _doubled(hooks: DataFrame) -> DataFrame:
     """Follow hooks four steps."""
     for _ in range(2):
         jump = hooks.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        hooks = staged(hooks.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        further = staged(hooks.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        unstage(hooks)
+        hooks = further
     return hooks

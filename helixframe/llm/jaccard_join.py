@@ -23,6 +23,8 @@ MOST_MATCHES = 4
 DIRECT = 32
 #: Lists of one token that are still long after this many rounds of pivots are split by a second token.
 ROUNDS = 2
+#: From then on, lists up to this length are paired directly: few are left, and each member has that many pairs at most.
+LATE = 256
 #: Up to this many ids of texts are broadcast, more are shuffled.
 BROADCAST_IDS = 300_000
 #: Texts that are compared with one pivot in one group.
@@ -216,8 +218,9 @@ def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 inter = int((both[1:] == both[:-1]).sum())
                 near = den * inter >= num * (n + m - inter)
                 d = n + m - 2 * inter
-                # No member near b can reach a: their differences to b are too unlike in size.
-                far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num)
+                # No member near b can reach a, for their differences to b are too unlike in size, and a shares less than
+                # a third with b. What shares more is compared through the differences, however far.
+                far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num) and 2 * d > n + m
                 diff = ()
                 if big and not far and d:
                     diff = np.setxor1d(x, y, True).view(np.int64)
@@ -261,7 +264,7 @@ def _sizes(tokens: DataFrame, least: int) -> DataFrame:
 def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of a member near a long list's pivot and one that is not, from their differences to the pivot.
 
-    Near members are linked through the pivot, and so are far ones with none of them. A member that is not near shares at
+    Near members are linked through the pivot, and far ones with none of them. A member that is not near shares at
     least one token of its difference with a linked near one. Each side keeps the members that have enough tokens in common
     with the other side as a whole, twice, and the rest is paired by prefixes of the rarest tokens.
     """
@@ -295,7 +298,8 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
 def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
     """New lists ``key, node, n`` of members of a pivot's ball that are not near it, in which any two linked ones meet.
 
-    Linked members share at least ``need`` tokens of their differences. Those that have fewer than that in common with all
+    Linked members share at least ``need`` tokens of their differences: num / (den + num) of each, since neither is near the
+    pivot, and more if both are far from it. Those that have fewer than that in common with all
     others of the ball together are linked with none of them (edits that others do not have count for nothing), which
     leaves few. The rest meet by the rarest tokens of the ball in their differences. Where a list is long it is
     split by a second token. Copies of another text are linked through a pivot of their own in a later round.
@@ -414,7 +418,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         pivots = staged(open_.groupBy("key").agg(first, F.count("*").alias("now")))
         kept.append(pivots)
         star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), F.col("p.pos").alias("ppos"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
-        reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num})"
+        reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num}) OR 2 * abs(n - pn) <= n + pn"
         star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl) AND " + _reaches("", "p", "", num, den))))
         found = verify(star.where("meets AND node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("big").alias("big")))
         near = found.where("near").select("a", "b")
@@ -430,7 +434,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         again = judged.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("far").cast("int")).alias("n_far")).where("n_far > 0 AND size > 1")
         left = staged(judged.drop("size").join(again, "key").select(*columns, "n_far"))
         kept.append(left)
-        done = ~wide | (F.col("n_far") <= DIRECT // 2)
+        last = LATE if k + 1 >= ROUNDS else DIRECT
+        done = (F.col("size") <= last) | (F.col("n_far") <= DIRECT // 2)
         short, stays = left.where(done).drop("n_far"), left.where(~done).drop("n_far")
         parts = []
         if not found.where("big AND NOT far AND NOT near").isEmpty():
@@ -447,7 +452,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         if parts:
             new = staged(_as_lists(reduce(DataFrame.union, parts)))
             kept.append(new)
-            direct, open_ = direct.union(new.where(~wide)), open_.union(new.where(wide))
+            direct, open_ = direct.union(new.where(F.col("size") <= last)), open_.union(new.where(F.col("size") > last))
         k += 1
         if open_.isEmpty():
             break

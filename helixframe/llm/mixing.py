@@ -207,6 +207,7 @@ def mix_amounts(sizes: DataFrame, tie: list[str], block_words: int = 32, shard_s
     n_rows = sizes.count()
     targets = staged(source_targets(sizes, **kw))
     placed = staged(lay_out(sizes, n_rows, list(ties)))
+    unstage(sizes)
     counts = shard_counts(targets, block_words, shard_slots)
     taken = (
         take_pieces(block_pieces(placed, block_words), draw_slots(counts))
@@ -259,6 +260,7 @@ def mix_documents(docs: DataFrame, block_words: int = 32, shard_slots: int = 409
     targets = staged(source_targets(keys, **kw))
     # Equal rows (one id, one text, one source) are laid out one after the other.
     placed = staged(lay_out(keys, n_rows, ["k1", "k2"]))
+    unstage(keys)
     pieces = take_pieces(block_pieces(placed, block_words), draw_slots(shard_counts(targets, block_words, shard_slots)))
     per_doc = pieces.groupBy(F.col("source").alias("s"), F.col("start").alias("t")).agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("pieces"), F.max("times").alias("most")

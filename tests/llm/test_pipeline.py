@@ -45,3 +45,18 @@ def test_near_duplicates_keeps_rows_without_an_id_and_every_text_of_an_id(spark)
     want = [rows[k] for k in (0, 2, 3, 5, 7, 9, 10, 11, 12, 13)]
     got = P.drop_near_duplicates(spark, df, "")
     assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_on_an_empty_table_and_with_extra_columns(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, source string")
+    for name, stage in P.STAGES:
+        out = stage(spark, df, "")
+        assert out.count() == 0, name
+    text = "The report describes how the team moved the archive to a new building over two quiet summer months and why that matters for readers today."
+    rows = [(k, text + f" Number {k} of them.", "a", f"x{k}", f"y{k}", f"z{k}") for k in range(6)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, th string, lines string")
+    docs = wide
+    for name, stage in P.STAGES[:-1]:
+        docs = staged(stage(spark, docs, ""))
+        assert docs.columns == wide.columns, name
+    assert {(r["row"], r["th"], r["lines"]) for r in docs.collect()} <= {(r["row"], r["th"], r["lines"]) for r in wide.collect()}
