@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from helixframe.llm.common import staged, table
+from helixframe.llm.common import packed, quoted, staged, table, unstage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade keeps; columns as they were."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality.quality_rules(docs).where("kept").select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more that three documents share stay in one of them; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Lines of 20 characters or more that three documents share stay in one of them; ``n_chars``, if there, follows the text."""
+    out = line_dedup.dedup_lines(docs).select(*map(quoted, docs.columns))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +34,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Ids and text hashes only. A text without a link is its own component.
     first = found.where("component_id = doc_id AND component_th = th")
     kept = staged(first.groupBy("doc_id", "th").agg(F.count("*").alias("k"), F.first("n_shingles").alias("n_shingles")))
-    hashed = docs.withColumn("th", F.xxhash64("text"))
+    hashed = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), th=F.xxhash64("text"))
 
     def rows(which: str) -> DataFrame:
-        return hashed.join(kept.where(which).select("doc_id", "th"), ["doc_id", "th"], "left_semi").select(*docs.columns)
+        return hashed.join(kept.where(which).select("doc_id", "th"), ["doc_id", "th"], "left_semi")
 
     out = docs.where("doc_id IS NULL")
     if kept.where("k > 1").isEmpty():
-        return out.union(rows("true"))
-    copies = rows("k > 1 AND n_shingles > 0").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return out.union(rows("k = 1")).union(copies).union(rows("k > 1 AND n_shingles = 0").distinct())
+        return out.union(rows("true").select("row.*"))
+    copies = rows("k > 1 AND n_shingles > 0").groupBy("doc_id", "text").agg(F.min("row").alias("row")).select("row.*")
+    return out.union(rows("k = 1").select("row.*")).union(copies).union(rows("k > 1 AND n_shingles = 0").select("row.*").distinct())
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +74,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        out = staged(stage(spark, docs, sf_dir))
+        # Nothing reads a stage's input any more; the table that run() was given stays.
+        unstage(docs)
+        docs = out
     return docs
