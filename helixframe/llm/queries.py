@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
-from .common import table
+from . import bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_alignment, topk, toxicity, url_filter
+from .common import staged, table
 from .sql import ORACLES
 
 URL_RULES = [
@@ -80,6 +80,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_amounts(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shared = token_alignment.share(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Encoding is the costly part and its links are read twice.
+    aligned = staged(token_alignment.align(docs, shared, hashed=True).drop("text"))
+    return token_alignment.score(aligned, token_alignment.pair_counts(aligned))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
