@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_alignment, topk, toxicity, url_filter
+from . import bpe, chat_format, conversation_repair, html_text, jaccard_join, line_dedup, mixing, quality, sharding, token_alignment, topk, toxicity, url_filter
 from .common import staged, table
 from .sql import ORACLES
 
@@ -80,6 +80,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_amounts(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: One more conversation of op11: its texts hold what templates take for marks.
+TRIAL_ID, TRIAL_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = chat_format.with_trial(table(spark, sf_dir, "conversations"), TRIAL_ID, TRIAL_TEXT)
+    shared = chat_format.share(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return chat_format.digest(chat_format.format_conversations(rows, shared))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +102,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.score(aligned, token_alignment.pair_counts(aligned))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     import corpus_pipeline
 

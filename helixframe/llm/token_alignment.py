@@ -10,8 +10,6 @@ each, so the outer join, in order, is also the list of overlapping pairs. Partia
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .byte_level import ByteLevelEncoder
 from .common import packed, quoted, staged, unpacked, unstage
 
 #: Characters of text that are aligned as one Arrow table; a longer text is a table of its own.
@@ -30,51 +29,24 @@ CHUNK = 1 << 20
 PARTIAL = 1 << 20
 #: Pair counts (24 bytes each) that are broadcast; more are joined.
 BROADCAST_PAIRS = 1 << 21
-#: A longer run of white space is more than the fast encoder's regular expressions can take.
-LONG_SPACE = 20_000
 #: B's ids fit into so many bits beside A's.
 SHIFT = 16
 
 
-def byte_of_char() -> dict[str, int]:
-    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest follow U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Pair:
     """Both tokenizers and the bytes of their entries."""
 
     def __init__(self, a_json: str, b_model: bytes, pattern: str):
         import sentencepiece
-        import tiktoken
 
-        at, spec = byte_of_char(), json.loads(a_json)
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(at[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.a_json, self._slow = a_json, None
-        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.a = ByteLevelEncoder(a_json, pattern)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        a_bytes: list = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            a_bytes[i] = token
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        self.bytes = {"a": pa.array(a_bytes, pa.binary()), "b": pa.array(b_bytes, pa.binary())}
-        self.lengths = {k: np.array([len(x) for x in v], dtype=np.int64) for k, v in (("a", a_bytes), ("b", b_bytes))}
+        self.bytes = {"a": pa.array(self.a.tokens, pa.binary()), "b": pa.array(b_bytes, pa.binary())}
+        self.lengths = {"a": self.a.lengths, "b": np.array([len(x) for x in b_bytes], dtype=np.int64)}
+        n_a, n_b = len(self.a.tokens), len(b_bytes)
         #: Ids as text: A before A, A at a group's end, B before B, B at a group's end.
-        self.written = pa.array([f"{i}{mark}" for n, mark in ((len(a_bytes), ","), (len(a_bytes), "|"), (len(b_bytes), ","), (len(b_bytes), ";")) for i in range(n)])
-
-    def encode_a(self, text: str) -> np.ndarray:
-        if len(text) > LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
-            if self._slow is None:
-                from tokenizers import Tokenizer
-
-                self._slow = Tokenizer.from_str(self.a_json)
-                # Their strings in a text are then ordinary text.
-                self._slow.encode_special_tokens = True
-            return np.array(self._slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.a.encode_to_numpy(text, disallowed_special=())
+        self.written = pa.array([f"{i}{mark}" for n, mark in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")) for i in range(n)])
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self.b.encode(texts, num_threads=1)
@@ -114,7 +86,7 @@ def align_texts(pair: Pair, texts: list[str | None]) -> pa.Table:
     """
     n, texts = len(texts), [t or "" for t in texts]
     want = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
-    a = _lists([pair.encode_a(" " + t) if t else () for t in texts])
+    a = _lists([pair.a.encode(" " + t) if t else () for t in texts])
     b = _lists(pair.encode_b(texts) if texts else [])
     whole = _same_bytes(pair, "a", a, want) & _same_bytes(pair, "b", b, want) & np.array([bool(t) for t in texts], dtype=bool)
     if not whole.all():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import token_alignment as ta
+from helixframe.llm.byte_level import byte_of_char
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -31,7 +32,7 @@ class Plain:
         self.a = Tokenizer.from_file(A_FILE)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=B_FILE)
-        at = ta.byte_of_char()
+        at = byte_of_char()
         self.a_bytes = {i: bytes(at[c] for c in t) for t, i in json.load(open(A_FILE))["model"]["vocab"].items() if t != "<|endoftext|>"}
 
     def b_token(self, i):
