@@ -7,22 +7,35 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.staging import staged
-from .factored import Projection, by_variant, projected_hutchinson, standardize, traces, variant_gram
-from .variants import standardized
+from .blocks import Panel, _fields, _streamed, panel, product, sample_matrix, tile_gram
+from .factored import BINARY, Projection, residual_tiles, solve, standardize, traces, variant_rows
+
+#: Traits that are columns of one product in ``mom_long``; more take more passes over the blocks.
+TRAITS_AT_ONCE = 1024
 
 
 def _n_variants(dosage: DataFrame) -> int:
     return dosage.agg((F.max("variant_idx") + 1).alias("m")).first()["m"] or 0
 
 
-def _prepare(dosage: DataFrame, design: DataFrame, traits: list[str], w: list[str], eps: str):
-    # Read for each sum below; written once, like the sums by variant.
-    xs = staged(standardized(dosage))
-    design = staged(standardize(design, traits, eps))
-    by = staged(by_variant(xs, design, [*w, *traits]))
-    return xs, design, by, Projection(design, w, traits)
+def as_panel(genotypes: DataFrame | Panel) -> Panel:
+    """Genotypes as they are, or dosages in long form packed into blocks."""
+    return genotypes if isinstance(genotypes, Panel) else panel(genotypes, _n_variants(genotypes))
+
+
+def _prepare(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], w: list[str], eps: str) -> tuple[Panel, DataFrame, Projection]:
+    """The panel, ``residual_tiles`` and the projection; what is read more than once is written once."""
+    x = as_panel(genotypes)
+    p = Projection(staged(standardize(design, traits, eps)), w, traits)
+    return x, staged(residual_tiles(x, p)), p
+
+
+def _u_gram(residuals: DataFrame, p: Projection, m: int) -> np.ndarray:
+    """Z'VKVZ."""
+    return tile_gram(residuals, len(p.z), "u") / m
 
 
 def _long(spark, traits: list[str], values: dict[str, list[float]]) -> DataFrame:
@@ -36,44 +49,44 @@ def ratio(v0: float, v1: float) -> float:
     return v0 / (total + (1e-8 if total >= 0 else -1e-8))
 
 
-def mom(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
+def mom(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``dim, h2`` by the method of moments for each trait column of ``design`` (``sample_id``, traits, covariates).
 
-    Without covariates the raw variance component, (y'Ky - y'y) / (tr K^2 - n); with covariates, taken as they
-    are and without an intercept, the share of the genetic component in the solution of the 2 x 2 moment system.
-    Above ``most`` variants tr(K^2) is ``trace2`` or an estimate from ``probes`` sign vectors: see ``traces``.
+    Genotypes are a panel or dosages in long form. Without covariates the raw variance component, (y'Ky - y'y) / (tr K^2 - n);
+    with covariates, taken as they are and without an intercept, the share of the genetic component in the solution of the
+    2 x 2 moment system. tr(K^2) is exact unless ``trace2`` or ``probes`` is given: see ``traces``.
     """
-    m, covariates = _n_variants(dosage), list(covariates)
-    xs, design, by, p = _prepare(dosage, design, traits, covariates, "add")
-    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
-    u = p.residual(by).agg(*[(F.sum(F.col(f"u_{z}") * F.col(f"u_{z}")) / m).alias(z) for z in traits]).first()
-    out = []
-    for k, z in enumerate(traits):
-        q_k, q = u[z], p.zvz[k, k]
-        out.append((q_k - q) / (t2 - p.n) if not covariates else ratio(q_k * p.nc - q * t1, t2 * q - t1 * q_k))
-    return _long(dosage.sparkSession, traits, {"h2": out})
-
-
-def mom_long(dosage: DataFrame, traits: DataFrame, by: tuple[str, ...] = ("run", "epoch", "dim"), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
+    x, residuals, p = _prepare(genotypes, design, traits, list(covariates), "add")
+    t1, t2 = traces(x, residuals, p, trace2, probes)
+    u, out = np.diag(_u_gram(residuals, p, x.m)), []
+    for q_k, q in zip(u, np.diag(p.zvz)):
+        out.append((q_k - q) / (t2 - p.n) if not p.w else ratio(q_k * p.nc - q * t1, t2 * q - t1 * q_k))
+    return _long(x.blocks.sparkSession, traits, {"h2": out})
+
+
+def mom_long(genotypes: DataFrame | Panel, traits: DataFrame, by: tuple[str, ...] = ("run", "epoch", "dim"), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``by, h2`` without covariates for traits in long form, ``sample_id, z`` and the columns of ``by``: any number at once.
 
-    Each group is standardised over its own rows and should hold every sample of the cohort. Traces as in ``mom``.
+    Each group is standardised over its own rows and should hold every sample of the cohort. Groups are the columns of
+    products over the blocks, ``TRAITS_AT_ONCE`` a pass. Traces as in ``mom``.
     """
-    m = _n_variants(dosage)
-    xs, traits = staged(standardized(dosage)), staged(traits.select("sample_id", *by, "z"))
+    x, traits = as_panel(genotypes), staged(traits.select("sample_id", *by, "z"))
     moments = traits.groupBy(*by).agg(F.avg("z").alias("mu"), F.stddev_samp("z").alias("sd"))
-    z = traits.join(moments, list(by)).select("sample_id", *by, ((F.col("z") - F.col("mu")) / (F.coalesce("sd", F.lit(0.0)) + 1e-8)).alias("z"))
-    ids = traits.select("sample_id").distinct()
-    design = staged(ids.withColumn("_none", F.lit(0.0)))
-    p = Projection(design, [], ["_none"])
-    if trace2 is None and m > most:
-        trace2 = projected_hutchinson(xs, p, m, probes).agg(F.avg("estimate")).first()[0]
-    elif trace2 is None:
-        _, trace2 = traces(xs, by_variant(xs, design, ["_none"]), p, m, None, probes, most)
-    u = xs.join(z, "sample_id").groupBy("variant_idx", *by).agg(F.sum(F.col("xs") * F.col("z")).alias("u"))
-    q_k = u.groupBy(*by).agg((F.sum(F.col("u") * F.col("u")) / m).alias("qk"))
-    q = z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("q"))
-    return q_k.join(q, list(by)).select(*by, ((F.col("qk") - F.col("q")) / F.lit(float(trace2 - p.n))).alias("h2"))
+    # One row a group, as the result has.
+    groups = sorted(moments.collect(), key=lambda r: tuple(map(str, r)))
+    numbered = traits.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(groups)], T.StructType([*moments.schema, T.StructField("g", T.IntegerType())]))
+    z = staged(traits.join(numbered, list(by)).select("sample_id", "g", ((F.col("z") - F.col("mu")) / (F.coalesce("sd", F.lit(0.0)) + 1e-8)).alias("z")))
+    p = Projection(x.samples.withColumn("_none", F.lit(0.0)), [], ["_none"])
+    _, t2 = traces(x, residual_tiles(x, p), p, trace2, probes)
+    found = []
+    for lo in range(0, len(groups), TRAITS_AT_ONCE):
+        width = min(TRAITS_AT_ONCE, len(groups) - lo)
+        some = z.where((F.col("g") >= lo) & (F.col("g") < lo + width)).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("g") - lo, "z"))).alias("v"))
+        some = some.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("v", k), F.lit(0.0))).alias("v"))
+        found += np.diag(tile_gram(product(x, sample_matrix(x, some, "v"), True), width)).tolist()
+    q = {r["g"]: r["q"] for r in z.groupBy("g").agg(F.sum(F.col("z") * F.col("z")).alias("q")).collect()}
+    rows = [(*r[: len(by)], (found[k] / x.m - q[k]) / (t2 - p.n)) for k, r in enumerate(groups)]
+    return traits.sparkSession.createDataFrame(rows, T.StructType([*[traits.schema[c] for c in by], T.StructField("h2", T.DoubleType())]))
 
 
 def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> DataFrame:
@@ -88,39 +101,27 @@ def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> Dat
     return _long(kinship.sparkSession, traits, {"h2": [(row[z] - sums[z]) / (row["t2"] - sums["n"]) for z in traits]})
 
 
-def genetic_covariance(dosage: DataFrame, design: DataFrame, traits: list[str], target: str, covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> DataFrame:
+def genetic_covariance(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], target: str, covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``dim, gamma, rho``: genetic covariance and score-overlap correlation of each trait with ``target``; W = [1 | C]. Traces as in ``mom``."""
-    m = _n_variants(dosage)
-    design = design.withColumn("_one", F.lit(1.0))
-    w = ["_one", *covariates]
-    xs, design, by, p = _prepare(dosage, design, [*traits, target], w, "add")
-    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
-    y = len(traits)
-    names = [*traits, target]
-    row = p.residual(by).agg(
-        *[(F.sum(F.col(f"u_{z}") * F.col(f"u_{target}")) / m).alias(f"x_{z}") for z in names], *[(F.sum(F.col(f"u_{z}") * F.col(f"u_{z}")) / m).alias(f"q_{z}") for z in names]
-    ).first()
+    x, residuals, p = _prepare(genotypes, design.withColumn("_one", F.lit(1.0)), [*traits, target], ["_one", *covariates], "add")
+    t1, t2 = traces(x, residuals, p, trace2, probes)
+    q = _u_gram(residuals, p, x.m)
     det = t2 * p.nc - t1 * t1
-    num = [row[f"x_{z}"] * p.nc - p.zvz[k, y] * t1 for k, z in enumerate(names)]
-    own = [max(row[f"q_{z}"] * p.nc - p.zvz[k, k] * t1, 1e-8) for k, z in enumerate(names)]
-    rho = [max(-1.0, min(1.0, num[k] / math.sqrt(own[k] * own[y]))) for k in range(y)]
-    return _long(dosage.sparkSession, traits, {"gamma": [x / det for x in num[:y]], "rho": rho})
-
-
-def genetic_matrices(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int = 30, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """G (genetic covariance components) and the projected correlation matrix of the traits; W = [1 | C]. Traces as in ``mom``."""
-    m = _n_variants(dosage)
-    design = design.withColumn("_one", F.lit(1.0))
-    xs, design, by, p = _prepare(dosage, design, traits, ["_one", *covariates], "floor")
-    t1, t2 = traces(xs, by, p, m, trace2, probes, most)
-    pairs = [(a, b) for a in range(len(traits)) for b in range(a + 1)]
-    row = p.residual(by).agg(*[(F.sum(F.col(f"u_{traits[a]}") * F.col(f"u_{traits[b]}")) / m).alias(f"q{a}_{b}") for a, b in pairs]).first()
-    q = np.zeros_like(p.zvz)
-    for a, b in pairs:
-        q[a, b] = q[b, a] = row[f"q{a}_{b}"]
+    num, own = (q[:, -1] * p.nc - p.zvz[:, -1] * t1)[:-1], np.maximum(np.diag(q) * p.nc - np.diag(p.zvz) * t1, 1e-8)
+    rho = [max(-1.0, min(1.0, v / math.sqrt(own[k] * own[-1]))) for k, v in enumerate(num)]
+    return _long(x.blocks.sparkSession, traits, {"gamma": num / det, "rho": rho})
+
+
+def genetic_matrices(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """G (genetic covariance components) and the projected correlation matrix of the traits; W = [1 | C]. Traces as in ``mom``.
+
+    Both are sums of outer products, one matrix of traits squared a task.
+    """
+    x, residuals, p = _prepare(genotypes, design.withColumn("_one", F.lit(1.0)), traits, ["_one", *covariates], "floor")
+    t1, t2 = traces(x, residuals, p, trace2, probes)
     inverse = np.linalg.inv(np.array([[t2, t1], [t1, p.nc]]))
     d = np.sqrt(np.maximum(np.diag(p.zvz), 1e-12))
-    return inverse[0, 0] * q + inverse[0, 1] * p.zvz, p.zvz / np.outer(d, d)
+    return inverse[0, 0] * _u_gram(residuals, p, x.m) + inverse[0, 1] * p.zvz, p.zvz / np.outer(d, d)
 
 
 def matrix_rows(spark, **matrices: np.ndarray) -> DataFrame:
@@ -148,41 +149,32 @@ def of_directions(g: np.ndarray, p: np.ndarray, directions: np.ndarray, ridge: f
     return np.einsum("ik,ij,jk->k", directions, g[:k, :k], directions) / np.einsum("ik,ij,jk->k", directions, whole, directions)
 
 
-def variance_explained(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str], most: int = 2048) -> DataFrame:
+def variance_explained(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str]) -> DataFrame:
     """``dim, r2``: variance of the traits given covariates less what is left given genotypes; W = [1 | C].
 
-    Solves one system over variants, so their number must be below the samples' and at most ``most``.
+    The system over variants is solved by conjugate gradients (``solve``), so their number has no bound but the samples'.
     """
-    m = _n_variants(dosage)
-    if m > most:
-        raise ValueError(f"{m} variants; this estimator inverts a matrix over at most {most}")
-    design = design.withColumn("_one", F.lit(1.0))
-    w = ["_one", *covariates]
-    xs, design, by, p = _prepare(dosage, design, traits, w, "add")
-    if m >= p.n:
+    x, residuals, p = _prepare(genotypes, design.withColumn("_one", F.lit(1.0)), traits, ["_one", *covariates], "add")
+    if x.m >= p.n:
         raise ValueError("needs fewer variants than samples")
-    gram = np.zeros((m, m))
-    for r in variant_gram(xs, m).collect():
-        gram[r["j"], r["k"]] = gram[r["k"], r["j"]] = r["g"]
-    rows = sorted(by.collect(), key=lambda r: r["variant_idx"])
-    a = np.array([[r[f"t_{c}"] for c in w] for r in rows])
-    t = np.array([[r[f"t_{z}"] for z in traits] for r in rows])
-    xvx = gram - a @ p.inverse @ a.T
-    u = t - a @ p.coef
+    fitted, d = solve(x, residuals, p).join(residuals.select("tile", "u"), "tile"), len(traits)
+
+    def step(rows):
+        for r in rows:
+            yield (np.hstack([np.frombuffer(r[k]).reshape(-1, d) for k in ("data", "u")]).tobytes(),)
+
+    sums = tile_gram(_streamed(fitted, _fields(("data", BINARY)), step), 2 * d)
     # Residuals have mean zero because W holds the intercept, so variances are sums over n - 1.
-    return _long(dosage.sparkSession, traits, {"r2": np.einsum("jk,jk->k", u, np.linalg.solve(xvx, u)) / (p.n - 1)})
+    return _long(x.blocks.sparkSession, traits, {"r2": np.diag(sums[:d, d:]) / (p.n - 1)})
 
 
-def association(dosage: DataFrame, design: DataFrame, traits: list[str], covariates: list[str] = ()) -> DataFrame:
+def association(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str] = ()) -> DataFrame:
     """``variant_idx, dim, beta, se, z, chisq`` of each variant and trait given W = [1 | C].
 
     beta = x'Vy / x'Vx; the residual variance is y'Vy / (n - c - 1), not reduced by the variant.
     """
-    design = design.withColumn("_one", F.lit(1.0))
-    _, design, by, p = _prepare(dosage, design, traits, ["_one", *covariates], "floor")
-    long = p.residual(by).select(
-        "variant_idx", F.greatest("d", F.lit(1e-12)).alias("d"),
-        F.posexplode(F.array(*[F.struct(F.col(f"u_{z}").alias("u"), F.lit(max(p.zvz[k, k] / max(p.nc - 1, 1), 1e-12)).alias("s2")) for k, z in enumerate(traits)])).alias("dim", "t"),
-    )
+    x, residuals, p = _prepare(genotypes, design.withColumn("_one", F.lit(1.0)), traits, ["_one", *covariates], "floor")
+    s2 = F.array(*[F.lit(float(max(v / max(p.nc - 1, 1), 1e-12))) for v in np.diag(p.zvz)])
+    rows = variant_rows(residuals, x.tile, len(traits)).select("variant_idx", F.greatest("d", F.lit(1e-12)).alias("d"), F.posexplode(F.arrays_zip(F.col("u").alias("u"), s2.alias("s2"))).alias("dim", "t"))
     beta, se = F.col("t.u") / F.col("d"), F.sqrt(F.col("t.s2") / F.col("d"))
-    return long.select("variant_idx", "dim", beta.alias("beta"), se.alias("se"), (beta / se).alias("z"), (beta / se * beta / se).alias("chisq"))
+    return rows.select("variant_idx", "dim", beta.alias("beta"), se.alias("se"), (beta / se).alias("z"), (beta / se * beta / se).alias("chisq"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Smallest standard deviation of a variant.
 FLOOR = 1e-8
@@ -36,34 +33,3 @@ def standardized(dosage: DataFrame, stats: DataFrame | None = None) -> DataFrame
 def naive_trace(stats: DataFrame) -> DataFrame:
     """``tr_k``: calls per variant. Counts a variant without variance as if it had one."""
     return stats.agg((F.sum("n_obs") / F.count("*")).alias("tr_k"))
-
-
-def kinship(xs: DataFrame, n_variants: int, block: int = 512) -> DataFrame:
-    """``i, j, k`` for i <= j: the relationship matrix in coordinates. Its size is the square of the cohort's.
-
-    Samples are dealt to blocks of about ``block``; two blocks meet as dense matrices, so each entry is made once.
-    """
-    rows = xs.groupBy("sample_id").agg(F.collect_list("variant_idx").alias("at"), F.collect_list("xs").alias("x"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)))
-    left = dealt.select("sample_id", "at", "x", F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1).cast("long"))).alias("q"))
-    right = dealt.select(*[F.col(c).alias(f"other_{c}") for c in ("sample_id", "at", "x")], F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("other_p"), F.col("own").alias("other_q"))
-
-    def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        def dense(f: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(f), n_variants))
-            for k, (at, x) in enumerate(zip(f["at"], f["x"])):
-                out[k, at] = x
-            return out
-
-        b = b.rename(columns=lambda c: c.removeprefix("other_"))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "k": []})
-        found = dense(a) @ dense(b).T / n_variants
-        ids, others = a["sample_id"].to_numpy(), b["sample_id"].to_numpy()
-        same = a["p"].iloc[0] == a["q"].iloc[0]
-        r, c = np.nonzero(ids[:, None] <= others[None, :]) if same else (g.ravel() for g in np.indices(found.shape))
-        return pd.DataFrame({"i": np.minimum(ids[r], others[c]), "j": np.maximum(ids[r], others[c]), "k": found[r, c]})
-
-    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("k", T.DoubleType())])
-    return left.groupBy("p", "q").cogroup(right.groupBy("other_p", "other_q")).applyInPandas(products, schema)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import assembly, comparison, factored, heritability, ldsc, logs, objectives, variants
+from ..operators import assembly, blocks, comparison, factored, heritability, ldsc, logs, objectives, variants
 from ..sources import cohort
 from ..sources.staging import staged
 from ..streaming import incremental
 
-TRAITS = [f"z{k}" for k in range(cohort.N_DIMS)]
+TRAITS = [f"z{k}" for k in range(cohort.DIMS)]
+#: The first half of the components are means where a query needs means, the others (through softplus) deviations.
+HALF = cohort.DIMS // 2
 COVARIATES = ["c0", "c1"]
 #: Constant number of SNPs behind the LD scores of the part-based summary statistics.
 M_LDSC = 1000.0
@@ -26,6 +28,10 @@ def _design(spark, sf) -> DataFrame:
     return cohort.latents(spark, sf).join(cohort.covariates(spark, sf), "sample_id")
 
 
+def _panel(spark, sf) -> blocks.Panel:
+    return blocks.panel(cohort.dosage(spark, sf), cohort.n_variants(spark, sf))
+
+
 def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(variants.variant_stats(cohort.dosage(spark, sf, missing=True)))
 
@@ -43,7 +49,7 @@ def variant_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kinship_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf)))
+    return rounded(blocks.kinship(_panel(spark, sf)))
 
 
 def latents_standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,8 +58,8 @@ def latents_standardized(spark: SparkSession, sf: str) -> DataFrame:
 
 def latents_correlation(spark: SparkSession, sf: str) -> DataFrame:
     z = factored.standardize(cohort.latents(spark, sf), TRAITS, "floor")
-    gram, n = factored.small_gram(z, TRAITS)
-    return rounded(heritability.matrix_rows(spark, r=gram / (n - 1)).where("i < j"))
+    sums = blocks.column_gram(z, F.array(F.lit(1.0), *TRAITS), 1 + len(TRAITS))
+    return rounded(heritability.matrix_rows(spark, r=sums[1:, 1:] / (sums[0, 0] - 1)).where("i < j"))
 
 
 def latents_correlation_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,11 +71,11 @@ def latents_moment_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latents_kl(spark: SparkSession, sf: str) -> DataFrame:
-    """ELBO terms with the first four components as means and softplus of the next four as deviations."""
+    """ELBO terms with half of the components as means and softplus of the others as deviations."""
     z = cohort.latents(spark, sf)
-    mean, sd = F.array(*TRAITS[:4]), F.array(*[F.log1p(F.exp(c)) for c in TRAITS[4:]])
+    mean, sd = F.array(*TRAITS[:HALF]), F.array(*[F.log1p(F.exp(c)) for c in TRAITS[HALF:]])
     arrays = z.select("sample_id", mean.alias("m"), sd.alias("s"))
-    return rounded(arrays.select("sample_id", scalars.kl_divergence(F.col("m"), F.col("s"), 4.0).alias("kld"), scalars.kl_penalty(F.col("s"), 4.0).alias("pen")))
+    return rounded(arrays.select("sample_id", scalars.kl_divergence(F.col("m"), F.col("s"), float(HALF)).alias("kld"), scalars.kl_penalty(F.col("s"), float(HALF)).alias("pen")))
 
 
 def h2_mom(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,8 +91,7 @@ def h2_mom_covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h2_kinship(spark: SparkSession, sf: str) -> DataFrame:
-    kin = variants.kinship(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf))
-    return rounded(heritability.mom_kinship(kin, cohort.latents(spark, sf), TRAITS))
+    return rounded(heritability.mom_kinship(staged(blocks.kinship(_panel(spark, sf))), cohort.latents(spark, sf), TRAITS))
 
 
 def h2_even_odd(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +144,7 @@ def association(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trace_hutchinson(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(factored.hutchinson(variants.standardized(cohort.dosage(spark, sf)), cohort.n_variants(spark, sf)))
+    return rounded(factored.hutchinson(_panel(spark, sf)))
 
 
 def _snps(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -237,8 +242,8 @@ def nearest_event(spark: SparkSession, sf: str) -> DataFrame:
 def _epochs(spark, sf) -> DataFrame:
     """An epoch is a residue of the vector id; its streams are means of components over its vectors."""
     v = cohort.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).cast("int").alias("epoch"), "embedding")
-    means = v.groupBy("epoch").agg(*[F.avg(F.get("embedding", F.lit(k)).cast("double")).alias(f"a{k}") for k in range(8)], F.count("*").alias("n"))
-    return means.select("epoch", (1 + F.col("n") / 100).alias("mse_train"), (1 + F.col("n") / 50).alias("mse_val"), F.array("a0", "a1", "a2", "a3").alias("h_train"), F.array("a4", "a5", "a6", "a7").alias("h_val"))
+    means = v.groupBy("epoch").agg(*[F.avg(F.get("embedding", F.lit(k)).cast("double")).alias(f"a{k}") for k in range(cohort.DIMS)], F.count("*").alias("n"))
+    return means.select("epoch", (1 + F.col("n") / 100).alias("mse_train"), (1 + F.col("n") / 50).alias("mse_val"), F.array(*[f"a{k}" for k in range(HALF)]).alias("h_train"), F.array(*[f"a{k}" for k in range(HALF, cohort.DIMS)]).alias("h_val"))
 
 
 def _log(spark, sf) -> DataFrame:
@@ -269,19 +274,19 @@ def rank_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 def incremental_state(spark: SparkSession, sf: str) -> DataFrame:
     """X'Z after two batches of changes, kept up by deltas."""
-    xs = variants.standardized(cohort.dosage(spark, sf))
-    traits = incremental.long_traits(cohort.latents(spark, sf), TRAITS[:2])
+    xs = _panel(spark, sf)
+    traits = staged(incremental.long_traits(cohort.latents(spark, sf), TRAITS))
     state = incremental.rebuild(xs, traits)
     events = cohort.table(spark, sf, "events").join(cohort.samples(spark, sf), F.col("user_id") == F.col("sample_id"), "left_semi")
     for parity in (0, 1):
         batch = events.where(F.col("event_id") % 2 == parity).groupBy(F.col("user_id").cast("long").alias("sample_id")).agg((F.max_by("value", "event_id") / 100).alias("z"))
-        state, traits = incremental.update(xs, state, traits, batch.select("sample_id", F.lit(0).alias("dim"), "z"))
+        state, traits = incremental.update(xs, state, traits, staged(batch.select("sample_id", F.lit(0).alias("dim"), "z")))
     return rounded(state)
 
 
 def h2_mom_probes(spark: SparkSession, sf: str) -> DataFrame:
-    """Heritability with the stochastic trace, as beyond the bound of the exact one."""
-    return rounded(heritability.mom(cohort.dosage(spark, sf), cohort.latents(spark, sf), TRAITS, most=0))
+    """Heritability with the stochastic trace of 30 probes."""
+    return rounded(heritability.mom(cohort.dosage(spark, sf), cohort.latents(spark, sf), TRAITS, probes=30))
 
 
 def h2_mom_epochs(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,12 +303,12 @@ def table_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.join(cohort.samples(spark, sf), "sample_id", "left_semi")
 
 
-#: Weights of the dimensions in the objectives; a dimension of weight 0 is not active.
+#: Weights of the dimensions in the objectives, over and over; a dimension of weight 0 is not active.
 WEIGHTS = (1.0, 0.5, 0.0, 0.25, 1.0, 0.0, 0.0, 2.0)
 
 
 def _weights(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(WEIGHTS)), "dim int, weight double")
+    return spark.createDataFrame([(k, WEIGHTS[k % len(WEIGHTS)]) for k in range(cohort.DIMS)], "dim int, weight double")
 
 
 def h2_weighted_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,11 +336,11 @@ def vector_mse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def composite_loss(spark: SparkSession, sf: str) -> DataFrame:
-    """All terms of the training objective on the first eight components, heritability weighted 0.1."""
+    """All terms of the training objective, heritability weighted 0.1."""
     mse = objectives.sample_mse(table_vectors(spark, sf).select("sample_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")), F.slice("e", 1, 32), F.slice("e", 33, 32))
     z = cohort.latents(spark, sf)
-    mean, sd = F.array(*TRAITS[:4]), F.array(*[F.log1p(F.exp(c)) for c in TRAITS[4:]])
-    terms = z.select("sample_id", scalars.kl_divergence(mean, sd, 4.0).alias("kld"), scalars.kl_penalty(sd, 4.0).alias("pen")).join(mse, "sample_id")
+    mean, sd = F.array(*TRAITS[:HALF]), F.array(*[F.log1p(F.exp(c)) for c in TRAITS[HALF:]])
+    terms = z.select("sample_id", scalars.kl_divergence(mean, sd, float(HALF)).alias("kld"), scalars.kl_penalty(sd, float(HALF)).alias("pen")).join(mse, "sample_id")
     batch = objectives.weighted_loss(heritability.mom(cohort.dosage(spark, sf), z, TRAITS), _weights(spark), "h2").withColumnRenamed("loss", "her")
     batch = batch.crossJoin(latents_correlation_loss(spark, sf).withColumnRenamed("loss", "corr")).crossJoin(scalars.moment_loss(z, TRAITS).withColumnRenamed("loss", "moment"))
     # One row of three numbers.
@@ -373,8 +378,8 @@ def ldsc_gencov_annotations(spark: SparkSession, sf: str) -> DataFrame:
 
 def _changed(spark, sf):
     """X'Z and the traits after the batches of ``incremental_state``, and what does not change."""
-    xs = staged(variants.standardized(cohort.dosage(spark, sf)))
-    traits = staged(incremental.long_traits(cohort.latents(spark, sf), TRAITS[:2]))
+    xs = _panel(spark, sf)
+    traits = staged(incremental.long_traits(cohort.latents(spark, sf), TRAITS))
     ids = cohort.samples(spark, sf)
     ones = ids.select("sample_id", F.lit(0).alias("k"), F.lit(1.0).alias("c"))
     state, w = incremental.rebuild(xs, traits), incremental.rebuild_covariates(ones, traits)
@@ -385,10 +390,9 @@ def _changed(spark, sf):
         w = incremental.update_covariates(ones, w, traits, batch)
         state, traits = incremental.update(xs, state, traits, batch)
     design = ids.withColumn("_one", F.lit(1.0))
-    by = staged(factored.by_variant(xs, design, ["_one"]))
     p = factored.Projection(design, ["_one"], [])
-    t1, t2 = factored.traces(xs, by, p, cohort.n_variants(spark, sf))
-    fixed = incremental.Fixed(by.withColumnRenamed("t__one", "t_0"), p.inverse, p.n, cohort.n_variants(spark, sf), t1, t2)
+    residuals = staged(factored.residual_tiles(xs, p))
+    fixed = incremental.Fixed(staged(factored.covariate_rows(xs, residuals, 1)), p.inverse, p.n, xs.m, *factored.traces(xs, residuals, p))
     return staged(state), staged(w), staged(traits), fixed
 
 
@@ -409,7 +413,7 @@ def matrices_of_state(spark: SparkSession, sf: str) -> DataFrame:
 def log_split_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with even and odd chromosomes, written and parsed again."""
     wide = _epochs(spark, sf).select(
-        "epoch", "mse_train", "mse_val", F.slice("h_train", 1, 2).alias("train_even"), F.slice("h_train", 3, 2).alias("train_odd"), F.slice("h_val", 1, 2).alias("val_even"), F.slice("h_val", 3, 2).alias("val_odd")
+        "epoch", "mse_train", "mse_val", *[F.slice(f"h_{s}", 1 + k * HALF // 2, HALF // 2).alias(f"{s}_{c}") for s in ("train", "val") for k, c in enumerate(("even", "odd"))]
     )
     return rounded(logs.parse(objectives.split_lines(wide), "epoch"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-M, DIMS = 25, 8
+M, DIMS, HALF = 25, 64, 32
 M_LDSC = 1000.0
 
 SAMPLES = "samples AS (SELECT c_custkey::BIGINT AS sample_id FROM customer INTERSECT SELECT vec_id::BIGINT FROM embeddings)"
@@ -84,8 +84,8 @@ SQL: dict[str, str] = {
     "latents_correlation": f"WITH {SAMPLES}, {LATENTS} SELECT a.dim AS i, b.dim AS j, {r('corr(a.z, b.z)')} AS r FROM lat a JOIN lat b ON a.sample_id = b.sample_id AND a.dim < b.dim GROUP BY ALL",
     "latents_correlation_loss": f"WITH {SAMPLES}, {LATENTS}, c AS (SELECT round(corr(a.z, b.z), 6) AS r FROM lat a JOIN lat b ON a.sample_id = b.sample_id AND a.dim < b.dim GROUP BY a.dim, b.dim) SELECT {r('sum(abs(r))', 4)} AS loss FROM c",
     "latents_moment_loss": f"WITH {SAMPLES}, {LATENTS}, n AS (SELECT count(*) AS n FROM samples) SELECT {r('abs(sum(z * z * z)) / any_value(n) + abs(sum(z * z * z * z) / any_value(n) - 3)')} AS loss FROM lat, n",
-    "latents_kl": f"""WITH {SAMPLES}, t AS (SELECT sample_id, embedding[k + 1]::DOUBLE AS m, ln(1 + exp(embedding[k + 5]::DOUBLE)) AS s FROM embeddings JOIN samples ON vec_id = sample_id, range(4) AS r(k))
-SELECT sample_id, {r('-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 4')} AS kld, {r('-0.5 * sum(s) / 4')} AS pen FROM t GROUP BY sample_id""",
+    "latents_kl": f"""WITH {SAMPLES}, t AS (SELECT sample_id, embedding[k + 1]::DOUBLE AS m, ln(1 + exp(embedding[k + {HALF + 1}]::DOUBLE)) AS s FROM embeddings JOIN samples ON vec_id = sample_id, range({HALF}) AS r(k))
+SELECT sample_id, {r('-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 32')} AS kld, {r('-0.5 * sum(s) / 32')} AS pen FROM t GROUP BY sample_id""",
     "h2_mom": mom_no_c(),
     "h2_mom_missing": mom_no_c(True),
     "h2_even_odd": f"{_half('even', 0)} UNION ALL {_half('odd', 1)}",
@@ -165,8 +165,8 @@ SQL["nearest_event"] = f"""WITH p AS (
          row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.event_id - e.event_id), e.event_id) AS k
   FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') e USING (user_id))
 SELECT user_id, event_id, {r('value')} AS value, nearest_event_id, {r('nearest_value')} AS nearest_value FROM p WHERE k = 1"""
-_LOG = """ep AS (SELECT (vec_id % 50)::INT AS epoch, k, avg(embedding[k + 1]::DOUBLE) AS a FROM embeddings, range(8) AS r(k) GROUP BY ALL),
-lg AS (SELECT epoch, CASE WHEN k < 4 THEN 'train' ELSE 'val' END AS stream, (k % 4)::INT AS dim, round(a, 3) + 0.0 AS value FROM ep)"""
+_LOG = """ep AS (SELECT (vec_id % 50)::INT AS epoch, k, avg(embedding[k + 1]::DOUBLE) AS a FROM embeddings, range(64) AS r(k) GROUP BY ALL),
+lg AS (SELECT epoch, CASE WHEN k < 32 THEN 'train' ELSE 'val' END AS stream, (k % 32)::INT AS dim, round(a, 3) + 0.0 AS value FROM ep)"""
 SQL["log_parse"] = f"WITH {_LOG} SELECT epoch, stream, dim, value FROM lg"
 SQL["log_epoch_stats"] = f"WITH {_LOG} SELECT epoch, {r('avg(abs(value))')} AS mean, {r('stddev_pop(abs(value))')} AS sd, {r('max(abs(value))')} AS top FROM lg WHERE stream = 'val' AND dim < 3 GROUP BY epoch"
 SQL["log_peak"] = f"WITH {_LOG} SELECT epoch, stream, dim, value FROM lg QUALIFY row_number() OVER (PARTITION BY epoch, stream ORDER BY value DESC, dim) = 1"
@@ -179,7 +179,7 @@ SELECT {r('(w - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1)
 SQL["incremental_state"] = f"""WITH {dosage()},
 last AS (SELECT user_id AS sample_id, arg_max(value, (event_id % 2) * 1000000000000 + event_id) / 100 AS z FROM events GROUP BY user_id),
 zz AS (SELECT s.sample_id, 0 AS dim, coalesce(last.z, embedding[1]::DOUBLE) AS z FROM samples s JOIN embeddings ON vec_id = s.sample_id LEFT JOIN last ON last.sample_id = s.sample_id
-       UNION ALL SELECT s.sample_id, 1, embedding[2]::DOUBLE FROM samples s JOIN embeddings ON vec_id = s.sample_id)
+       UNION ALL SELECT s.sample_id, k::INT, embedding[k + 1]::DOUBLE FROM samples s JOIN embeddings ON vec_id = s.sample_id, range(1, {DIMS}) AS r(k))
 SELECT variant_idx, dim, {r('sum(xs * z)')} AS u FROM xs JOIN zz USING (sample_id) GROUP BY ALL"""
 SQL["edge_continuity"] = f"""WITH p AS (SELECT k // 8 AS r, k % 8 AS c, embedding[k + 1]::DOUBLE AS v FROM embeddings, range(64) AS t(k) WHERE k < len(embedding))
 SELECT {r('sum(CASE WHEN r = 7 THEN abs(v) ELSE 0 END) / count(*) + sum(CASE WHEN c = 7 THEN abs(v) ELSE 0 END) / count(*)')} AS loss FROM p"""
@@ -200,8 +200,23 @@ FROM (SELECT *, 1 / (2 * pow(1 + least(greatest(est, 0), 1) * n * greatest(a + b
 SQL["ldsc_h2_annotations"] = _two_annotations()
 
 
+def _eliminated() -> str:
+    """u'G^-1 u by trait: rows of the projected Gram matrix are eliminated one by one, each adding its pivot's part."""
+    steps, parts = ["g0 AS MATERIALIZED (SELECT j AS i, k, g AS v FROM gram)", "u0 AS MATERIALIZED (SELECT variant_idx AS i, dim, u AS v FROM u)"], []
+    for s in range(M):
+        pivot = f"(SELECT v AS d FROM g{s} WHERE i = {s} AND k = {s})"
+        steps.append(f"g{s + 1} AS MATERIALIZED (SELECT a.i, a.k, a.v - b.v * c.v / d AS v FROM g{s} a JOIN g{s} b ON b.i = a.i AND b.k = {s} JOIN g{s} c ON c.i = {s} AND c.k = a.k, {pivot} WHERE a.i > {s} AND a.k > {s})")
+        steps.append(f"u{s + 1} AS MATERIALIZED (SELECT a.i, a.dim, a.v - b.v * c.v / d AS v FROM u{s} a JOIN g{s} b ON b.i = a.i AND b.k = {s} JOIN u{s} c ON c.i = {s} AND c.dim = a.dim, {pivot} WHERE a.i > {s})")
+        parts.append(f"SELECT dim, v * v / d AS part FROM u{s}, {pivot} WHERE i = {s}")
+    return ", ".join(steps) + f", parts AS ({' UNION ALL '.join(parts)})"
+
+
+SQL["variance_explained"] = f"""WITH {dosage()}, {LATENTS}, {standard()}, {COV}, {basis("1c")}, {PROJECTED}, {_eliminated()}
+SELECT dim, {r("sum(part) / (SELECT n - 1 FROM nn)")} AS r2 FROM parts GROUP BY dim"""
+
+
 # Objectives, stochastic traces, state, comparisons.
-_W = "wt AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.5), (2, 0.0), (3, 0.25), (4, 1.0), (5, 0.0), (6, 0.0), (7, 2.0)) AS t(dim, weight))"
+_W = f"wt AS (SELECT k::INT AS dim, [1.0, 0.5, 0.0, 0.25, 1.0, 0.0, 0.0, 2.0][k % 8 + 1]::DOUBLE AS weight FROM range({DIMS}) AS r(k))"
 
 
 _H2 = mom_no_c().replace("round((qk.q - qp.q) / (t2 - n), 6) + 0.0", "(qk.q - qp.q) / (t2 - n)")
@@ -213,12 +228,12 @@ xx AS (SELECT probe, sample_id, sum(xs * v) AS r FROM xs JOIN xg USING (variant_
 pt AS (SELECT avg(e) AS t2p FROM (SELECT sum(r * r) / {M * M} AS e FROM xx GROUP BY probe))"""
 SQL["h2_mom_probes"] = f"""WITH {dosage()}, {LATENTS}, {standard()}, {basis("none")}, {PROJECTED}, {_PROBES}
 SELECT qk.i AS dim, {r("(qk.q - qp.q) / (t2p - n)")} AS h2 FROM qk JOIN qp USING (i, j), pt, nn WHERE qk.i = qk.j"""
-SQL["h2_mom_epochs"] = f"""SELECT (dim // 32)::INT AS run, (dim // 8 % 4)::INT AS epoch, (dim % 8)::INT AS dim, h2 FROM ({mom_no_c().replace(LATENTS, LATENTS.replace("range(8)", "range(64)"))})"""
+SQL["h2_mom_epochs"] = f"""SELECT (dim // 32)::INT AS run, (dim // 8 % 4)::INT AS epoch, (dim % 8)::INT AS dim, h2 FROM ({mom_no_c()})"""
 SQL["h2_weighted_loss"] = f"WITH {_W}, h AS ({_H2}) SELECT {r('-sum(weight * h2)', 4)} AS loss FROM h JOIN wt USING (dim)"
 SQL["spectrum_marginal_loss"] = f"WITH {_W}, m AS ({_GP}) SELECT {r('-sum(weight * greatest(g / p, 0))', 4)} AS loss FROM m JOIN wt ON dim = i WHERE i = j"
 _MSE = "SELECT vec_id AS sample_id, list_sum(list_transform(range(1, 33), lambda k: pow(embedding[k]::DOUBLE - embedding[k + 32]::DOUBLE, 2))) / 32 AS mse FROM embeddings"
 SQL["vector_mse"] = f"SELECT sample_id, {r('mse')} AS mse FROM ({_MSE})"
-_KL = SQL["latents_kl"].replace(r("-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 4"), "-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 4").replace(r("-0.5 * sum(s) / 4"), "-0.5 * sum(s) / 4")
+_KL = SQL["latents_kl"].replace(r("-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 32"), "-0.5 * sum(1 + 2 * ln(s) - m * m - s * s) / 32").replace(r("-0.5 * sum(s) / 32"), "-0.5 * sum(s) / 32")
 _MOMENT = SQL["latents_moment_loss"].replace(r("abs(sum(z * z * z)) / any_value(n) + abs(sum(z * z * z * z) / any_value(n) - 3)"), "abs(sum(z * z * z)) / any_value(n) + abs(sum(z * z * z * z) / any_value(n) - 3)")
 SQL["composite_loss"] = f"""WITH {_W}, h AS ({_H2}), her AS (SELECT -sum(weight * h2) AS her FROM h JOIN wt USING (dim)), kl AS ({_KL}), ms AS ({_MSE}), co AS ({SQL["latents_correlation_loss"]}), mo AS ({_MOMENT})
 SELECT {r("avg(mse + kld) + 0.1 * any_value(her) + any_value(co.loss) + any_value(mo.loss) + avg(pen)", 4)} AS loss FROM kl JOIN ms USING (sample_id), her, co, mo"""
@@ -265,9 +280,9 @@ SELECT variant_idx, dim, {r("beta")} AS beta, {r("se")} AS se, {r("beta / se")}
 SQL["matrices_of_state"] = f"""{_STATE}
 SELECT qk.i, qk.j, {r("(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)")} AS g, {r("qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))")} AS p
 FROM qk JOIN qp USING (i, j) JOIN qp a ON a.i = qk.i AND a.j = qk.i JOIN qp b ON b.i = qk.j AND b.j = qk.j, tr, nn"""
-SQL["log_split_parse"] = f"WITH {_LOG} SELECT epoch, stream || CASE WHEN dim < 2 THEN '_even' ELSE '_odd' END AS stream, (dim % 2)::INT AS dim, value FROM lg"
-SQL["log_gencov_lines"] = """WITH ep AS (SELECT (vec_id % 50)::INT AS epoch, k, printf('%+.4e', avg(embedding[k + 1]::DOUBLE)) AS a FROM embeddings, range(8) AS r(k) GROUP BY ALL)
-SELECT epoch, 'epoch ' || epoch || ' - gencov_train: ' || string_agg(a, ', ' ORDER BY k) FILTER (k < 4) || ' - gencov_val: ' || string_agg(a, ', ' ORDER BY k) FILTER (k >= 4) AS line FROM ep GROUP BY epoch"""
+SQL["log_split_parse"] = f"WITH {_LOG} SELECT epoch, stream || CASE WHEN dim < 16 THEN '_even' ELSE '_odd' END AS stream, (dim % 16)::INT AS dim, value FROM lg"
+SQL["log_gencov_lines"] = """WITH ep AS (SELECT (vec_id % 50)::INT AS epoch, k, printf('%+.4e', avg(embedding[k + 1]::DOUBLE)) AS a FROM embeddings, range(64) AS r(k) GROUP BY ALL)
+SELECT epoch, 'epoch ' || epoch || ' - gencov_train: ' || string_agg(a, ', ' ORDER BY k) FILTER (k < 32) || ' - gencov_val: ' || string_agg(a, ', ' ORDER BY k) FILTER (k >= 32) AS line FROM ep GROUP BY epoch"""
 SQL["two_runs"] = f"""WITH {_LOG}, pk AS (SELECT epoch FROM lg WHERE stream = 'val' GROUP BY epoch ORDER BY avg(value) DESC, epoch LIMIT 1),
 ne AS (SELECT DISTINCT lg.epoch, abs(lg.epoch - pk.epoch) AS d FROM lg, pk WHERE stream = 'train' ORDER BY d, lg.epoch LIMIT 1),
 both_ AS (SELECT 'control' AS run, lg.* FROM lg JOIN ne USING (epoch) WHERE stream = 'train' UNION ALL SELECT 'experiment', lg.* FROM lg JOIN pk USING (epoch) WHERE stream = 'val'),

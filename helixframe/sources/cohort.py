@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Components of the embeddings that are latent traits in queries with one column per trait; ``h2_mom_epochs`` takes all.
-N_DIMS = 8
+#: Components of an embedding; each is a latent trait.
+DIMS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,11 @@ def dosage(spark: SparkSession, sf_dir: str, missing: bool = False) -> DataFrame
     return panel.withColumn("chrom", F.col("variant_idx") + 1).join(bought, ["sample_id", "chrom"], "left").select("sample_id", "variant_idx", x.alias("x"))
 
 
-def latents(spark: SparkSession, sf_dir: str, dims: int = N_DIMS) -> DataFrame:
-    """``sample_id, z0, z1, ...``: the first components of each sample's embedding."""
+def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sample_id, z0, z1, ...``: the components of each sample's embedding."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), "embedding")
     return vectors.join(samples(spark, sf_dir), "sample_id", "left_semi").select(
-        "sample_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"z{k}") for k in range(dims)]
+        "sample_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"z{k}") for k in range(DIMS)]
     )
 
 

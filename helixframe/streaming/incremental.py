@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.factored import dot
+from ..operators.blocks import Panel, column_gram, product, sample_matrix
+from ..operators.factored import dot, value_rows
 
 
 def long_traits(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,9 +18,29 @@ def long_traits(wide: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select("sample_id", values)
 
 
-def rebuild(xs: DataFrame, traits: DataFrame) -> DataFrame:
-    """``variant_idx, dim, u``: X'Z from scratch, traits in long form."""
-    return xs.join(traits, "sample_id").groupBy("variant_idx", "dim").agg(F.sum(F.col("xs") * F.col("z")).alias("u"))
+def by_dim(traits: DataFrame, dims: list[int], keys: list[str]) -> DataFrame:
+    """``keys, v``: values ``z`` of long rows as one array over ``dims``; 0 where there is none."""
+    at = {d: k for k, d in enumerate(dims)}
+    place = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])[F.col("dim")]
+    listed = traits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), "z"))).alias("v"))
+    return listed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(len(dims) - 1)), lambda k: F.coalesce(F.try_element_at("v", k), F.lit(0.0))).alias("v"))
+
+
+def rebuild(xs: DataFrame | Panel, traits: DataFrame) -> DataFrame:
+    """``variant_idx, dim, u``: X'Z from scratch, traits in long form.
+
+    Genotypes are a panel, of which only the sample groups that ``traits`` names are read, or standardised dosages in long form.
+    """
+    if not isinstance(xs, Panel):
+        return xs.join(traits, "sample_id").groupBy("variant_idx", "dim").agg(F.sum(F.col("xs") * F.col("z")).alias("u"))
+    # As many numbers as traits.
+    dims = sorted(r["dim"] for r in traits.select("dim").distinct().collect())
+    if not dims:
+        return xs.blocks.sparkSession.createDataFrame([], "variant_idx int, dim int, u double")
+    matrix = sample_matrix(xs, by_dim(traits, dims, ["sample_id"]), "v")
+    named = xs.samples.join(traits.select("sample_id").distinct(), "sample_id", "left_semi").select("rows").distinct()
+    some = replace(xs, blocks=xs.blocks.join(named, "rows", "left_semi"))
+    return value_rows(product(some, matrix, True), xs.tile, dims)
 
 
 def changes(traits: DataFrame, batch: DataFrame) -> DataFrame:
@@ -109,15 +130,11 @@ def sumstats_of_state(state: DataFrame, w: DataFrame, traits: DataFrame, fixed:
 def matrices_of_state(state: DataFrame, w: DataFrame, traits: DataFrame, fixed: Fixed) -> tuple[np.ndarray, np.ndarray]:
     """G and P over the dimensions in order, as ``heritability.genetic_matrices`` gives; dimensions squared numbers reach the driver."""
     u, _ = _projected(state, w, traits, fixed)
-    a, b = u.select("variant_idx", F.col("dim").alias("i"), F.col("u").alias("a")), u.select("variant_idx", F.col("dim").alias("j"), F.col("u").alias("b"))
-    qk = a.join(b, "variant_idx").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / fixed.m).alias("q")).collect()
-    za, zb = traits.select("sample_id", F.col("dim").alias("i"), F.col("z").alias("a")), traits.select("sample_id", F.col("dim").alias("j"), F.col("z").alias("b"))
-    zz = za.join(zb, "sample_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q")).collect()
-    at = {d: k for k, d in enumerate(sorted({r["i"] for r in zz}))}
-    q, p = np.zeros((len(at),) * 2), np.zeros((len(at),) * 2)
-    for out, rows in ((q, qk), (p, zz)):
-        for r in rows:
-            out[at[r["i"]], at[r["j"]]] = r["q"]
+    # As many numbers as traits.
+    dims = sorted(r["dim"] for r in traits.select("dim").distinct().collect())
+    at = {d: k for k, d in enumerate(dims)}
+    q = column_gram(by_dim(u.withColumnRenamed("u", "z"), dims, ["variant_idx"]), "v", len(dims)) / fixed.m
+    p = column_gram(by_dim(traits, dims, ["sample_id"]), "v", len(dims))
     c = len(fixed.inverse)
     if c:
         wz = np.zeros((c, len(at)))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import factored, heritability, variants
+from helixframe.operators import blocks, factored, heritability, variants
 from helixframe.sources import cohort
 
 
@@ -38,7 +38,7 @@ def test_mom_without_covariates(data):
     n = len(k)
     want = np.einsum("id,ij,jd->d", ys, k - np.eye(n), ys) / (np.sum(k * k) - n)
     np.testing.assert_allclose(values(heritability.mom(dosage, design, Z), "h2")[0], want, atol=1e-10)
-    kin = variants.kinship(variants.standardized(dosage), xs.shape[1])
+    kin = blocks.kinship(blocks.panel(dosage, xs.shape[1], tile=4, rows=16))
     np.testing.assert_allclose(values(heritability.mom_kinship(kin, design, Z), "h2")[0], want, atol=1e-10)
 
 
@@ -97,6 +97,24 @@ def test_association_is_regression(data):
         assert all(abs(got[j, k]["chisq"] - got[j, k]["z"] ** 2) < 1e-9 for k in range(3))
 
 
+def test_variance_explained_over_many_blocks(data, small):
+    dosage, design, xs, z, cov, _ = data
+    v = projector(np.hstack([np.ones((len(z), 1)), cov]))
+    py, px = v @ standard(z), v @ xs
+    r = projector(px) @ py
+    p = blocks.panel(dosage, xs.shape[1], tile=5, rows=9)
+    np.testing.assert_allclose(values(heritability.variance_explained(p, design, Z, C), "r2")[0], py.var(0, ddof=1) - r.var(0, ddof=1), atol=1e-9)
+
+
+def test_a_trait_that_genotypes_explain_and_dependent_variants(data):
+    dosage, design, xs, *_ = data
+    # z0 constant: nothing to explain.
+    flat = values(heritability.variance_explained(dosage, design.withColumn("z0", F.lit(3.0)), Z, C), "r2")[0]
+    assert abs(flat[0]) < 1e-9 < flat[1]
+    with pytest.raises(ValueError):
+        heritability.variance_explained(dosage.where("sample_id < 8"), design.where("sample_id < 8"), Z, C)
+
+
 def test_variance_explained(data):
     dosage, design, xs, z, cov, _ = data
     v = projector(np.hstack([np.ones((len(z), 1)), cov]))
@@ -108,7 +126,7 @@ def test_variance_explained(data):
 def test_hutchinson_is_near_the_exact_trace(data):
     dosage, _, xs, *_ = data
     k = xs @ xs.T / xs.shape[1]
-    got = factored.hutchinson(variants.standardized(dosage), xs.shape[1], probes=300).agg(F.avg("estimate").alias("e")).first()["e"]
+    got = factored.hutchinson(blocks.panel(dosage, xs.shape[1]), probes=300).agg(F.avg("estimate").alias("e")).first()["e"]
     assert abs(got / np.sum(k * k) - 1) < 0.2
 
 
@@ -121,25 +139,72 @@ def test_scale_and_shift_do_not_matter(data):
 def test_monomorphic_variant_counts_in_the_naive_trace(spark):
     x = spark.createDataFrame([(i, j, 1 if j == 0 else i % 3) for i in range(9) for j in range(2)], "sample_id long, variant_idx int, x int")
     assert variants.naive_trace(variants.variant_stats(x)).first()["tr_k"] == 9
-    by = factored.by_variant(variants.standardized(x), x.select("sample_id").distinct(), [])
-    assert by.agg(F.sum("s")).first()[0] / 2 == pytest.approx(4.5)
+    tiles = blocks.panel(x, 2).tiles.collect()
+    assert np.frombuffer(tiles[0]["ss"]) == pytest.approx([0.0, 9.0])
+    assert cohort.n_variants(spark, "/root/testdata/sf0.001") == 25
 
 
-def test_exact_trace_has_a_limit(spark):
-    with pytest.raises(ValueError):
-        factored.variant_gram(spark.createDataFrame([], "sample_id long, variant_idx int, xs double"), 10**6)
-    assert cohort.n_variants(spark, "/root/testdata/sf0.001") == 25
+@pytest.fixture
+def small(monkeypatch):
+    """Sums in several parts and groups."""
+    monkeypatch.setattr(blocks, "PART", 2)
+    monkeypatch.setattr(blocks, "GROUP", 2)
+
+
+def of_tiles(df, width, *keys):
+    return {tuple(r[k] for k in keys): np.frombuffer(r["data"]).reshape(-1, width) for r in df.collect()}
+
+
+def test_packed_codes_come_back():
+    for n, m in ((1, 1), (2, 3), (5, 4), (3, 13), (31, 7)):
+        codes = np.random.default_rng(n).integers(0, 4, (n, m)).astype(np.uint8)
+        assert (blocks.unpack(blocks.pack(codes), n, m) == codes).all() and len(blocks.pack(codes)) == n * -(-m // 4)
+
+
+def test_products_and_gram_over_blocks(data, small):
+    dosage, design, xs, z, *_ = data
+    p = blocks.panel(dosage, xs.shape[1], tile=5, rows=9)
+    assert p.n_rows == 7 and p.n_tiles == 3
+    got = of_tiles(blocks.product(p, blocks.sample_matrix(p, factored.vectors(design, Z), "v"), True), 3, "tile")
+    np.testing.assert_allclose(np.vstack([got[t,] for t in range(3)]), xs.T @ z, atol=1e-10)
+    tiles = blocks.gram(p)
+    full = np.zeros((12, 12))
+    for r in blocks.gram_rows(tiles, 12, 5).collect():
+        full[r["j"], r["k"]] = full[r["k"], r["j"]] = r["g"]
+    np.testing.assert_allclose(full, xs.T @ xs, atol=1e-10)
+    # Back to samples: X (X'Z).
+    back = of_tiles(blocks.product(p, blocks.product(p, blocks.sample_matrix(p, factored.vectors(design, Z), "v"), True), False), 3, "rows")
+    where = {(r["rows"], r["at"]): r["sample_id"] for r in p.samples.collect()}
+    for (rows,), m in back.items():
+        for at, line in enumerate(m):
+            np.testing.assert_allclose(line, (xs @ xs.T @ z)[where[rows, at]], atol=1e-9)
+
+
+def test_block_stats_are_variant_stats(data):
+    dosage, *_ = data
+    p = blocks.panel(dosage, 12, tile=5, rows=9)
+    got = {r["variant_idx"]: tuple(r) for r in blocks.block_stats(p.blocks.select("tile", "rows", "n", "packed"), 12, 5).collect()}
+    assert got == {r["variant_idx"]: tuple(r) for r in variants.variant_stats(dosage).collect()}
+
+
+def test_what_is_shuffled_does_not_depend_on_tasks(data):
+    dosage, _, xs, *_ = data
+    p = blocks.panel(dosage, xs.shape[1], tile=5, rows=9)
+    for k in (1, 7):
+        more = blocks.Panel(p.blocks.repartition(k), *(getattr(p, c) for c in ("tiles", "samples", "m", "n", "tile", "n_rows")))
+        assert blocks.gram(more).count() == 6
 
 
-def test_traces_beyond_the_exact_gram(data):
+def test_traces(data):
     dosage, design, xs, z, cov, y = data
     m, w = xs.shape[1], np.hstack([np.ones((len(z), 1)), cov])
     _, kt, _, _ = dense_gc(xs, standard(z), w, standard(y))
-    x, _, by, p = heritability._prepare(dosage, design.withColumn("_one", F.lit(1.0)), Z, ["_one", *C], "add")
-    t1, t2 = factored.traces(x, by, p, m, probes=300, most=1)
-    np.testing.assert_allclose(t1, np.trace(kt), atol=1e-9)
-    assert abs(t2 / np.sum(kt * kt) - 1) < 0.2
-    given = {"trace2": float(np.sum(kt * kt)), "most": 1}
+    x, residuals, p = heritability._prepare(dosage, design.withColumn("_one", F.lit(1.0)), Z, ["_one", *C], "add")
+    for given, near in (({}, 1e-9), ({"probes": 300}, 0.2)):
+        t1, t2 = factored.traces(x, residuals, p, **given)
+        np.testing.assert_allclose(t1, np.trace(kt), atol=1e-9)
+        assert abs(t2 / np.sum(kt * kt) - 1) < near
+    given = {"trace2": float(np.sum(kt * kt))}
     for got, want in zip(heritability.genetic_matrices(dosage, design, Z, C, **given), heritability.genetic_matrices(dosage, design, Z, C), strict=True):
         np.testing.assert_allclose(got, want, atol=1e-9)
     exact, other = (values(heritability.genetic_covariance(dosage, design, Z, "y", C, **more), "gamma", "rho") for more in ({}, given))
@@ -158,6 +223,7 @@ def test_mom_takes_more_variants_than_the_gram(spark):
     xs = (dense - dense.mean(0)) / np.maximum(sd, 1e-8)
     k, ys = xs @ xs.T / m, standard(np.array([[r["z0"]] for r in sorted(design.collect())]))
     q = float(ys[:, 0] @ (k - np.eye(n)) @ ys[:, 0])
-    got = values(heritability.mom(dosage, design, ["z0"]), "h2")[0][0]
-    # The estimate of tr(K^2) that this answer implies.
+    # tr(K^2) is exact at this size too; or estimated, if the caller says so.
+    assert values(heritability.mom(dosage, design, ["z0"]), "h2")[0][0] == pytest.approx(q / (np.sum(k * k) - n), rel=1e-9)
+    got = values(heritability.mom(dosage, design, ["z0"], probes=30), "h2")[0][0]
     assert abs((q / got + n) / np.sum(k * k) - 1) < 0.2
