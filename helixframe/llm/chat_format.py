@@ -93,41 +93,43 @@ def _encoder(shared: Broadcast) -> ByteLevelEncoder:
     return _ENCODERS[key]
 
 
-def format_conversations(rows: DataFrame, shared: Broadcast) -> DataFrame:
+def pieces(given: Iterator[tuple], encoder: ByteLevelEncoder, part: int, piece_turns: int) -> Iterator[tuple]:
+    """``conv_id, part, piece, n_turns, formatted, ids, ends, loss`` from rows in order."""
+
+    def made(conv, piece: int, turns: list) -> tuple:
+        formatted, spans = render(turns)
+        ids = encoder.encode(formatted)
+        ends = np.cumsum(encoder.lengths[ids])
+        return conv, part, piece, len(turns), formatted, ids.astype(np.int32), ends, token_mask(ends, spans)
+
+    now, piece, turns, chars = None, 0, [], 0
+    for conv, _, role, text in given:
+        if turns and (conv != now or len(turns) >= piece_turns or chars >= PIECE_CHARS):
+            yield made(now, piece, turns)
+            piece, turns, chars = piece + 1 if conv == now else 0, [], 0
+        now = conv
+        turns.append((role or "", text or ""))
+        chars += len(text or "")
+    if turns:
+        yield made(now, piece, turns)
+
+
+PIECES = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("n_turns", T.LongType()), T.StructField("formatted", T.StringType()),
+    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("loss", T.ArrayType(T.BooleanType())),
+])
+
+
+def format_conversations(rows: DataFrame, shared: Broadcast, piece_turns: int = PIECE_TURNS) -> DataFrame:
     """``conv_id, part, piece, n_turns, formatted, ids, ends, loss``: each conversation's turns in order, rendered and encoded.
 
     ``ids`` are tokens, ``ends`` the byte of ``formatted`` where each ends, ``loss`` whether it belongs to an assistant's text.
-    A conversation is one row unless it has more than ``PIECE_TURNS`` turns or ``PIECE_CHARS`` characters or lies across the
+    A conversation is one row unless it has more than ``piece_turns`` turns or ``PIECE_CHARS`` characters or lies across the
     edge of a partition; its rows follow each other by (``part``, ``piece``). Reads ``conv_id, turn, role, text`` and no other
     column. Null roles and texts are empty; rows of a null ``conv_id`` are one conversation; turns are in the order of
     ``in_order`` (null turns first, ties by role and text), and repeated rows are repeated turns. No rows give no rows.
     """
-    schema = T.StructType([
-        rows.schema["conv_id"], T.StructField("part", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("n_turns", T.LongType()), T.StructField("formatted", T.StringType()),
-        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("loss", T.ArrayType(T.BooleanType())),
-    ])
-
-    def step(given: Iterator[tuple]) -> Iterator[tuple]:
-        encoder, part = _encoder(shared), partition()
-
-        def made(conv, piece: int, turns: list) -> tuple:
-            formatted, spans = render(turns)
-            ids = encoder.encode(formatted)
-            ends = np.cumsum(encoder.lengths[ids])
-            return conv, part, piece, len(turns), formatted, ids.tolist(), ends.tolist(), token_mask(ends, spans).tolist()
-
-        now, piece, turns, chars = None, 0, [], 0
-        for conv, _, role, text in given:
-            if turns and (conv != now or len(turns) >= PIECE_TURNS or chars >= PIECE_CHARS):
-                yield made(now, piece, turns)
-                piece, turns, chars = piece + 1 if conv == now else 0, [], 0
-            now = conv
-            turns.append((role or "", text or ""))
-            chars += len(text or "")
-        if turns:
-            yield made(now, piece, turns)
-
-    return in_tasks(in_order(rows.select(*COLUMNS)), schema, step)
+    return in_tasks(in_order(rows.select(*COLUMNS)), T.StructType([rows.schema["conv_id"], *PIECES]), lambda given: pieces(given, _encoder(shared), partition(), piece_turns))
 
 
 class Digest:
@@ -156,50 +158,58 @@ DIGEST = T.StructType([
 ])
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of each conversation, read back from its pieces.
+def digests_inside(given: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """From a partition's pieces in order: digests of the conversations that lie inside it; the pieces of the others.
 
-    ``pieces`` comes straight from ``format_conversations``, in its order. Conversations that lie within a partition are
-    digested where they are. Those at a partition's edges (two a partition) and those of more than ``WAITING`` pieces go on as
-    pieces; a second pass reads them in order, one piece in memory at a time (a hash of a whole text has to be taken in order).
+    Others are the first and the last, which may go on in another partition, and those of more than ``most`` pieces.
     """
-    conv = pieces.schema["conv_id"]
-    ends = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("piece", T.IntegerType()), *[pieces.schema[c] for c in ("formatted", "ends", "loss")]])
-
-    def inside(given: Iterator[tuple]) -> Iterator[tuple]:
-        none, blank = (None,) * len(DIGEST), (None,) * len(ends)
-        now, first, waiting, passed, sums = None, True, [], False, Digest()
-        begun = False
-        for row in given:
-            if begun and row[0] != now:
-                if first:
-                    yield from ((now, *none, *w) for w in waiting)
-                elif not passed:
-                    for w in waiting:
-                        sums.add(*w[2:])
-                    yield (now, *sums.row(), *blank)
-                first, waiting, passed, sums = False, [], False, Digest()
-            now, begun = row[0], True
-            waiting.append(row[1:])
-            if passed or len(waiting) > WAITING:
+    none, blank = (None,) * len(DIGEST), (None,) * len(OPEN)
+    now, begun, first, passed, waiting = None, False, True, False, []
+    for conv, part, piece, _, formatted, _, ends, loss in given:
+        if begun and conv != now:
+            if first:
                 yield from ((now, *none, *w) for w in waiting)
-                waiting, passed = [], True
-        yield from ((now, *none, *w) for w in waiting)
-
-    def through(given: Iterator[tuple]) -> Iterator[tuple]:
-        now, sums = None, None
-        for conv_id, formatted, stops, loss in given:
-            if sums is None or conv_id != now:
-                if sums is not None:
-                    yield (now, *sums.row())
-                now, sums = conv_id, Digest()
-            sums.add(formatted, stops, loss)
-        if sums is not None:
-            yield (now, *sums.row())
-
-    found = staged(in_tasks(pieces.select("conv_id", *ends.names), T.StructType([conv, *DIGEST, *ends]), inside))
+            elif not passed:
+                sums = Digest()
+                for w in waiting:
+                    sums.add(*w[2:])
+                yield (now, *sums.row(), *blank)
+            first, passed, waiting = False, False, []
+        now, begun = conv, True
+        waiting.append((part, piece, formatted, ends, loss))
+        if passed or len(waiting) > most:
+            yield from ((now, *none, *w) for w in waiting)
+            waiting, passed = [], True
+    yield from ((now, *none, *w) for w in waiting)
+
+
+def digests_through(given: Iterator[tuple]) -> Iterator[tuple]:
+    """Digests of conversations whose pieces come in order; one piece is in memory."""
+    now, sums = None, None
+    for conv, formatted, ends, loss in given:
+        if sums is None or conv != now:
+            if sums is not None:
+                yield (now, *sums.row())
+            now, sums = conv, Digest()
+        sums.add(formatted, ends, loss)
+    if sums is not None:
+        yield (now, *sums.row())
+
+
+OPEN = T.StructType([PIECES[c] for c in ("part", "piece", "formatted", "ends", "loss")])
+
+
+def digest_conversations(rows: DataFrame, shared: Broadcast, piece_turns: int = PIECE_TURNS, most: int = WAITING) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of each conversation, read back from its pieces.
+
+    Rows, pieces and ties as in ``format_conversations``. Conversations inside a partition are digested in the task that
+    formats them. Two a partition, and very long ones, are digested in a second pass over their pieces in order: a hash of a
+    whole text has to be taken in order, so one task reads a conversation through, a piece at a time.
+    """
+    conv = rows.schema["conv_id"]
+    found = staged(in_tasks(in_order(rows.select(*COLUMNS)), T.StructType([conv, *DIGEST, *OPEN]), lambda given: digests_inside(pieces(given, _encoder(shared), partition(), piece_turns), most)))
     left = found.where("part IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece").select("conv_id", "formatted", "ends", "loss")
-    return found.where("part IS NULL").select("conv_id", *DIGEST.names).union(in_tasks(left, T.StructType([conv, *DIGEST]), through))
+    return found.where("part IS NULL").select("conv_id", *DIGEST.names).union(in_tasks(left, T.StructType([conv, *DIGEST]), digests_through))
 
 
 def with_trial(rows: DataFrame, conv_id: int, text: str) -> DataFrame:

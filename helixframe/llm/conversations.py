@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,7 +48,7 @@ def in_tasks(df: DataFrame, schema: T.StructType, step: Callable[[Iterator[tuple
         made, chars = [], 0
         for row in step(row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns])):
             made.append(row)
-            chars += sum(len(x) for x in row if isinstance(x, (str, list)))
+            chars += sum(len(x) for x in row if isinstance(x, (str, list, np.ndarray)))
             if len(made) >= BATCH_ROWS or chars >= BATCH_CHARS:
                 yield sent(made)
                 made, chars = [], 0

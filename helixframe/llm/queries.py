@@ -89,7 +89,7 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = chat_format.with_trial(table(spark, sf_dir, "conversations"), TRIAL_ID, TRIAL_TEXT)
     shared = chat_format.share(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return chat_format.digest(chat_format.format_conversations(rows, shared))
+    return chat_format.digest_conversations(rows, shared)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

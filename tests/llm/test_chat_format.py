@@ -46,20 +46,17 @@ def plain(rows):
 
 
 @pytest.mark.parametrize(("turns", "waiting", "parts"), [(256, 8, 2), (2, 1, 4), (1, 0, 1)])
-def test_same_as_given_rows(spark, shared, monkeypatch, turns, waiting, parts):
-    monkeypatch.setattr(cf, "PIECE_TURNS", turns)
-    monkeypatch.setattr(cf, "WAITING", waiting)
+def test_same_as_given_rows(spark, shared, turns, waiting, parts):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").repartition(parts).withColumn("ids", F.lit("x"))
-    got = cf.digest(cf.format_conversations(cf.with_trial(df, -7, TRIAL), shared)).collect()
+    got = cf.digest_conversations(cf.with_trial(df, -7, TRIAL), shared, turns, waiting).collect()
     assert set(map(tuple, got)) == plain([*ROWS, (-7, 0, "user", TRIAL), (-7, 1, "assistant", TRIAL)]) and len(got) == len({r["conv_id"] for r in got})
 
 
-def test_tokens_of_a_long_conversation_are_those_of_the_whole(spark, shared, encoder, monkeypatch):
+def test_tokens_of_a_long_conversation_are_those_of_the_whole(spark, shared, encoder):
     rows = [(9, k, "assistant" if k % 2 else "user", f"turn {k} says <{k}") for k in range(50)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     whole = encoder.encode(cf.render([(r, t) for _, _, r, t in rows])[0]).tolist()
-    monkeypatch.setattr(cf, "PIECE_TURNS", 4)
-    pieces = sorted(cf.format_conversations(df, shared).collect(), key=lambda r: (r["part"], r["piece"]))
+    pieces = sorted(cf.format_conversations(df, shared, 4).collect(), key=lambda r: (r["part"], r["piece"]))
     assert len(pieces) > 10 and sum((p["ids"] for p in pieces), []) == whole
 
 
@@ -80,5 +77,5 @@ def test_round_trip_and_mask(encoder, turns):
 
 def test_an_empty_table_and_long_white_space(spark, shared, encoder):
     df = spark.createDataFrame([(1, 0, "assistant", "x" + " " * 60_000 + "y")], "conv_id long, turn long, role string, text string")
-    assert cf.digest(cf.format_conversations(df, shared)).first()["loss_chars"] == 60_002
-    assert cf.digest(cf.format_conversations(df.where("false"), shared)).count() == 0
+    assert cf.digest_conversations(df, shared).first()["loss_chars"] == 60_002
+    assert cf.digest_conversations(df.where("false"), shared).count() == 0 == cf.format_conversations(df.where("false"), shared).count()
