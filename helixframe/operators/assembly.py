@@ -38,6 +38,19 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
+def reindex(source: DataFrame, wanted: DataFrame, key: str = "sample_id", order: str | None = None) -> DataFrame:
+    """Rows of ``source`` in the places of ``wanted`` (``key`` and other columns, such as a position); a missing key raises when read.
+
+    Of repeated keys in ``source`` the last by ``order`` counts. Each task checks the keys it joins, so no list of keys is
+    gathered. ``wanted`` may repeat a key; its rows and columns all stay, those of ``source`` come after them.
+    """
+    rest = [c for c in source.columns if c != key]
+    once = source.groupBy(key).agg((F.max_by(F.struct(*rest), order) if order else F.first(F.struct(*rest))).alias("_row"))
+    found = wanted.join(once.withColumn("_there", F.lit(True)), key, "left")
+    checked = F.when(F.col("_there"), F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("no row for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(once.schema["_row"].dataType))
+    return found.withColumn("_row", checked).select(*wanted.columns, "_row.*")
+
+
 def split(ids: DataFrame, fraction: float, seed: int, key: str = "sample_id") -> DataFrame:
     """Add ``part``: train for the first ``int(n * fraction)`` ids by md5 of id and seed, val for the rest.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.staging import staged
 from .blocks import Panel, _fields, _streamed, panel, product, sample_matrix, tile_gram
-from .factored import BINARY, Projection, residual_tiles, solve, standardize, traces, variant_rows
+from .factored import BINARY, Projection, _total, residual_tiles, solve, standardize, traces, variant_rows, vectors
 
 #: Traits that are columns of one product in ``mom_long``; more take more passes over the blocks.
 TRAITS_AT_ONCE = 1024
@@ -178,3 +179,60 @@ def association(genotypes: DataFrame | Panel, design: DataFrame, traits: list[st
     rows = variant_rows(residuals, x.tile, len(traits)).select("variant_idx", F.greatest("d", F.lit(1e-12)).alias("d"), F.posexplode(F.arrays_zip(F.col("u").alias("u"), s2.alias("s2"))).alias("dim", "t"))
     beta, se = F.col("t.u") / F.col("d"), F.sqrt(F.col("t.s2") / F.col("d"))
     return rows.select("variant_idx", "dim", beta.alias("beta"), se.alias("se"), (beta / se).alias("z"), (beta / se * beta / se).alias("chisq"))
+
+
+@dataclass(frozen=True)
+class Surrogate:
+    """``table``: ``sample_id, weight, fit`` (arrays over traits) of a first-order surrogate of the variance explained."""
+
+    table: DataFrame
+    width: int
+
+
+def explained_surrogate(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str]) -> Surrogate:
+    """The surrogate around the traits of ``design``, W = C without an intercept.
+
+    With V for C and H for the fit on VX, and z / (sd + 1e-8) not centred, the weights are 2 (Vz - HVz) + HHVz = 2 Vz - HVz: sums
+    over genotypes solved by conjugate gradients, kept by sample. The fit is C (C'C)^-1 C'Z of traits as they are, not
+    scaled: the two scales differ on purpose. What does not depend on traits (the panel) is shared if one is given.
+    """
+    x, d, c = as_panel(genotypes), len(traits), len(covariates)
+    long = design.select(F.posexplode(F.array(*[F.col(z).cast("double") for z in traits])).alias("k", "z"))
+    sd = {r["k"]: r["s"] or 0.0 for r in long.groupBy("k").agg(F.stddev_samp("z").alias("s")).collect()}
+    scaled = staged(design.withColumns({f"_s{k}": F.col(z) / F.lit(sd[k] + 1e-8) for k, z in enumerate(traits)}))
+    names = [f"_s{k}" for k in range(d)]
+    p, raw = Projection(scaled, covariates, names), Projection(scaled, covariates, traits)
+    residuals = staged(residual_tiles(x, p))
+    b = staged(solve(x, residuals, p))
+
+    def crossed(rows):
+        for r in rows:
+            yield ((np.frombuffer(r["a"]).reshape(-1, c).T @ np.frombuffer(r["data"]).reshape(-1, d)).tobytes(),)
+
+    wxb = _total(_streamed(b.join(residuals.select("tile", "a"), "tile"), _fields(("data", BINARY)), crossed), c * d).reshape(c, d)
+    correction = p.inverse @ wxb
+    parts = product(x, b, False).join(sample_matrix(x, vectors(scaled, [*covariates, *names]), "v").withColumnRenamed("data", "v"), "rows")
+    ids = x.samples.groupBy("rows").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sample_id"))), lambda e: e["sample_id"]).alias("ids"))
+    doubles, coef, raw_coef = T.ArrayType(T.DoubleType()), p.coef, raw.coef
+
+    def kept(rows):
+        for r in rows:
+            v = np.frombuffer(r["v"]).reshape(-1, c + d)
+            w, z = v[:, :c], v[:, c:]
+            hvz = np.frombuffer(r["data"]).reshape(-1, d) - w @ correction
+            weight, fit = 2 * (z - w @ coef) - hvz, w @ raw_coef
+            for k, i in enumerate(r["ids"]):
+                yield i, weight[k].tolist(), fit[k].tolist()
+
+    return Surrogate(staged(_streamed(parts.join(ids, "rows"), _fields(("sample_id", T.LongType()), ("weight", doubles), ("fit", doubles)), kept)), d)
+
+
+def surrogate_loss(surrogate: Surrogate, batch: DataFrame, traits: list[str]) -> DataFrame:
+    """``dim, loss`` for new trait values of a batch of samples: - sum of weights times what the batch leaves of the fit.
+
+    Values are centred and scaled over the batch; samples meet their weights in a join.
+    """
+    z = staged(standardize(batch.select("sample_id", *traits), traits, "add"))
+    long = z.select("sample_id", F.posexplode(F.array(*[F.col(c) for c in traits])).alias("dim", "z")).join(surrogate.table, "sample_id")
+    at = lambda c: F.get(c, F.col("dim"))
+    return long.groupBy("dim").agg((-F.sum(at("weight") * (F.col("z") - at("fit")))).alias("loss"))

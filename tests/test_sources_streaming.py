@@ -14,7 +14,7 @@ def test_plink_round_trip(spark, tmp_path, n, m, missing):
     g = rng.integers(0, 3, (n, m))
     g[rng.random((n, m)) < missing] = -1
     prefix = f"{tmp_path}/geno.even"
-    plink.write(prefix, g, list(range(100, 100 + n)))
+    plink.write_trio(prefix, g, list(range(100, 100 + n)))
     plink.register(spark)
     got = np.full((n, m), -9)
     for r in spark.read.format("plink").option("chunk", 3).load(prefix).collect():
@@ -31,7 +31,7 @@ def test_plink_errors(tmp_path):
     assert not plink.is_prefix(f"{tmp_path}/x")
     with pytest.raises(FileNotFoundError):
         plink.check(f"{tmp_path}/x")
-    plink.write(f"{tmp_path}/x", np.zeros((2, 2), int), [1, 2])
+    plink.write_trio(f"{tmp_path}/x", np.zeros((2, 2), int), [1, 2])
     with open(f"{tmp_path}/x.bed", "r+b") as f:
         f.write(b"\x00")
     with pytest.raises(ValueError):
