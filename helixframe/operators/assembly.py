@@ -51,6 +51,16 @@ def reindex(source: DataFrame, wanted: DataFrame, key: str = "sample_id", order:
     return found.withColumn("_row", checked).select(*wanted.columns, "_row.*")
 
 
+def with_paths(ids: DataFrame, manifest: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Ids with their manifest's path (``key, path``); of repeated manifest rows the least path, ids without one are left out."""
+    return ids.join(manifest.groupBy(key).agg(F.min("path").alias("path")), key)
+
+
+def conditioned(latents: DataFrame, z: list[str], covariates: DataFrame, columns: list[str], key: str = "sample_id") -> DataFrame:
+    """``key, z``: what a decoder is given, an array of latent components and then the sample's covariates in the order named."""
+    return latents.join(select_covariates(covariates, columns, key), key).select(key, F.array(*[F.col(c).cast("double") for c in (*z, *columns)]).alias("z"))
+
+
 def split(ids: DataFrame, fraction: float, seed: int, key: str = "sample_id") -> DataFrame:
     """Add ``part``: train for the first ``int(n * fraction)`` ids by md5 of id and seed, val for the rest.
 

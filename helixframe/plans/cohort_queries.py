@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import assembly, blocks, comparison, factored, heritability, ldsc, logs, objectives, variants
+from ..operators import assembly, blocks, comparison, factored, heritability, ldsc, logs, objectives, order_stats, variants
 from ..sources import cohort
 from ..sources.staging import staged
-from ..streaming import incremental
+from ..streaming import epoch_lag, incremental, readouts
 
 TRAITS = [f"z{k}" for k in range(cohort.DIMS)]
 #: The first half of the components are means where a query needs means, the others (through softplus) deviations.
@@ -199,8 +199,10 @@ def ldsc_rg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ldsc_summary(spark: SparkSession, sf: str) -> DataFrame:
-    chi = F.col("z1") * F.col("z1")
-    return rounded(_ldsc_rows(spark, sf).groupBy("trait").agg(F.avg(chi).alias("mean_chisq"), (F.median(chi) / 0.4549).alias("lambda_gc"), F.avg(F.col("z1") * F.col("z2")).alias("mean_z1z2")), 4)
+    rows = staged(_ldsc_rows(spark, sf).select("trait", (F.col("z1") * F.col("z1")).alias("chi"), (F.col("z1") * F.col("z2")).alias("both")))
+    means = rows.groupBy("trait").agg(F.avg("chi").alias("mean_chisq"), F.avg("both").alias("mean_z1z2"))
+    out = order_stats.medians(rows, ["trait"], "chi").join(means, "trait")
+    return rounded(out.select("trait", "mean_chisq", (F.col("median") / 0.4549).alias("lambda_gc"), "mean_z1z2"), 4)
 
 
 def cohort_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,6 +412,51 @@ def matrices_of_state(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(heritability.matrix_rows(spark, g=g, p=p))
 
 
+def rg_of_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of the active latents with the external trait, from the maintained sums; intercepts are fixed."""
+    state, w, traits, fixed = _changed(spark, sf)
+    stats = incremental.sumstats_of_state(state, w, traits, fixed)
+    return rounded(ldsc.latent_correlation(stats, _brand_context(spark, sf), fixed.n, M_LDSC, _weights(spark), (1.0, 1.0, 0.0)), 4)
+
+
+def readouts_of_state(spark: SparkSession, sf: str) -> DataFrame:
+    """``total, marginal``: the sum of the spectrum, and the marginal objective, from the maintained sums."""
+    found = readouts.of_state(*_changed(spark, sf), readouts.Readouts(weights=_weights(spark)))
+    return rounded(found["objective"].select("total", "marginal"), 4)
+
+
+def ordered_reindex(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets in the places of the training samples; places are ranks of their hashes."""
+    train = assembly.split(cohort.samples(spark, sf), 0.8, 0).where("part = 'train'")
+    places = train.select("sample_id", F.md5(F.col("sample_id").cast("string")).alias("place"))
+    return rounded(assembly.reindex(cohort.target(spark, sf), places))
+
+
+def decoder_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = assembly.conditioned(cohort.latents(spark, sf), TRAITS, cohort.covariates(spark, sf), COVARIATES)
+    return rounded(rows.select("sample_id", F.posexplode("z").alias("place", "value")))
+
+
+def sample_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with the url of the page of their number."""
+    manifest = cohort.table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("sample_id"), F.col("url").alias("path"))
+    return assembly.with_paths(cohort.samples(spark, sf), manifest)
+
+
+def epoch_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of a user's events beside the next: an event is an epoch of its user, errors close a run."""
+    events = cohort.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value", (F.col("event_type") == "error").alias("closing"))
+    return rounded(epoch_lag.lagged(events).select("run", "epoch", F.col("own.value").alias("value"), F.col("next.value").alias("next_value")))
+
+
+def explained_surrogate(spark: SparkSession, sf: str) -> DataFrame:
+    """The surrogate around the latents, scored on the samples that have events, with their values halved and shifted by dimension."""
+    s = heritability.explained_surrogate(_panel(spark, sf), _design(spark, sf), TRAITS, COVARIATES)
+    active = cohort.table(spark, sf, "events").select(F.col("user_id").cast("long").alias("sample_id")).distinct()
+    batch = cohort.latents(spark, sf).join(active, "sample_id", "left_semi")
+    return rounded(heritability.surrogate_loss(s, batch.select("sample_id", *[(F.col(z) / 2 + k).alias(z) for k, z in enumerate(TRAITS)]), TRAITS), 4)
+
+
 def log_split_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with even and odd chromosomes, written and parsed again."""
     wide = _epochs(spark, sf).select(
@@ -451,5 +498,6 @@ QUERIES = {
         log_parse, log_epoch_stats, log_peak, value_histogram, rank_sum, incremental_state, edge_continuity,
         h2_mom_probes, h2_mom_epochs, h2_weighted_loss, spectrum_marginal_loss, spectrum_objective, vector_mse, composite_loss, intercept_summary, ldsc_rg_latents,
         ldsc_gencov_annotations, h2_of_state, sumstats_of_state, matrices_of_state, log_split_parse, log_gencov_lines, two_runs, rank_sum_p,
+        rg_of_state, readouts_of_state, ordered_reindex, decoder_inputs, sample_paths, epoch_after, explained_surrogate,
     )
 }

@@ -288,3 +288,25 @@ ne AS (SELECT DISTINCT lg.epoch, abs(lg.epoch - pk.epoch) AS d FROM lg, pk WHERE
 both_ AS (SELECT 'control' AS run, lg.* FROM lg JOIN ne USING (epoch) WHERE stream = 'train' UNION ALL SELECT 'experiment', lg.* FROM lg JOIN pk USING (epoch) WHERE stream = 'val'),
 msk AS (SELECT b.run, b.epoch, b.dim, arg_min(m.value, abs(m.epoch - b.epoch) * 1000 + m.epoch) AS m FROM both_ b JOIN lg m ON m.stream = 'train' AND m.dim = b.dim GROUP BY ALL)
 SELECT run, epoch, dim, value FROM both_ JOIN msk USING (run, epoch, dim) WHERE m >= 0"""
+
+
+# What reads the state; reindexing, conditioning and lags.
+_STATS = SQL["sumstats_of_state"].rpartition("SELECT variant_idx, dim, ")[0].rstrip()
+SQL["rg_of_state"] = SQL["ldsc_rg_latents"].replace(_ASSOC, _STATS).replace("(SELECT count(DISTINCT sample_id) FROM cov)", "(SELECT count(*) FROM samples)")
+SQL["ordered_reindex"] = f"WITH {_SPLIT}, {TARGET} SELECT sample_id, md5(sample_id::VARCHAR) AS place, {r('y')} AS y FROM sp JOIN tgt USING (sample_id) WHERE part = 'train'"
+SQL["decoder_inputs"] = f"""WITH {SAMPLES}, {LATENTS}, {COV} SELECT sample_id, dim AS place, {r('z')} AS value FROM lat
+UNION ALL SELECT sample_id, {DIMS}, {r('c0')} FROM cov UNION ALL SELECT sample_id, {DIMS + 1}, {r('c1')} FROM cov"""
+SQL["sample_paths"] = f"WITH {SAMPLES} SELECT sample_id, min(url) AS path FROM samples JOIN pages ON page_id = sample_id GROUP BY sample_id"
+SQL["epoch_after"] = f"""WITH e AS (SELECT user_id AS run, event_id AS epoch, value, event_type = 'error' AS closing, lead(value) OVER w AS next_value, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT run, epoch, {r('value')} AS value, {r('next_value')} AS next_value FROM e WHERE after IS NOT NULL AND NOT closing"""
+#: The trace of (P + ridge I)^-1 G: the sum of the spectrum without its values. Rows of [P + ridge I | G] are eliminated one after another.
+_GP_STATE = SQL["matrices_of_state"].replace(r("(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)"), "(qk.q * nc - qp.q * t1) / (t2 * nc - t1 * t1)").replace(
+    r("qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))"), "qp.q / sqrt(greatest(a.q, 1e-12) * greatest(b.q, 1e-12))")
+
+
+SQL["readouts_of_state"] = f"""WITH RECURSIVE {_W}, m AS MATERIALIZED ({_GP_STATE}),
+e0 AS (SELECT i, j AS k, p + CASE WHEN i = j THEN 1e-4 ELSE 0 END AS v FROM m UNION ALL SELECT i, j + {DIMS}, g FROM m),
+e AS (SELECT 0 AS s, i, list(v ORDER BY k) AS v FROM e0 GROUP BY i
+  UNION ALL SELECT a.s + 1, a.i, CASE WHEN a.i = a.s THEN list_transform(a.v, lambda x: x / a.v[a.s + 1]) ELSE list_transform(list_zip(a.v, p.v), lambda z: z[1] - z[2] * (a.v[a.s + 1] / p.v[a.s + 1])) END
+  FROM e a JOIN e p ON p.s = a.s AND p.i = a.s WHERE a.s < {DIMS})
+SELECT {r(f"(SELECT sum(v[i + {DIMS} + 1]) FROM e WHERE s = {DIMS})", 4)} AS total, {r("(SELECT -sum(weight * greatest(g / p, 0)) FROM m JOIN wt ON dim = i WHERE i = j)", 4)} AS marginal"""
