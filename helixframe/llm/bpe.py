@@ -10,8 +10,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, quoted, unpacked
+
 #: Bounds of the memos that each Python worker keeps, in entries. They save time only: a full memo is emptied.
 MEMO_PIECES, MEMO_PAIRS = 600_000, 500_000
 #: Pieces longer than this many characters are encoded but not kept.
@@ -197,40 +200,41 @@ def share(spark: SparkSession, rank_file: str, pattern: str) -> Broadcast:
 
 
 def encode(docs: DataFrame, shared: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids array<int>`` to each row (a column of that name is replaced); null and empty text give no ids.
+    """Add ``ids array<int>`` to each row (a column of that name, in any case, is replaced); null and empty text give no ids.
 
     Rows are independent: no shuffle, one Arrow batch of rows in memory at a time. Without special tokens.
     """
-    kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
+    rows = packed(docs, text=F.col(quoted(text)))
+    schema = T.StructType([rows.schema["row"], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            got = [encoder.encode(t or "") for t in batch.column(kept.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*kept, ids])
+            got = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), **{ids: F.col(quoted(ids))})
 
 
 def decode(rows: DataFrame, shared: Broadcast, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """Add ``bytes binary``: the bytes that ``ids`` stand for; null ids give empty bytes. Unknown ids raise."""
-    kept = [c for c in rows.columns if c != out]
-    schema = rows.select(*kept).schema.add(out, T.BinaryType())
+    given = packed(rows, ids=F.col(quoted(ids)))
+    schema = T.StructType([given.schema["row"], T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            got = [encoder.decode(x or ()) for x in batch.column(kept.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*kept, out])
+            got = [encoder.decode(x or ()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=schema.names)
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return unpacked(given.mapInArrow(run, schema), **{out: F.col(quoted(out))})
 
 
 def round_trip(docs: DataFrame, shared: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each text and decode its ids again: ``key, n_tokens, ids_sha256, decoded_sha256``.
 
-    The same encoder as ``encode``, digested in the worker, so that the ids need not leave it.
+    The same encoder as ``encode``, digested in the worker, so that the ids need not leave it. A null or empty text has no ids;
+    repeated rows and null keys are rows like others; no rows give no rows; other columns are not read.
     """
     schema = docs.select(key).schema.add("n_tokens", T.LongType()).add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
 

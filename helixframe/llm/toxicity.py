@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, staged, unstage
+from .common import packed, quoted, staged, unpacked, unstage
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside whole words.
@@ -197,22 +197,21 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts score like a text without features. Rows are scored one by one on their whole text: no
     shuffle, one Arrow batch in memory. Other columns stay, clashing ones are replaced.
     """
-    added = ("expected_severity", "grade", "toxic")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    own = docs.select(*map(quoted, kept))
-    schema = T.StructType([*own.schema.fields]).add("expected_severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
+    rows = packed(docs, text=F.col(quoted(text)))
+    added = T.StructType().add("expected_severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
+    schema = T.StructType([rows.schema["row"], *added])
     # Weights of the sample's features.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            above = [scorer.model.above(scorer.score(t.as_py())) for t in batch.column(kept.index(text))]
+            above = [scorer.model.above(scorer.score(t.as_py())) for t in batch.column(1)]
             severity = [round(float(a.sum()), 9) for a in above]
             likely = [int(np.argmax(-np.diff(np.concatenate([[1.0], a, [0.0]])))) for a in above]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(severity, pa.float64()), pa.array(likely, pa.int32()), pa.array([bool(a[0] >= 0.5) for a in above], pa.bool_())],
-                names=[*kept, *added],
+                [batch.column(0), pa.array(severity, pa.float64()), pa.array(likely, pa.int32()), pa.array([bool(a[0] >= 0.5) for a in above], pa.bool_())],
+                names=schema.names,
             )
 
-    return own.mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), **{c: F.col(c) for c in added.names})

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import html_text, jaccard_join, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
 
+#: Beside these, names with a dot and in another case than an operator's own.
+ODD = ("a.b", "IDS", "Bytes", "GRADE")
 NAMES = (
     "row doc hash lines dropped row_hash h h1 h2 one n_docs keeper key place arc on lo hi slot0 inner rank before run t0 t1 w t joined measured at pairs "
     "sorted repeats host_ path_ by_host ref good pages s b bucket offset end start stop block n times a k1 k2 words pieces most pass first wanted drawn "
@@ -60,3 +62,21 @@ def test_the_join_passes_over_other_columns(wide):
     plain = wide.select("doc_id", "text")
     rows = [sorted((tuple(r) for r in jaccard_join.near_duplicates(df, 3, 90, 100).collect()), key=repr) for df in (wide, plain)]
     assert rows[0] == rows[1]
+
+
+def test_dots_and_other_cases_in_names(spark):
+    import public_tokenizers
+
+    from helixframe.llm import bpe
+
+    rows = [(k, f"alpha beta number {k}", f"<p>alpha, beta. number {k}</p>") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, html string").select("*", *[F.lit(c).alias(c) for c in ODD])
+    labels = spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+    shared = bpe.share(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(df, shared)
+    cases = {"encode": (coded, {"ids"}), "decode": (bpe.decode(coded, shared), {"ids", "bytes"}), "html": (html_text.extract(df), {"text", "html"}), "grade": (toxicity.grade(df, toxicity.train(df, labels)), {"grade"})}
+    for name, (out, own) in cases.items():
+        assert len({c.lower() for c in out.columns}) == len(out.columns), name
+        for row in out.collect():
+            assert all(row[c] == c for c in ODD if c.lower() not in own), name
+    assert all(bytes(r["bytes"]).decode() == r["text"] for r in cases["decode"][0].collect())

@@ -150,6 +150,27 @@ def test_scores_decide(monkeypatch):
     assert "Menu" in html_text.main_text(page)
 
 
+def given_pages(n):
+    import pyarrow.parquet as pq
+
+    return [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if x][:n]
+
+
+def f1(got, want):
+    from collections import Counter
+
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_given_pages_without_containers_and_names():
+    import re
+
+    pages = given_pages(150)
+    bare = [re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", re.sub(r"<(/?)(article|main|nav|footer|aside|header)\b", r"<\1div", p)) for p in pages]
+    assert sum(f1(html_text.main_text(b), html_text.main_text(p)) for b, p in zip(bare, pages)) / len(pages) > 0.9
+
+
 def test_deep_nesting_takes_linear_time():
     for source in ("<div>" * 100_000 + "x, y.", '<div class="ad">x, y.' * 100_000, "<blockquote>x, y.<p>" * 50_000):
         assert "x, y." in html_text.main_text(source)
