@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import staged
+from ..sources.staging import staged, unstage
 from .blocks import BINARY, INT, Panel, _fields, _streamed, column_gram, gram, product, sample_matrix, tile_gram
 
 
@@ -254,6 +254,7 @@ def solve(panel: Panel, residuals: DataFrame, p: Projection, tolerance: float =
         squares = {(i, j): got[(x * k + y) * d : (x * k + y + 1) * d] for x, i in enumerate(names) for y, j in enumerate(names)}
         return squares | {i: got[k * k * d + x * c * d : k * k * d + (x + 1) * c * d].reshape(c, d) for x, i in enumerate(names)}
 
+    last = state
     s = sums_of(state, ("r", "p"))
     first = rr = s["r", "r"]
     ap_sum = s["p"]
@@ -271,6 +272,9 @@ def solve(panel: Panel, residuals: DataFrame, p: Projection, tolerance: float =
                 yield r["tile"], r["a"], r["b"], r["r"], r["p"], x.tobytes()
 
         both = staged(_streamed(state.join(moved, "tile"), T.StructType([*schema, T.StructField("x", BINARY)]), applied))
+        # What the step before wrote has been read.
+        unstage(last)
+        last = both
         s = sums_of(both, ("r", "p", "x"))
         live = (s["p", "x"] > 0) & (rr > tolerance * first)
         alpha = np.where(live, rr / np.where(live, s["p", "x"], 1.0), 0.0)

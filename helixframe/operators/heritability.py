@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import staged
+from ..sources.staging import scratch, staged
 from .blocks import Panel, _fields, _streamed, panel, product, sample_matrix, tile_gram
 from .factored import BINARY, Projection, _total, residual_tiles, solve, standardize, traces, variant_rows, vectors
 
@@ -50,6 +50,7 @@ def ratio(v0: float, v1: float) -> float:
     return v0 / (total + (1e-8 if total >= 0 else -1e-8))
 
 
+@scratch
 def mom(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``dim, h2`` by the method of moments for each trait column of ``design`` (``sample_id``, traits, covariates).
 
@@ -65,6 +66,7 @@ def mom(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], cova
     return _long(x.blocks.sparkSession, traits, {"h2": out})
 
 
+@scratch
 def mom_long(genotypes: DataFrame | Panel, traits: DataFrame, by: tuple[str, ...] = ("run", "epoch", "dim"), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``by, h2`` without covariates for traits in long form, ``sample_id, z`` and the columns of ``by``: any number at once.
 
@@ -102,6 +104,7 @@ def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> Dat
     return _long(kinship.sparkSession, traits, {"h2": [(row[z] - sums[z]) / (row["t2"] - sums["n"]) for z in traits]})
 
 
+@scratch
 def genetic_covariance(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], target: str, covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``dim, gamma, rho``: genetic covariance and score-overlap correlation of each trait with ``target``; W = [1 | C]. Traces as in ``mom``."""
     x, residuals, p = _prepare(genotypes, design.withColumn("_one", F.lit(1.0)), [*traits, target], ["_one", *covariates], "add")
@@ -113,6 +116,7 @@ def genetic_covariance(genotypes: DataFrame | Panel, design: DataFrame, traits:
     return _long(x.blocks.sparkSession, traits, {"gamma": num / det, "rho": rho})
 
 
+@scratch
 def genetic_matrices(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """G (genetic covariance components) and the projected correlation matrix of the traits; W = [1 | C]. Traces as in ``mom``.
 
@@ -150,6 +154,7 @@ def of_directions(g: np.ndarray, p: np.ndarray, directions: np.ndarray, ridge: f
     return np.einsum("ik,ij,jk->k", directions, g[:k, :k], directions) / np.einsum("ik,ij,jk->k", directions, whole, directions)
 
 
+@scratch
 def variance_explained(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], covariates: list[str]) -> DataFrame:
     """``dim, r2``: variance of the traits given covariates less what is left given genotypes; W = [1 | C].
 

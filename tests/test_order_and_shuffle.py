@@ -1,3 +1,4 @@
+import os
 import random
 import statistics
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import assembly, heritability, order_stats, shuffling
+from helixframe.sources import staging
 
 
 def test_medians_equal_the_plain_ones(spark):
@@ -78,3 +80,14 @@ def test_surrogate_is_the_dense_one(spark):
     want = -np.sum(weight[ids] * (yb - cov[ids] @ beta), 0)
     got = {r["dim"]: r["loss"] for r in heritability.surrogate_loss(s, table(y).where("sample_id % 3 = 0"), ["z0", "z1"]).collect()}
     assert [got[0], got[1]] == pytest.approx(list(want), abs=1e-7)
+
+
+def test_what_is_staged_goes(spark):
+    staging.staged(spark.range(1))
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    rng, before = np.random.default_rng(5), set(os.listdir(top))
+    dosage = spark.createDataFrame([(i, j, int(rng.integers(0, 3))) for i in range(20) for j in range(4)], "sample_id long, variant_idx int, x int")
+    design = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(20)], "sample_id long, z0 double, c0 double")
+    for f in (heritability.mom, heritability.variance_explained):
+        assert f(dosage, design, ["z0"], ["c0"]).count() == 1
+    assert set(os.listdir(top)) <= before
