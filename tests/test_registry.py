@@ -15,7 +15,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["variant_stats", "h2_mom", "association", "ldsc_rg", "cohort_split", "nearest_event", "log_parse", "incremental_state", "kinship_matrix", "h2_mom_epochs", "ldsc_rg_latents", "ldsc_gencov_annotations", "sumstats_of_state", "two_runs", "log_split_parse", "composite_loss"])
+@pytest.mark.parametrize("name", ["variant_stats", "h2_mom", "association", "ldsc_rg", "cohort_split", "nearest_event", "log_parse", "incremental_state", "kinship_matrix", "h2_mom_epochs", "ldsc_rg_latents", "ldsc_gencov_annotations", "sumstats_of_state", "two_runs", "log_split_parse", "composite_loss", "variance_explained", "readouts_of_state", "rg_of_state", "epoch_after", "ldsc_summary", "decoder_inputs", "ordered_reindex"])
 def test_same_rows_as_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
