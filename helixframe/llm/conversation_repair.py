@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WHITE, staged
-from .conversations import COLUMNS, in_order, in_tasks, partition
+from .conversations import in_order, in_tasks, partition
 
 DELETE, INSERT, KEEP, REROLE = range(4)
 #: In ASCII order, so that a lesser number is a lesser letter.
