@@ -187,18 +187,18 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
 
 
 def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, diff``.
+    """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, added, diff``.
 
     ``grouped`` holds texts ``b, blk, node, big, text``, sorted, the text of b first in each group of ``b, blk``: one set of b
     and one text of another member are in memory. For a pair with ``big`` b is the pivot of a long list; d is the size of the
-    difference of a and b, and ``diff`` the difference itself, unless they are far.
+    difference of a and b, and ``diff`` the difference itself, unless they are far: first the ``added`` tokens that only a has.
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
         T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.LongType()),
-        T.StructField("d", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
+        T.StructField("d", T.LongType()), T.StructField("added", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
     ])
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, y = None, None
@@ -223,9 +223,9 @@ def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num) and 2 * d > n + m
                 diff = ()
                 if big and not far and d:
-                    diff = np.setxor1d(x, y, True).view(np.int64)
-                rows.append((a, b, big, near, far, n, d, diff))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+                    diff = np.concatenate([np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)]).view(np.int64)
+                rows.append((a, b, big, near, far, n, d, n - inter, diff))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
 
     return grouped.mapInArrow(run, schema)
@@ -249,6 +249,11 @@ def _need(d: str, other: str, n: str, num: int, den: int) -> str:
     return f"greatest(0, ({d} + {other} - ({n} * {den - num}) div {num} + 1) div 2)"
 
 
+def _shared(num: int, den: int) -> str:
+    """Tokens that the differences of two linked members l and r share."""
+    return f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
+
+
 def _having(tokens: DataFrame, common: DataFrame) -> DataFrame:
     """Of ``b, node, n, d, need, token`` the tokens that are in ``common`` (``b, token, size``), of members that have ``need`` such
     tokens; their number is ``c``."""
@@ -287,7 +292,7 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
     for df, side in ((mids, "l"), (nears, "r")):
         first = df.join(common, ["b", "token"]).withColumn("at", at).where("at <= c - need")
         sides.append(first.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "d", "c", "at")]))
-    r = f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
+    r = _shared(num, den)
     met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= lc - {r} AND rat <= rc - {r}")
     pairs = staged(met.select(F.least("lnode", "rnode").alias("a"), F.greatest("lnode", "rnode").alias("b")).distinct())
     for used in old:
@@ -295,34 +300,62 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
     return pairs
 
 
-def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
-    """New lists ``key, node, n`` of members of a pivot's ball that are not near it, in which any two linked ones meet.
+def _differences_met(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of members of a pivot's ball that are not near it: pairs ``a, b``, and lists ``key, node, n``; any two linked ones are in one.
+
+    Let x and y differ from the pivot by ``added`` tokens that it lacks and by ``gone`` tokens that they lack. |x ^ y| is at
+    least the sum of their ``added``, less twice the added ones they share, and the difference of their ``gone``; if they are
+    linked it is (n + m)(den - num) / (den + num) at most. So where their ``excess`` (added - n (den - num) / (den + num)) adds
+    up to more than 0, they share added tokens, half of that at least, and meet by those. Edits that others do not have count for nothing.
+    The other pairs, of texts shorter than the pivot, meet by any tokens of the differences.
+    """
+    both = den + num
+    mid = found.where("big AND NOT far AND NOT near").select("b", F.col("a").alias("node"), "n", "d", "added", (F.col("d") - F.col("added")).alias("gone"), F.expr(f"added * {both} - n * {den - num}").alias("excess"), "diff")
+    mid = mid.join(mid.groupBy("b").agg(F.min("d").alias("least"), F.min("excess").alias("low"), F.max("excess").alias("high")), "b")
+    kept = ["b", "node", "n", "d", "gone", "excess", "need"]
+    more = mid.where("excess + high > 0").withColumn("need", F.expr(f"greatest(1, (excess + low + {2 * both - 1}) div {2 * both})"))
+    more = more.select(*kept, F.explode(F.slice("diff", F.lit(1), F.col("added").cast("int"))).alias("token"))
+    shared = f"greatest(1, (lexcess + rexcess + {both} * abs(lgone - rgone) + {2 * both - 1}) div {2 * both})"
+    # num / (den + num) of each, since neither is near the pivot, and more if both are far from it.
+    need = F.expr(f"greatest(1, (d * {num} + {both - 1}) div {both}, {_need('d', 'least', 'n', num, den)})")
+    rest = mid.where("excess + low <= 0").withColumn("need", need).select(*kept, F.explode("diff").alias("token"))
+    ways = [_meeting(more, "lexcess + rexcess > 0", shared, num, den), _meeting(rest, "lexcess + rexcess <= 0", _shared(num, den), num, den)]
+    pairs = staged(ways[0][0].union(ways[1][0]).distinct())
+    lists = staged(ways[0][1].union(ways[1][1].withColumn("key", F.xxhash64("key"))))
+    for _, _, used in ways:
+        unstage(used)
+    return pairs, lists
+
+
+def _meeting(tokens: DataFrame, which: str, shared: str, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs and lists, in which any two members of one b meet that are linked, ``which`` of them share so many tokens as
+    ``shared`` says, and the staged table that both read.
 
-    Linked members share at least ``need`` tokens of their differences: num / (den + num) of each, since neither is near the
-    pivot, and more if both are far from it. Those that have fewer than that in common with all
-    others of the ball together are linked with none of them (edits that others do not have count for nothing), which
-    leaves few. The rest meet by the rarest tokens of the ball in their differences. Where a list is long it is
-    split by a second token. Copies of another text are linked through a pivot of their own in a later round.
+    A member shares its ``need`` with any other. Those that have fewer in common with all others of the ball together are linked
+    with none of them. The rest meet by the rarest tokens of the ball in their differences: lists of up to ``LATE`` give pairs, by the
+    number that this pair must share, and longer ones are split by a second token. Copies of another text are linked through a
+    pivot of their own in a later round.
     """
-    mid = found.where("big AND NOT far AND NOT near")
-    mid = mid.join(mid.groupBy("b").agg(F.min("d").alias("least")), "b")
-    need = F.expr(f"greatest(1, (d * {num} + {den + num - 1}) div {den + num}, {_need('d', 'least', 'n', num, den)})")
-    tokens = mid.select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
     old = []
     for _ in range(2):
         old.append(staged(tokens))
         tokens = _having(old[-1], _sizes(old[-1], 2))
     at = F.row_number().over(Window.partitionBy("b", "node").orderBy("size", "token")) - 1
     # Of c tokens, two members that share s have one in common among their first c - s + 1, and two among the first c - s + 2.
-    ranked = staged(tokens.withColumn("at", at).where("at < c - need + 2").select("b", "token", "node", "n", "need", (F.col("at") < F.col("c") - F.col("need") + 1).alias("first")))
+    ranked = staged(tokens.withColumn("at", at).where("at < c - need + 2").drop("size"))
     for used in old:
         unstage(used)
-    sized = ranked.where("first").join(ranked.where("first").groupBy("b", "token").agg(F.count("*").alias("size")).where("size > 1"), ["b", "token"])
+    first = ranked.where("at < c - need + 1")
+    sized = first.join(first.groupBy("b", "token").agg(F.count("*").alias("size")).where("size > 1"), ["b", "token"])
+    sides = [sized.where(F.col("size") <= LATE).select("b", "token", *[F.col(c).alias(side + c) for c in ("node", "n", "d", "gone", "excess", "c", "at")]) for side in "lr"]
+    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"lnode < rnode AND {which} AND {_alike('ln', 'rn', num, den)} AND lat <= lc - {shared} AND rat <= rc - {shared}")
+    pairs = met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b")).distinct()
+    long = sized.where(F.col("size") > LATE)
     # Members that need one token only may share no second one.
-    few = sized.where((F.col("size") <= DIRECT) | (F.col("need") == 1)).select(F.xxhash64("b", "token").alias("key"), "node", "n")
-    second = ranked.select("b", "node", F.col("token").alias("other"))
-    two = sized.where(F.col("size") > DIRECT).join(second, ["b", "node"]).where("token <> other")
-    return few.union(two.select(F.xxhash64("b", F.least("token", "other"), F.greatest("token", "other")).alias("key"), "node", "n").distinct())
+    one = long.where("need = 1").select(F.xxhash64("b", "token").alias("key"), "node", "n")
+    two = long.join(ranked.select("b", "node", F.col("token").alias("other")), ["b", "node"]).where("token <> other")
+    two = two.select(F.xxhash64("b", F.least("token", "other"), F.greatest("token", "other")).alias("key"), "node", "n").distinct()
+    return pairs, one.union(two), ranked
 
 
 def _split_lists(long: DataFrame, lists: DataFrame) -> DataFrame:
@@ -442,7 +475,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             pairs = _difference_pairs(found, num, den)
             kept.append(pairs)
             more = pairs if more is None else more.union(pairs)
-            parts.append(_difference_lists(found, num, den))
+            pairs, longer = _differences_met(found, num, den)
+            kept += [pairs, longer]
+            more = more.union(pairs)
+            parts.append(longer)
         if k + 1 >= ROUNDS:
             hard = stays.where("level = 1")
             stays = stays.where("level > 1")

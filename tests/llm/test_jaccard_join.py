@@ -73,6 +73,38 @@ def test_long_lists_lose_no_link(spark, family, monkeypatch, direct, rounds):
     assert run(df, 3, 90, 100) == brute(family, 3, 90, 100)
 
 
+def test_copies_edited_apart_make_few_list_rows(spark, monkeypatch):
+    """Copies that lost lines of their text, some with words replaced, some copied again: most are neither near nor far."""
+    rng = random.Random(8)
+    lines = [[str(rng.randint(0, 10**6)) for _ in range(12)] for _ in range(12)]
+    rows = [(0, " ".join(w for line in lines for w in line))]
+    while len(rows) < 150:
+        if len(rows) > 40 and rng.random() < 0.3:
+            w = rng.choice(rows)[1].split()
+            edits = rng.choice([0, 1, 2, 3])
+        else:
+            gone = set(rng.sample(range(12), rng.choice([1, 2, 3])))
+            w = [x for k, line in enumerate(lines) if k not in gone for x in line]
+            edits = rng.choice([0, 2, 4, 6])
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = str(rng.randint(0, 10**6)) if rng.random() < 0.7 else "again"
+        rows.append((len(rows), " ".join(w)))
+    made, plain = {}, J.staged
+
+    def counted(df):
+        out = plain(df)
+        for kind in ("more", "central"):
+            if kind in out.columns:
+                made[kind] = max(made.get(kind, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "staged", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(df, 5, 80, 100) == brute(rows, 5, 80, 100)
+    # The lists that are paired in the end, and the largest table of lists on the way.
+    assert max(made.values()) <= 4000, made
+
+
 def test_a_very_long_text_in_a_long_list(spark, monkeypatch):
     """Sizes times products of the threshold pass 2 ** 31 in the size test of a list's pivot."""
     monkeypatch.setattr(J, "DIRECT", 2)
