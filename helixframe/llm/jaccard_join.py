@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,10 @@ SKETCH_BITS = (18, 22)
 MOST_MATCHES = 4
 #: Token lists up to this length are paired directly; longer ones through pivots.
 DIRECT = 32
-#: Lists of one token that are still long after this many rounds of pivots are split by a second token.
+#: Sets of a long list that are compared as one block, and columns of a block that are multiplied at once.
+SETS, COLUMNS = 256, 4096
+#: How often sets that share too little with all others of their blocks are looked for, before blocks are multiplied.
 ROUNDS = 2
-#: From then on, lists up to this length are paired directly: few are left, and each member has that many pairs at most.
-LATE = 256
 #: Up to this many ids of texts are broadcast, more are shuffled.
 BROADCAST_IDS = 300_000
 #: Texts that are compared with one pivot in one group.
@@ -119,8 +118,14 @@ class _Order:
 
 
 def sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
-    """Counters of all shingles of all documents: ``2 ** bits`` numbers, the only thing the driver gets, as Arrow."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+    """Counters of all shingles of all documents: ``2 ** bits`` numbers, the only thing the driver gets, as Arrow.
+
+    A task sends its counters as blocks of bytes, not a row each: their number is tasks times counters, which both grow.
+    """
+    schema, wide = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("shift", T.IntegerType()), T.StructField("n", T.BinaryType())]), 1 << min(bits, 16)
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -131,22 +136,31 @@ def sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     np.add.at(total, at, 1)
                 else:
                     total += np.bincount(at, minlength=len(total))
-        used = np.nonzero(total)[0]
-        for k in range(0, len(used), 50_000):
-            part = used[k: k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
-
-    got = docs.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.uint32)
-    out[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 32) - 1)
-    return out
+        # Blocks of counters, a byte of each counter at a time: a task's counters are small, and most have one byte.
+        for block, part in enumerate(total.reshape(-1, wide)):
+            for shift in range(0, int(part.max()).bit_length(), 8):
+                yield rows([(block, shift, (part >> shift & 255).astype(np.uint8).tobytes())])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, shift, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = totals.setdefault(block, np.zeros(wide, np.int64))
+                total += np.frombuffer(n, np.uint8).astype(np.int64) << shift
+        for block, total in totals.items():
+            yield rows([(block, 0, np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes())])
+
+    got = docs.select("text").mapInArrow(run, schema).repartition("block").mapInArrow(added, schema).toArrow()
+    out = np.zeros((1 << bits) // wide * wide, np.uint32).reshape(-1, wide)
+    for block, n in zip(got.column("block").to_pylist(), got.column("n").to_pylist(), strict=True):
+        out[block] = np.frombuffer(n, np.uint32)
+    return out.reshape(-1)
 
 
 def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
     """Per row: ``doc_id, th, s1, s2, n, l, tokens``; equal shingle sets have equal ``s1, s2``, 128 bits of a hash of the set.
 
-    Sizes n, and d later, are bigint: the size tests multiply them by products of num and den. One token more than l asks
-    for is carried, for lists that are split by a second token.
+    Sizes n, and d later, are bigint: the size tests multiply them by products of num and den.
     """
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
@@ -174,7 +188,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
                 ranked, f = order.sorted(s)
                 length, l = _plan_prefix(ranked, f, num, den)
                 ls.append(l)
-                tokens.append(ranked[: length + (l == 1)].view(np.int64))
+                tokens.append(ranked[:length].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()),
@@ -187,18 +201,18 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
 
 
 def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, added, diff``.
+    """Compare the full sets of each pair ``a, b``: ``a, b, big, near, far, n, d, diff``.
 
     ``grouped`` holds texts ``b, blk, node, big, text``, sorted, the text of b first in each group of ``b, blk``: one set of b
     and one text of another member are in memory. For a pair with ``big`` b is the pivot of a long list; d is the size of the
-    difference of a and b, and ``diff`` the difference itself, unless they are far: first the ``added`` tokens that only a has.
+    difference of a and b, and ``diff`` the difference itself, unless they are far.
     """
     schema = T.StructType([
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("big", T.BooleanType()),
         T.StructField("near", T.BooleanType()), T.StructField("far", T.BooleanType()), T.StructField("n", T.LongType()),
-        T.StructField("d", T.LongType()), T.StructField("added", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
+        T.StructField("d", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType())),
     ])
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, y = None, None
@@ -223,9 +237,9 @@ def _verified(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 far = d * (den + num) * num > (den - num) * (n * num + 2 * n * den + m * num) and 2 * d > n + m
                 diff = ()
                 if big and not far and d:
-                    diff = np.concatenate([np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)]).view(np.int64)
-                rows.append((a, b, big, near, far, n, d, n - inter, diff))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+                    diff = np.setxor1d(x, y, True).view(np.int64)
+                rows.append((a, b, big, near, far, n, d, diff))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
 
     return grouped.mapInArrow(run, schema)
@@ -249,29 +263,19 @@ def _need(d: str, other: str, n: str, num: int, den: int) -> str:
     return f"greatest(0, ({d} + {other} - ({n} * {den - num}) div {num} + 1) div 2)"
 
 
-def _shared(num: int, den: int) -> str:
-    """Tokens that the differences of two linked members l and r share."""
-    return f"((ld + rd - ((ln + rn) * {den - num}) div {den + num} + 1) div 2)"
-
-
-def _having(tokens: DataFrame, common: DataFrame) -> DataFrame:
-    """Of ``b, node, n, d, need, token`` the tokens that are in ``common`` (``b, token, size``), of members that have ``need`` such
-    tokens; their number is ``c``."""
-    met = tokens.drop("size", "c").join(common, ["b", "token"])
+def _having(tokens: DataFrame, others: DataFrame) -> DataFrame:
+    """Of ``b, node, need, token`` the tokens that ``others`` of the same b have, of members that have ``need`` such tokens."""
+    met = tokens.join(others.select("b", "token").distinct(), ["b", "token"], "left_semi")
     # One member's difference at a time.
-    return met.withColumn("c", F.count("*").over(Window.partitionBy("b", "node"))).where("c >= need")
-
+    return met.withColumn("c", F.count("*").over(Window.partitionBy("b", "node"))).where("c >= need").drop("c")
 
-def _sizes(tokens: DataFrame, least: int) -> DataFrame:
-    return tokens.groupBy("b", "token").agg(F.count("*").alias("size")).where(F.col("size") >= least)
 
-
-def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of a member near a long list's pivot and one that is not, from their differences to the pivot.
+def _across(found: DataFrame, num: int, den: int) -> DataFrame:
+    """``b, node, near``: members near a long list's pivot and others that may be linked with each other, from their differences to it.
 
     Near members are linked through the pivot, and far ones with none of them. A member that is not near shares at
     least one token of its difference with a linked near one. Each side keeps the members that have enough tokens in common
-    with the other side as a whole, twice, and the rest is paired by prefixes of the rarest tokens.
+    with the other side as a whole, twice.
     """
     ball = found.where("big AND NOT far")
     mid, near = ball.where("NOT near"), ball.where("near")
@@ -279,102 +283,103 @@ def _difference_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
 
     def tokens(side: DataFrame, least: str) -> DataFrame:
         need = F.expr(f"greatest(1, {_need('d', least, 'n', num, den)})")
-        return side.join(bounds, "b").select("b", F.col("a").alias("node"), "n", "d", need.alias("need"), F.explode("diff").alias("token"))
+        return side.join(bounds, "b").select("b", F.col("a").alias("node"), need.alias("need"), F.explode("diff").alias("token"))
 
     mids, nears, old = tokens(mid, "least_near"), tokens(near, "least_mid"), []
     for _ in range(2):
-        nears = staged(_having(nears, _sizes(mids, 1)))
-        mids = staged(_having(mids, _sizes(nears, 1)))
+        nears = staged(_having(nears, mids))
+        mids = staged(_having(mids, nears))
         old += [nears, mids]
-    common = _sizes(nears, 1).withColumnRenamed("size", "order")
-    at = F.row_number().over(Window.partitionBy("b", "node").orderBy("order", "token")) - 1
-    sides = []
-    for df, side in ((mids, "l"), (nears, "r")):
-        first = df.join(common, ["b", "token"]).withColumn("at", at).where("at <= c - need")
-        sides.append(first.select("b", "token", *[F.col(c).alias(f"{side}{c}") for c in ("node", "n", "d", "c", "at")]))
-    r = _shared(num, den)
-    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"{_alike('ln', 'rn', num, den)} AND lat <= lc - {r} AND rat <= rc - {r}")
-    pairs = staged(met.select(F.least("lnode", "rnode").alias("a"), F.greatest("lnode", "rnode").alias("b")).distinct())
+    left = staged(nears.select("b", "node", F.lit(True).alias("near")).union(mids.select("b", "node", F.lit(False))).distinct())
     for used in old:
         unstage(used)
-    return pairs
+    return left
 
 
-def _differences_met(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of members of a pivot's ball that are not near it: pairs ``a, b``, and lists ``key, node, n``; any two linked ones are in one.
+def _linked(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    """Which sets of x, or of x and y, are linked: a matrix of booleans, from the numbers of tokens that they share.
 
-    Let x and y differ from the pivot by ``added`` tokens that it lacks and by ``gone`` tokens that they lack. |x ^ y| is at
-    least the sum of their ``added``, less twice the added ones they share, and the difference of their ``gone``; if they are
-    linked it is (n + m)(den - num) / (den + num) at most. So where their ``excess`` (added - n (den - num) / (den + num)) adds
-    up to more than 0, they share added tokens, half of that at least, and meet by those. Edits that others do not have count for nothing.
-    The other pairs, of texts shorter than the pivot, meet by any tokens of the differences.
+    A set that shares less than num / den of its tokens with all others together is linked with none of them and left out.
     """
-    both = den + num
-    mid = found.where("big AND NOT far AND NOT near").select("b", F.col("a").alias("node"), "n", "d", "added", (F.col("d") - F.col("added")).alias("gone"), F.expr(f"added * {both} - n * {den - num}").alias("excess"), "diff")
-    mid = mid.join(mid.groupBy("b").agg(F.min("d").alias("least"), F.min("excess").alias("low"), F.max("excess").alias("high")), "b")
-    kept = ["b", "node", "n", "d", "gone", "excess", "need"]
-    more = mid.where("excess + high > 0").withColumn("need", F.expr(f"greatest(1, (excess + low + {2 * both - 1}) div {2 * both})"))
-    more = more.select(*kept, F.explode(F.slice("diff", F.lit(1), F.col("added").cast("int"))).alias("token"))
-    shared = f"greatest(1, (lexcess + rexcess + {both} * abs(lgone - rgone) + {2 * both - 1}) div {2 * both})"
-    # num / (den + num) of each, since neither is near the pivot, and more if both are far from it.
-    need = F.expr(f"greatest(1, (d * {num} + {both - 1}) div {both}, {_need('d', 'least', 'n', num, den)})")
-    rest = mid.where("excess + low <= 0").withColumn("need", need).select(*kept, F.explode("diff").alias("token"))
-    ways = [_meeting(more, "lexcess + rexcess > 0", shared, num, den), _meeting(rest, "lexcess + rexcess <= 0", _shared(num, den), num, den)]
-    pairs = staged(ways[0][0].union(ways[1][0]).distinct())
-    lists = staged(ways[0][1].union(ways[1][1].withColumn("key", F.xxhash64("key"))))
-    for _, _, used in ways:
-        unstage(used)
-    return pairs, lists
+    sets = x + (y or [])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    inside = np.ones(len(tokens), bool)
+    for _ in range(ROUNDS):
+        _, column, count = np.unique(tokens[inside], return_inverse=True, return_counts=True)
+        owners = owner[inside]
+        live = np.bincount(owners, count[column] > 1, len(sets)) * den >= sizes * num
+        inside[inside] = (count[column] > 1) & live[owners]
+    kept = np.flatnonzero(np.bincount(owner[inside], minlength=len(sets)))
+    row, column = np.searchsorted(kept, owner[inside]), np.unique(tokens[inside], return_inverse=True)[1]
+    cut = np.searchsorted(kept, len(x)) if y is not None else len(kept)
+    shared = np.zeros((cut, len(kept) - cut if y is not None else cut), np.float32)
+    by_column = np.argsort(column, kind="stable")
+    row, column = row[by_column], column[by_column]
+    # Numbers up to 2 ** 24 are exact.
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        has = np.zeros((len(kept), COLUMNS), np.float32)
+        has[row[part], column[part] - lo] = 1
+        shared += has[:cut] @ (has[cut:] if y is not None else has).T
+    left, right = kept[:cut], kept[cut:] if y is not None else kept
+    inter = shared.astype(np.int64)
+    found = den * inter >= num * (sizes[left][:, None] + sizes[right][None, :] - inter)
+    out = np.zeros((len(x), len(sets) - len(x) if y is not None else len(x)), bool)
+    out[np.ix_(left, right - (len(x) if y is not None else 0))] = found
+    return out
 
 
-def _meeting(tokens: DataFrame, which: str, shared: str, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs and lists, in which any two members of one b meet that are linked, ``which`` of them share so many tokens as
-    ``shared`` says, and the staged table that both read.
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what a symmetric matrix links, one less than there are members in each component."""
+    left, edges = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(linked[at] & left).tolist()
+            left[new] = False
+            edges += [(at, k) for k in new]
+            todo += new
+    return edges
 
-    A member shares its ``need`` with any other. Those that have fewer in common with all others of the ball together are linked
-    with none of them. The rest meet by the rarest tokens of the ball in their differences: lists of up to ``LATE`` give pairs, by the
-    number that this pair must share, and longer ones are split by a second token. Copies of another text are linked through a
-    pivot of their own in a later round.
-    """
-    old = []
-    for _ in range(2):
-        old.append(staged(tokens))
-        tokens = _having(old[-1], _sizes(old[-1], 2))
-    at = F.row_number().over(Window.partitionBy("b", "node").orderBy("size", "token")) - 1
-    # Of c tokens, two members that share s have one in common among their first c - s + 1, and two among the first c - s + 2.
-    ranked = staged(tokens.withColumn("at", at).where("at < c - need + 2").drop("size"))
-    for used in old:
-        unstage(used)
-    first = ranked.where("at < c - need + 1")
-    sized = first.join(first.groupBy("b", "token").agg(F.count("*").alias("size")).where("size > 1"), ["b", "token"])
-    sides = [sized.where(F.col("size") <= LATE).select("b", "token", *[F.col(c).alias(side + c) for c in ("node", "n", "d", "gone", "excess", "c", "at")]) for side in "lr"]
-    met = sides[0].join(sides[1].hint("merge"), ["b", "token"]).where(f"lnode < rnode AND {which} AND {_alike('ln', 'rn', num, den)} AND lat <= lc - {shared} AND rat <= rc - {shared}")
-    pairs = met.select(F.col("lnode").alias("a"), F.col("rnode").alias("b")).distinct()
-    long = sized.where(F.col("size") > LATE)
-    # Members that need one token only may share no second one.
-    one = long.where("need = 1").select(F.xxhash64("b", "token").alias("key"), "node", "n")
-    two = long.join(ranked.select("b", "node", F.col("token").alias("other")), ["b", "node"]).where("token <> other")
-    two = two.select(F.xxhash64("b", F.least("token", "other"), F.greatest("token", "other")).alias("key"), "node", "n").distinct()
-    return pairs, one.union(two), ranked
-
-
-def _split_lists(long: DataFrame, lists: DataFrame) -> DataFrame:
-    """Lists ``key, node, n`` of two tokens each, of the members of long lists of one token.
-
-    Linked sets share a token of layer 1, which the long list is of, and another one of layers 1 and 2, so any two of its
-    linked members meet again by both.
+
+def _links_of_blocks(grouped: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` that join what is linked in each pair of blocks of sets.
+
+    ``grouped`` holds texts ``b, i, j, blk, node, text``, sorted: of group b those of block i, and of block j unless it is i.
+    The sets of two blocks are in memory.
     """
-    other = lists.where("layer <= 2").select("node", F.col("key").alias("other"))
-    both = long.select("key", "node", "n").join(other, "node").where("key <> other")
-    return both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n").distinct()
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def links(key: tuple, blocks: tuple) -> pa.RecordBatch:
+        (left, x), (right, y) = blocks
+        if key[1] == key[2]:
+            edges = [(left[k], left[m]) for k, m in _forest(_linked(x, None, num, den))]
+        else:
+            nodes, met = left + right, _linked(x, y, num, den) if x and y else np.zeros((len(x), len(y)), bool)
+            square = np.zeros((len(nodes), len(nodes)), bool)
+            square[: len(x), len(x):], square[len(x):, : len(x)] = met, met.T
+            edges = [(nodes[k], nodes[m]) for k, m in _forest(square)]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, None
+        for batch in batches:
+            for b, i, j, blk, node, text in zip(*(batch.column(c) for c in ("b", "i", "j", "blk", "node", "text")), strict=True):
+                key, blk = (b.as_py(), i.as_py(), j.as_py()), blk.as_py()
+                if key != now:
+                    if now is not None:
+                        yield links(now, blocks)
+                    now, blocks = key, (([], []), ([], []))
+                nodes, sets = blocks[int(blk != key[1])]
+                nodes.append(node.as_py())
+                sets.append(shingles(text.as_py(), words))
+        if now is not None:
+            yield links(now, blocks)
 
-def _as_lists(rows: DataFrame) -> DataFrame:
-    """Lists in which one shared key asks for a comparison; those of one member are left out."""
-    rows = staged(rows)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    central = F.count("*").over(Window.partitionBy("node")).cast("double")
-    return rows.join(sizes, "key").select("key", "node", "n", F.lit(1).alias("l"), F.lit(1).alias("layer"), F.lit(0).alias("pos"), "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(2).alias("level"), F.lit(True).alias("leads"))
+    return grouped.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -390,10 +395,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Equal sets are merged first. Each set's rarest tokens are its prefix, longer where candidates are estimated to
     be many, and then more tokens must match. Every token list is linked through a pivot, the member with the largest
     share of its prefix in lists (of a family of edited copies, the text they were made from): each member is compared with
-    one of the list, so a group of copies costs as many comparisons as it has members. Then what may still link different
-    components is compared: all pairs of short lists that share enough prefix tokens, and of long lists those
-    whose differences to the pivot agree. Lists that stay long are split by a second token, and get pivots until they
-    are short. No list, component or set of links is ever in one task or on the driver.
+    one of the list, so a group of copies costs as many comparisons as it has members. Of a long list, members that are not near the
+    pivot are then compared with each other, and with those near members that their differences to the pivot allow, as products
+    of blocks of sets: in a family of copies edited apart most share most tokens with most others, so lists of tokens tell
+    little there. Last, all pairs of short lists that share enough prefix tokens and may link different components are
+    compared. No list, component or set of links is ever in one task or on the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -410,8 +416,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split.
     shared_keys = staged(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     central = F.count("*").over(Window.partitionBy("node")) / F.col("long")
-    # Bit k of mids: in round k the member was neither near nor far of the list's pivot.
-    lists = staged(entries.join(shared_keys, "key").select("key", "node", "n", "l", "layer", "pos", "size", central.alias("central"), F.lit(0).alias("mids"), F.lit(1).alias("level"), F.lit(True).alias("leads")))
+    lists = staged(entries.join(shared_keys, "key").select("key", "node", "n", "l", "layer", "pos", "size", central.alias("central")))
     # Tokens are not needed again: only narrow tables stay on disk.
     nodes, slim = staged(fat.drop("tokens")), staged(rows.drop("tokens"))
     for used in (fat, rows, shared_keys):
@@ -421,77 +426,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     texts = docs.where("doc_id IS NOT NULL").withColumn("th", F.xxhash64("text"))
     kept: list[DataFrame] = []
 
+    def with_texts(dealt: DataFrame) -> DataFrame:
+        wanted = staged(dealt.join(nodes.select("node", "of.*"), "node"))
+        kept.append(wanted)
+        few = wanted.count() <= BROADCAST_IDS
+        # Few ids are broadcast, so that texts are filtered where they are read; more are joined by a shuffle.
+        got = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select(*dealt.columns, "text")
+        return got.dropDuplicates(dealt.columns) if repeated else got
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs.select("a", "b", "big"))
         # A pivot's text goes once to each group of about BLOCK members, so a hot pivot is many groups.
         blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
         dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("blk"), F.col("a").alias("node"), "big")
         dealt = dealt.union(dealt.select("b", "blk", F.col("b"), F.lit(False)).distinct())
-        wanted = staged(dealt.join(nodes.select("node", "of.*"), "node"))
-        few = wanted.count() <= BROADCAST_IDS
-        # Few ids are broadcast, so that texts are filtered where they are read; more are joined by a shuffle.
-        got = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("b", "blk", "node", "big", "text")
-        if repeated:
-            got = got.dropDuplicates(["b", "blk", "node"])
-        got = got.repartition("b", "blk").sortWithinPartitions("b", "blk", F.col("node") != F.col("b"))
+        got = with_texts(dealt).repartition("b", "blk").sortWithinPartitions("b", "blk", F.col("node") != F.col("b"))
         done = staged(_verified(got, words, num, den))
         kept.append(done)
         unstage(pairs)
-        unstage(wanted)
+        unstage(kept[-2])
         return done
 
-    columns = lists.columns
+    def all_pairs(groups: DataFrame, across: bool) -> DataFrame:
+        """Links within groups ``b, node, near``, or across the two sides of each: every two blocks meet in one place."""
+        kept.append(staged(groups))
+        sizes = kept[-1].groupBy("b").agg(*[F.ceil(F.count_if(side) / SETS).cast("int").alias(k) for k, side in (("k", ~F.col("near")), ("k_near", F.col("near")))])
+        dealt = kept[-1].join(sizes, "b").withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("k_near")).otherwise(F.col("k"))).cast("int"))
+        if across:
+            # Near blocks have negative numbers.
+            meets = F.when(F.col("near"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.transform(F.sequence(F.lit(1), F.col("k_near")), lambda x: -x))
+            dealt = dealt.where("k > 0 AND k_near > 0").withColumn("blk", F.when(F.col("near"), -1 - F.col("blk")).otherwise(F.col("blk")))
+        else:
+            meets = F.sequence(F.lit(0), F.col("k") - 1)
+        dealt = dealt.withColumn("other", F.explode(meets))
+        dealt = dealt.select("b", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node")
+        got = with_texts(dealt).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "blk")
+        kept.append(staged(_links_of_blocks(got, words, num, den)))
+        return kept[-1]
+
     # Linked sets share a token of layer 1; if its list is long, they are found there, else among short lists, by as many
     # shared tokens as the smaller l asks for.
     wide = F.col("size") > DIRECT
-    start = lists.where(F.when(wide, F.col("layer") == 1).otherwise(F.col("layer") <= F.col("l")))
-    links, more, open_, direct, k = None, None, start, start.where(~wide), 0
-    while True:
-        first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "l", "layer", "pos")).alias("p")
-        pivots = staged(open_.groupBy("key").agg(first, F.count("*").alias("now")))
-        kept.append(pivots)
-        star = open_.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), F.col("p.pos").alias("ppos"), "now"), "key").withColumn("big", F.col("now") > DIRECT)
-        reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num}) OR 2 * abs(n - pn) <= n + pn"
-        star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl) AND " + _reaches("", "p", "", num, den))))
-        found = verify(star.where("meets AND node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("big").alias("big")))
-        near = found.where("near").select("a", "b")
-        links = near if links is None else links.union(near)
-        if star.where("big").isEmpty():
-            break
-        known = found.where("big").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "near", "far")
-        judged = star.where("big AND node <> pivot").join(known, ["node", "pivot"], "left")
-        judged = judged.where("NOT coalesce(near, false)").withColumn("far", F.coalesce("far", F.lit(True)))
-        judged = judged.withColumn("leads", F.col("far"))
-        judged = judged.withColumn("mids", F.when(F.col("far") | F.lit(k > 30), F.col("mids")).otherwise(F.col("mids").bitwiseOR(F.lit(1 << min(k, 30)))))
-        # Only far members have pairs left, with each other and with the rest: few of them are paired with all.
-        again = judged.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("far").cast("int")).alias("n_far")).where("n_far > 0 AND size > 1")
-        left = staged(judged.drop("size").join(again, "key").select(*columns, "n_far"))
-        kept.append(left)
-        last = LATE if k + 1 >= ROUNDS else DIRECT
-        done = (F.col("size") <= last) | (F.col("n_far") <= DIRECT // 2)
-        short, stays = left.where(done).drop("n_far"), left.where(~done).drop("n_far")
-        parts = []
+    direct = lists.where(~wide & (F.col("layer") <= F.col("l")))
+    start = direct.union(lists.where(wide & (F.col("layer") == 1)))
+    first = F.min(F.struct((-F.col("central")).alias("c"), F.xxhash64("node").alias("h"), "node", "n", "l", "layer", "pos")).alias("p")
+    pivots = staged(start.groupBy("key").agg(first))
+    kept.append(pivots)
+    star = start.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"), F.col("p.layer").alias("player"), F.col("p.pos").alias("ppos")), "key").withColumn("big", wide)
+    reach = f"abs(n - pn) * {(den + num) * num} <= {den - num} * (n * {num + 2 * den} + pn * {num}) OR 2 * abs(n - pn) <= n + pn"
+    star = star.withColumn("meets", F.when(F.col("big"), F.expr(reach)).otherwise(F.expr(_alike("n", "pn", num, den) + " AND greatest(layer, player) <= least(l, pl) AND " + _reaches("", "p", "", num, den))))
+    found = verify(star.where("meets AND node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("big").alias("big")))
+    links = found.where("near").select("a", "b")
+    others = star.where("big AND node <> pivot").select(F.col("pivot").alias("b"), "node").distinct().join(found.where("near").select("b", F.col("a").alias("node")), ["b", "node"], "left_anti")
+    if not others.isEmpty():
+        # Near members are linked through the pivot, and far ones with none of them.
+        links = links.union(all_pairs(others.withColumn("near", F.lit(False)), False))
         if not found.where("big AND NOT far AND NOT near").isEmpty():
-            pairs = _difference_pairs(found, num, den)
-            kept.append(pairs)
-            more = pairs if more is None else more.union(pairs)
-            pairs, longer = _differences_met(found, num, den)
-            kept += [pairs, longer]
-            more = more.union(pairs)
-            parts.append(longer)
-        if k + 1 >= ROUNDS:
-            hard = stays.where("level = 1")
-            stays = stays.where("level > 1")
-            if not hard.isEmpty():
-                parts.append(_split_lists(hard, lists))
-        direct, open_ = direct.union(short), stays
-        if parts:
-            new = staged(_as_lists(reduce(DataFrame.union, parts)))
-            kept.append(new)
-            direct, open_ = direct.union(new.where(F.col("size") <= last)), open_.union(new.where(F.col("size") > last))
-        k += 1
-        if open_.isEmpty():
-            break
+            kept.append(_across(found, num, den))
+            links = links.union(all_pairs(kept[-1], True))
 
     labels = connected_components(links)
     # Tokens that a member may also share in long lists, which are not paired here.
@@ -499,21 +491,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     direct = direct.join(labels, "node", "left").join(long_lists, "node", "left")
     direct = staged(direct.withColumns({"label": F.coalesce("label", "node"), "more": F.coalesce("more", F.lit(0))}))
     kept.append(direct)
-    sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "pos", "label", "mids", "leads", "more")]) for side in "lr"]
-    met = sides[0].where("l_leads").join(sides[1], "key").where(
-        f"(NOT r_leads OR l_node < r_node) AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)"
-        # Two members in one pivot's ball have been compared through their differences.
-        " AND (l_mids & r_mids) = 0"
-    )
+    sides = [direct.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "l", "layer", "pos", "label", "more")]) for side in "lr"]
+    met = sides[0].join(sides[1], "key").where(f"l_node < r_node AND l_label <> r_label AND {_alike('l_n', 'r_n', num, den)} AND greatest(l_layer, r_layer) <= least(l_l, r_l)")
     pair = [F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")]
     # The first token that a linked pair shares here has all the others behind it, but for those in long lists.
     first = F.max(F.expr(_reaches("l_", "r_", "least(l_more, r_more)", num, den))).alias("reaches")
     met = met.groupBy(*pair).agg(F.countDistinct("key").alias("shared"), F.min(F.least("l_l", "r_l")).alias("asked"), F.min(F.least("l_more", "r_more")).alias("elsewhere"), first)
     enough = met.where("reaches AND shared + elsewhere >= asked").select("a", "b")
-    if more is not None:
-        la, lb = labels.withColumnsRenamed({"node": "a", "label": "x"}), labels.withColumnsRenamed({"node": "b", "label": "y"})
-        more = more.join(la, "a", "left").join(lb, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-        enough = enough.union(more).distinct()
     late = verify(enough.withColumn("big", F.lit(False))).where("near").select("a", "b")
     if not late.isEmpty():
         labels = connected_components(links.union(late))

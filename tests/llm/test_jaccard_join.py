@@ -105,6 +105,49 @@ def test_copies_edited_apart_make_few_list_rows(spark, monkeypatch):
     assert max(made.values()) <= 4000, made
 
 
+def test_members_of_a_family_are_not_paired_by_tokens(spark, monkeypatch):
+    """Copies edited apart that all share most tokens: few pairs are left to verify one by one, in many small blocks too."""
+    rng = random.Random(11)
+    base = [str(rng.randint(0, 10**6)) for _ in range(120)]
+    head = [str(rng.randint(0, 10**6)) for _ in range(30)]
+    family = []
+    while len(family) < 240:
+        w = list(rng.choice(family)) if len(family) > 40 and rng.random() < 0.3 else (head if rng.random() < 0.5 else []) + base
+        for _ in range(rng.choice([0, 1, 3, 6, 9])):
+            w[rng.randrange(len(w))] = str(rng.randint(0, 10**6))
+        family.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)]
+    pairs, plain = [0], J.staged
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == ["a", "b", "big"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "staged", counted)
+    monkeypatch.setattr(J, "SETS", 16, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(df, 5, 80, 100) == brute(rows, 5, 80, 100)
+    # The last are those beyond comparisons with pivots.
+    assert pairs[-1] <= len(rows), pairs
+
+
+def test_sketch_counts_and_sends_few_rows(spark, monkeypatch):
+    texts = ["often"] * 70_000 + ["again"] * 300 + [f"once{k}" for k in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = [0] * 2**18
+    for t in texts:
+        for h in J.shingles(t, 3).tolist():
+            want[h >> 46] += 1
+    assert J.sketch(df, 3, 18).tolist() == want
+    sent, plain = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *by: sent.append(self) or plain(self, *by))
+    J.sketch(df, 3, 18)
+    # Blocks of each of three tasks, and a second and third byte of what is frequent.
+    assert sent and sent[0].count() <= 3 * 4 + 9
+
+
 def test_a_very_long_text_in_a_long_list(spark, monkeypatch):
     """Sizes times products of the threshold pass 2 ** 31 in the size test of a list's pivot."""
     monkeypatch.setattr(J, "DIRECT", 2)
