@@ -89,6 +89,7 @@ def rank_sum(df: DataFrame, value: str, treated: str, parts: int = 256) -> DataF
     inside = F.coalesce(F.sum("k").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = per.withColumn("_inside", inside).join(sums, "_part").withColumn("r", F.col("_before") + F.col("_inside") + (F.col("k") + 1) / 2.0)
     s = ranked.agg(F.sum(F.col("t") * F.col("r")).alias("w"), F.sum("t").alias("n1"), (F.sum("k") - F.sum("t")).alias("n2"))
-    n1, n2 = F.col("n1"), F.col("n2")
+    # As doubles: the product of three counts passes 2 ** 63 at a few million rows.
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     spread = F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
     return s.select(((F.col("w") - n1 * (n1 + n2 + 1) / 2.0) / F.when(spread > 0, spread)).alias("z"), "n1", "n2")

@@ -75,6 +75,17 @@ def test_rank_sum_with_many_values(spark):
     assert comparison.rank_sum_p(spark.createDataFrame([], "v double, t boolean"), "v", "t").first()["p"] is None
 
 
+@pytest.mark.parametrize("form", ["rank_sum"])
+def test_rank_sum_of_millions_of_rows(spark, form):
+    """The product of the counts passes 2 ** 63."""
+    n = 2_000_000
+    df = spark.range(2 * n).selectExpr("cast(id % 4 as double) v", "id % 2 = 1 t")
+    r = (logs.rank_sum if form == "rank_sum" else comparison.rank_sum_p)(df, "v", "t").first()
+    # Four values in turn, the second and fourth treated: ranks of values differ by a quarter of all rows.
+    w = n / 2 * (n / 2 * (1 + 3) + 2 * (n / 2 + 1) / 2)
+    assert r["z"] == pytest.approx((w - n * (2 * n + 1) / 2) / math.sqrt(n * n * (2 * n + 1) / 12)) and (r["n1"], r["n2"]) == (n, n)
+
+
 def test_same_splits(spark):
     one = spark.createDataFrame([(1, "train"), (2, "val")], "sample_id long, part string")
     assert comparison.same_splits([one, one]) and not comparison.same_splits([one, one.where("sample_id = 1")])
