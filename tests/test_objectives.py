@@ -75,7 +75,7 @@ def test_rank_sum_with_many_values(spark):
     assert comparison.rank_sum_p(spark.createDataFrame([], "v double, t boolean"), "v", "t").first()["p"] is None
 
 
-@pytest.mark.parametrize("form", ["rank_sum"])
+@pytest.mark.parametrize("form", ["rank_sum", "rank_sum_p"])
 def test_rank_sum_of_millions_of_rows(spark, form):
     """The product of the counts passes 2 ** 63."""
     n = 2_000_000
