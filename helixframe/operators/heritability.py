@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.staging import scratch, staged
-from .blocks import Panel, _fields, _streamed, panel, product, sample_matrix, tile_gram
+from .blocks import Panel, _fields, _streamed, kinship_squares, panel, product, sample_matrix, tile_gram
 from .factored import BINARY, Projection, _total, residual_tiles, solve, standardize, traces, variant_rows, vectors
 
 #: Traits that are columns of one product in ``mom_long``; more take more passes over the blocks.
@@ -104,6 +104,19 @@ def mom_kinship(kinship: DataFrame, design: DataFrame, traits: list[str]) -> Dat
     return _long(kinship.sparkSession, traits, {"h2": [(row[z] - sums[z]) / (row["t2"] - sums["n"]) for z in traits]})
 
 
+@scratch
+def mom_pairs(x: Panel, design: DataFrame, traits: list[str]) -> DataFrame:
+    """``dim, h2`` as ``mom_kinship`` gives from ``blocks.kinship(x)``, without a table of the matrix.
+
+    Its squares are summed where its parts are made, and y'Ky is the square of X'y over m.
+    """
+    design = staged(standardize(design, traits))
+    z = sample_matrix(x, design.select("sample_id", F.array(*[F.coalesce(z, F.lit(0.0)) for z in traits]).alias("v")), "v")
+    u, t2 = np.diag(tile_gram(product(x, z, True), len(traits))) / x.m, kinship_squares(x, design)
+    sums = design.agg(F.count("*").alias("n"), *[F.sum(F.col(z) * F.col(z)).alias(z) for z in traits]).first()
+    return _long(x.blocks.sparkSession, traits, {"h2": [(u[k] - sums[z]) / (t2 - sums["n"]) for k, z in enumerate(traits)]})
+
+
 @scratch
 def genetic_covariance(genotypes: DataFrame | Panel, design: DataFrame, traits: list[str], target: str, covariates: list[str] = (), trace2: float | None = None, probes: int | None = None) -> DataFrame:
     """``dim, gamma, rho``: genetic covariance and score-overlap correlation of each trait with ``target``; W = [1 | C]. Traces as in ``mom``."""

@@ -227,3 +227,29 @@ def test_mom_takes_more_variants_than_the_gram(spark):
     assert values(heritability.mom(dosage, design, ["z0"]), "h2")[0][0] == pytest.approx(q / (np.sum(k * k) - n), rel=1e-9)
     got = values(heritability.mom(dosage, design, ["z0"], probes=30), "h2")[0][0]
     assert abs((q / got + n) / np.sum(k * k) - 1) < 0.2
+
+
+def test_kinship_without_a_table_of_the_matrix(spark, monkeypatch):
+    """Parts of the matrix are used up where they are made, whether sums of variants are cut or not."""
+    rng = np.random.default_rng(5)
+    xs, n = rng.integers(0, 3, (60, 12)), 60
+    dosage = spark.createDataFrame([(i, j, int(xs[i, j])) for i in range(n) for j in range(12)], "sample_id long, variant_idx int, x int")
+    # Some samples have no traits.
+    design = spark.createDataFrame([(i, *map(float, rng.normal(size=2))) for i in range(0, n, 2)] + [(1, 0.5, -1.0), (3, 2.0, 0.1)], "sample_id long, a double, b double")
+    x = (xs - xs.mean(0)) / xs.std(0)
+    k = x @ x.T / 12
+    for part in (64, 2):
+        monkeypatch.setattr(blocks, "PART", part)
+        p = blocks.panel(dosage, 12, tile=4, rows=16)
+        table = blocks.kinship(p)
+        want = values(heritability.mom_kinship(table, design, ["a", "b"]), "h2")[0]
+        sizes, plain = [], heritability.staged
+        monkeypatch.setattr(heritability, "staged", lambda df: sizes.append(df.count()) or plain(df))
+        np.testing.assert_allclose(values(heritability.mom_pairs(p, design, ["a", "b"]), "h2")[0], want, atol=1e-10)
+        monkeypatch.setattr(heritability, "staged", plain)
+        assert max(sizes) <= n
+        got = np.zeros((n, n))
+        for r in table.collect():
+            got[r["i"], r["j"]] = got[r["j"], r["i"]] = r["k"]
+        np.testing.assert_allclose(got, k, atol=1e-12)
+        assert table.count() == n * (n + 1) // 2
