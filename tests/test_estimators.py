@@ -253,3 +253,24 @@ def test_kinship_without_a_table_of_the_matrix(spark, monkeypatch):
             got[r["i"], r["j"]] = got[r["j"], r["i"]] = r["k"]
         np.testing.assert_allclose(got, k, atol=1e-12)
         assert table.count() == n * (n + 1) // 2
+
+
+def test_kinship_is_sent_in_short_batches(spark, monkeypatch):
+    """No Arrow batch holds the columns of a whole part of the matrix."""
+    import pyarrow as pa
+
+    xs = np.random.default_rng(6).integers(0, 3, (60, 4))
+    dosage = spark.createDataFrame([(i, j, int(xs[i, j])) for i in range(60) for j in range(4)], "sample_id long, variant_idx int, x int")
+    monkeypatch.setattr(blocks, "SENT", 100, raising=False)
+    real = type(dosage).mapInArrow
+
+    def longest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    def spied(self, f, schema, **kw):
+        return real(self, lambda batches: longest(f(batches)), "n long") if [c.name for c in schema] == ["i", "j", "k"] else real(self, f, schema, **kw)
+
+    monkeypatch.setattr(type(dosage), "mapInArrow", spied)
+    sizes = [r["n"] for r in blocks.kinship(blocks.panel(dosage, 4, tile=4, rows=60)).collect()]
+    assert sum(sizes) == 1830 and max(sizes) <= 100
